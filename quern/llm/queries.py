@@ -8,10 +8,61 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import knn
+from quern.llm import binpacking, boilerplate, knn, leakage, neardup, splitting
 from quern.llm._base import table
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of both record tables under one schema."""
+    of = lambda kind, name, key: table(spark, sf_dir, name).select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_id"), "content")
+    return of("document", "loaded_documents", "record_id").unionByName(of("chunk", "chunks", "chunk_id"))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.classes(_contents(spark, sf_dir), "record_kind", "record_id", "content", size=3, threshold=0.6, min_words=20, blocks=40, width=3)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that share most of their three-word runs."""
+    return neardup.pairs(*_near(spark, sf_dir)).select(F.col("kind").alias("record_kind"), "id_a", "id_b")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near duplicates of every record of at least 20 words, at the default of five words and 0.8."""
+    members, links = neardup.classes(_contents(spark, sf_dir), "record_kind", "record_id", "content")
+    return neardup.groups(members, links).withColumnsRenamed({"kind": "record_kind", "id": "record_id"})
+
+
+def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "loaded_documents").where("source_type = 'web'")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of web pages that are the site's furniture."""
+    lines = boilerplate.page_lines(_web(spark, sf_dir), "record_id", "url", "content")
+    return lines.where("furniture").select(F.col("id").alias("record_id"), F.col("line_no").cast("bigint").alias("line_no"))
+
+
+def p3_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of all web pages."""
+    return boilerplate.articles(_web(spark, sf_dir), "record_id", "url", "content").withColumnRenamed("id", "record_id")
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every content of more than 1,200 characters."""
+    return splitting.split_oversized(_contents(spark, sf_dir), "record_kind", "record_id", "content").withColumnsRenamed({"kind": "record_kind", "id": "record_id"})
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that were cut: those with a second piece."""
+    return p4_pieces(spark, sf_dir).where("piece_no = 1").select("record_kind", "record_id")
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of every chunk vector."""
+    return knn.neighbours(table(spark, sf_dir, "chunks"), "chunk_id", "embedding")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which one is among the five nearest of the other."""
     parts = []
@@ -21,8 +72,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-empty document in a container of 2,048 tokens."""
+    tokens = binpacking.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return binpacking.pack(tokens, "id", "tokens").withColumnRenamed("id", "doc_id")
+
+
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each test field each document holds."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["question", "expected_answer"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items that leaked into them."""
+    return p7_coverage(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    own = [p2_found, p2_groups, p3_found, p3_articles, p4_found, p4_pieces, p5_found, p5_neighbours, p6_containers, p7_found, p7_coverage]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
