@@ -5,7 +5,8 @@ heading or the page's head), block (lines of one kind in a row) and line. Each
 line is described by attribute tokens, depth, position, the density of its block
 and region, its siblings, and by how many different articles of the same site,
 and how many sites, hold the same line. Those counts are taken over all pages;
-copies of one article count once, told by their title and by their longest line.
+copies of one article count once, told by their title and by minimum hashes of
+their words, also where other sites took the article over.
 
 There are no labelled pages, so the trees are fitted on lines whose kind the
 counts or the line's form give away, in a bounded sample of pages; half of the
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 from quern.llm import _base
 from quern.llm.gbt import Boosted
+from quern.llm.text import Hashes, mix, shingles, word_hashes
 
-#: Most pages the trees are fitted on.
-SAMPLE = 2000
+#: Most pages, and lines of them, that the trees are fitted on.
+SAMPLE, LINES = 800, 14_000
 #: Cost, in log odds, of a change of label between two lines of a block.
 SWITCH = 1.0
 
@@ -44,6 +46,7 @@ _BULLET = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+")
 _END = re.compile(r"[.!?:;。！？…][\"')\]”’»*_`]*$")
 _CONTROL = re.compile(r"\[[^\]\n]{1,40}\]|[▾▼▲►→←↑↓×✕©®™]|\b\d+ min\b")
 _KINDS = ("text", "heading", "list", "table", "fence", "code", "separated")
+_KIND_NO = {k: i for i, k in enumerate(_KINDS)}
 
 
 def host_of(url: str | None) -> str:
@@ -116,89 +119,129 @@ def _title(lines: list[str], kind: list[str], slug: set[str]) -> str:
     return best
 
 
+def _prints(lines: list[str], cache: Hashes) -> tuple[int, int]:
+    """Two minimum hashes of the word triples of a page's long lines, which edited copies mostly share."""
+    words = [w for line in lines if len(line) >= 80 for w in _WORD.findall(line.lower())]
+    runs = shingles(word_hashes(words, cache), 3) >> np.uint64(1)
+    if not len(runs):
+        return 0, 0
+    return int(runs.min()), int((mix(runs) >> np.uint64(1)).min())
+
+
 def _line_rows(batches):
     """Of each page: its lines' keys with what tells its article from others."""
+    cache = Hashes()
     for batch in batches:
         uid, urls, texts = (batch.column(i).to_pylist() for i in range(3))
-        out = {n: [] for n in ("uid", "line_no", "host", "key", "title", "longest")}
+        out = {n: [] for n in ("uid", "line_no", "host", "key", "title", "print1", "print2")}
         for u, url, text in zip(uid, urls, texts, strict=True):
             nos, lines = _page_lines(text)
             if not lines:
                 continue
             kind = kinds(lines)
             title = xxhash.xxh64_intdigest(_title(lines, kind, slug_of(url))) >> 1
-            longest = xxhash.xxh64_intdigest(max(lines, key=len)) >> 1
+            first, second = _prints(lines, cache)
             host = host_of(url)
             for no, line in zip(nos, lines, strict=True):
                 out["uid"].append(u)
                 out["line_no"].append(no)
                 out["host"].append(host)
                 out["key"].append(_key(line))
-                out["title"].append(title)
-                out["longest"].append(longest)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("uid", pa.int64()), ("line_no", pa.int32()), ("host", pa.string()), ("key", pa.int64()), ("title", pa.int64()), ("longest", pa.int64())]))
-
-
-def _log(x: float) -> float:
-    return math.log2(1 + x)
-
-
-N_COUNTS = 4  # the first features: support in the site, pages in the site, share of the site's articles, sites
-
-
-def features(lines: list[str], kind: list[str], slug: set[str], counts: np.ndarray, words_odds: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of a page's lines, and each line's block and region. ``counts``: a row per line of articles, pages, articles of the site, sites."""
-    n = len(lines)
-    size = [len(x) for x in lines]
-    words = [[w.lower() for w in _WORD.findall(x)] for x in lines]
-    odds = [float(np.mean([words_odds.get(w, 0.0) for w in ws])) if ws else 0.0 for ws in words]
-    peak = [max((words_odds.get(w, 0.0) for w in ws), default=0.0) for ws in words]
-    ended = [bool(_END.search(x.strip())) for x in lines]
-    prose = [s >= 90 and k in ("text", "list") for s, k in zip(size, kind, strict=True)]
-    solid = [p or k in ("table", "fence", "code", "heading") for p, k in zip(prose, kind, strict=True)]
-    first = next((i for i, s in enumerate(solid) if s), 0)
-    last = next((i for i in range(n - 1, -1, -1) if solid[i]), n - 1)
-    block, region = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    group = ["solid" if s and k != "heading" else k if k in ("heading",) else "short" for s, k in zip(solid, kind, strict=True)]
-    for i in range(1, n):
-        block[i] = block[i - 1] + (group[i] != group[i - 1] or kind[i] == "heading")
-        region[i] = region[i - 1] + (kind[i] == "heading")
-    support = [_log(c[0]) for c in counts]
-    share = [c[0] / max(c[2], 1.0) for c in counts]
-    starts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [n]])
-    of_block = np.searchsorted(starts, np.arange(n), "right") - 1
-    b_len = np.diff(starts)
-    b_size = np.add.reduceat(np.array(size, float), starts[:-1]) / b_len
-    b_odds = np.add.reduceat(np.array(odds), starts[:-1]) / b_len
-    b_sup = np.add.reduceat(np.array(support), starts[:-1]) / b_len
-    rows = []
-    get = lambda xs, i, missing: xs[i] if 0 <= i < n else missing
-    for i in range(n):
-        line, ws, s = lines[i], words[i], lines[i].strip()
-        near = len(slug & set(ws)) / len(slug) if slug else 0.0
-        same = len(slug & set(ws)) / len(slug | set(ws)) if slug else 0.0
-        letters = sum(map(str.isalpha, s)) or 1
-        b = of_block[i]
-        rows.append(
-            [
-                support[i], _log(counts[i][1]), share[i], _log(counts[i][3]),
-                _KINDS.index(kind[i]), size[i], len(ws), ended[i], len(_SEPARATOR.findall(line)), len(_CONTROL.findall(line)), s.count("`"),
-                sum(w[:1].isupper() for w in _WORD.findall(line)) / max(1, len(ws)), sum(map(str.isupper, s)) / letters, sum(map(str.isdigit, s)) / len(s),
-                near, same, odds[i], peak[i],
-                min(i, 40), min(n - 1 - i, 40), i - first, last - i, i / n,
-                min(b_len[b], 40), b_size[b], b_odds[b], i - starts[b], starts[b + 1] - 1 - i,
-                get(size, i - 1, 0), get(size, i + 1, 0), get(odds, i - 1, 0.0), get(odds, i + 1, 0.0), get(prose, i - 1, False), get(prose, i + 1, False),
-                get(kind, i - 1, "") == "heading", _KINDS.index(get(kind, i + 1, "text")), _KINDS.index(get(kind, i - 1, "text")),
-                b_sup[b], get(support, i - 1, 0.0), get(support, i + 1, 0.0),
-            ]
-        )
-    return np.array(rows, float).reshape(n, -1), block, region
-
-
-SHY = (0, 1, 2, 3, 37, 38, 39)  # the features that come from counts
-
-
-def weak_labels(lines: list[str], kind: list[str], slug: set[str], counts: np.ndarray) -> np.ndarray:
+            out["title"] += [title] * len(lines)
+            out["print1"] += [first] * len(lines)
+            out["print2"] += [second] * len(lines)
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("uid", pa.int64()), ("line_no", pa.int32()), ("host", pa.string()), *[(c, pa.int64()) for c in ("key", "title", "print1", "print2")]]))
+
+
+#: The first features come from counts: support in the site, lines in the site, share of the site's articles, sites.
+N_COUNTS = 4
+
+
+def features(pages: list[tuple[list[str], list[str], set[str]]], counts: np.ndarray, words_odds: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the lines of some pages (lines, kinds, words of the address), and each line's block and region.
+
+    ``counts``: a row per line of the site's articles with it, the site's lines
+    like it, the site's articles and the sites with it. Blocks and regions are
+    numbered through all pages and do not cross from one to the next.
+    """
+    own, code, page = [], [], []
+    get_odds = words_odds.get
+    for no, (lines, kind, slug) in enumerate(pages):
+        n_slug = len(slug) or 1
+        for line, k in zip(lines, kind, strict=True):
+            s = line.strip()
+            ws = _WORD.findall(s)
+            low = [w.lower() for w in ws]
+            o = [get_odds(w, 0.0) for w in low]
+            n = len(ws) or 1
+            distinct = set(low) if len(ws) <= 40 else set()
+            shared = len(slug & distinct)
+            short = len(s) <= 200
+            own.append(
+                (
+                    len(s), len(ws), bool(_END.search(s[-12:])), len(_SEPARATOR.findall(line)) if short else 0, len(_CONTROL.findall(s)) if short else 0, s.count("`"),
+                    sum([w[0].isupper() for w in ws]) / n, sum([w.isupper() for w in ws]) / n, sum([c.isdigit() for c in s[:200]]) / len(s[:200]),
+                    shared / n_slug, shared / (len(slug | distinct) or 1), sum(o) / n, max(o, default=0.0), get_odds("^" + low[0], 0.0) if low else 0.0, get_odds("#" + low[0], 0.0) if low else 0.0, get_odds("~" + low[0], 0.0) if low else 0.0,
+                )
+            )
+            code.append(_KIND_NO[k])
+            page.append(no)
+    own, code, page = np.array(own, float).reshape(-1, 16), np.array(code, np.int64), np.array(page, np.int64)
+    n = len(own)
+    size, odds = own[:, 0], own[:, 11]
+    prose = (size >= 90) & ((code == 0) | (code == 2))
+    heading = code == 1
+    solid = prose | heading | (code == 3) | (code == 4) | (code == 5)
+    group = np.where(heading, 2, np.where(solid, 1, 0))
+    new_page = np.concatenate([[True], page[1:] != page[:-1]])
+    cut = new_page | np.concatenate([[True], group[1:] != group[:-1]]) | heading
+    block = np.cumsum(cut) - 1
+    region = np.cumsum(new_page | heading) - 1
+    support = np.log2(1 + counts[:, 0])
+    b_first = np.nonzero(cut)[0]
+    b_len = np.diff(np.concatenate([b_first, [n]]))
+    mean = lambda x: (np.add.reduceat(x, b_first) / b_len)[block]
+    p_first = np.nonzero(new_page)[0]
+    p_len = np.diff(np.concatenate([p_first, [n]]))
+    at = np.arange(n) - p_first[page]
+    left = p_len[page] - 1 - at
+    far = np.where(solid, np.arange(n), n)
+    first = np.minimum.reduceat(far, p_first)
+    first = np.where(first < n, first, p_first)
+    last = np.maximum.reduceat(np.where(solid, np.arange(n), -1), p_first)
+    last = np.where(last >= 0, last, p_first + p_len - 1)
+    tail = np.concatenate([new_page[1:], [True]])
+
+    def before(x, missing):
+        return np.where(new_page, missing, np.concatenate([[missing], x[:-1]]))
+
+    def after(x, missing):
+        return np.where(tail, missing, np.concatenate([x[1:], [missing]]))
+
+    in_block = np.arange(n) - b_first[block]
+    columns = [
+        support, np.log2(1 + counts[:, 1]), counts[:, 0] / np.maximum(counts[:, 1], 1), counts[:, 0] / np.maximum(counts[:, 2], 1), np.log2(1 + counts[:, 3]), np.log2(1 + counts[:, 2]),
+        code, *own.T,
+        np.minimum(at, 40), np.minimum(left, 40), np.arange(n) - first[page], last[page] - np.arange(n), at / np.maximum(p_len[page], 1),
+        np.minimum(b_len[block], 40), mean(size), mean(odds), in_block, b_len[block] - 1 - in_block,
+        before(size, 0), after(size, 0), before(odds, 0), after(odds, 0), before(prose, False), after(prose, False), before(heading, False), after(code, 0), before(code, 0),
+        mean(support), before(support, 0), after(support, 0),
+    ]
+    return np.stack([np.asarray(c, float) for c in columns], 1), block, region
+
+
+def _leads(shapes: list[tuple]) -> dict[str, float]:
+    """How often each word begins a heading, list item or long line (marked #), and a short bare line (marked ~): log counts."""
+    out: Counter = Counter()
+    for lines, kind, _ in shapes:
+        for line, k in zip(lines, kind, strict=True):
+            m = _WORD.search(line)
+            if m and k in ("heading", "list", "text"):
+                out[("~" if k == "text" and len(line) < 110 else "#") + m.group().lower()] += 1
+    return {w: math.log2(1 + c) for w, c in out.most_common(40_000)}
+
+
+def weak_labels(lines: list[str], kind: list[str], slug: set[str], counts: np.ndarray, leads: dict[str, float]) -> np.ndarray:
     """1 furniture, 0 article, -1 unknown, where counts or form give it away."""
     out = np.full(len(lines), -1)
     solid = [i for i, (x, k) in enumerate(zip(lines, kind, strict=True)) if k in ("table", "fence", "code", "heading") or (len(x) >= 120 and k in ("text", "list"))]
@@ -206,7 +249,7 @@ def weak_labels(lines: list[str], kind: list[str], slug: set[str], counts: np.nd
     for i, (line, k, c) in enumerate(zip(lines, kind, counts, strict=True)):
         w = {x.lower() for x in _WORD.findall(line)}
         like = len(slug & w) / len(slug | w) if slug else 0.0
-        repeated = c[0] >= 3 or (c[0] >= 2 and c[3] >= 2) or c[3] >= 4
+        repeated = (c[0] >= 3 or c[3] >= 4) and c[0] >= 0.4 * c[1]
         if k in ("table", "fence", "code", "heading"):
             out[i] = 0
         elif like >= 0.7 and k == "text":
@@ -215,10 +258,16 @@ def weak_labels(lines: list[str], kind: list[str], slug: set[str], counts: np.nd
             out[i] = 1
         elif k == "separated" and slug and len(slug & w) / len(slug) >= 0.7:
             out[i] = 1  # the way to the page: its title after others
-        elif c[0] <= 1 and c[3] <= 1 and first <= i <= last and (len(line) >= 60 or (k == "list" and i > first)):
+        elif k == "list" and c[0] <= 1 and c[3] <= 1 and c[2] >= 10:
+            out[i] = 0  # the lists of a site's furniture are the same on many of its pages
+        elif c[0] <= 1 and c[3] <= 1 and first <= i <= last and (len(line) >= 110 or (k == "list" and i > first)):
             out[i] = 0
-        elif c[0] <= 1 and c[3] <= 1 and k == "text" and first < i < last and not _END.search(line.strip()) and len(line) < 60 and i + 1 < len(lines) and (len(lines[i + 1]) >= 90 or kind[i + 1] in ("table", "fence", "list")) and counts[i - 1][0] <= 1:
-            out[i] = 0  # a heading without a mark
+        elif c[0] <= 1 and c[3] <= 1 and k == "text" and len(line) < 110 and (m := _WORD.search(line)):
+            lead = m.group().lower()
+            if leads.get("#" + lead, 0) < 1 and leads.get("~" + lead, 0) > 2.5:
+                out[i] = 1  # a form with a blank: its first words begin no heading, list item or paragraph
+            elif leads.get("#" + lead, 0) >= 1.5 and first < i < last and counts[i - 1][0] <= 1 and c[2] >= 5:
+                out[i] = 0  # a heading without a mark
     return out
 
 
@@ -229,13 +278,13 @@ def decode(scores: np.ndarray, block: np.ndarray, region: np.ndarray, kind: list
     leans to furniture is furniture with all below it; fences and the code or
     table between furniture-free lines share one label.
     """
-    out = np.zeros(len(scores), bool)
-    for b in np.unique(block):
-        at = np.nonzero(block == b)[0]
-        s = np.clip(scores[at], -8, 8)
-        if len(at) == 1:
-            out[at] = s > 0
+    out = scores > 0
+    first = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(block)]])
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
+        if hi - lo == 1 or out[lo:hi].all() or not out[lo:hi].any():
             continue
+        at = np.arange(lo, hi)
+        s = np.clip(scores[at], -8, 8)
         stay, back = np.array([0.0, s[0]]), []
         for x in s[1:]:
             swap = stay[::-1] - SWITCH
@@ -254,63 +303,89 @@ def decode(scores: np.ndarray, block: np.ndarray, region: np.ndarray, kind: list
     return out
 
 
-def _fit(pages: list[tuple[str | None, str, dict[int, tuple]]], seed: int = 5) -> tuple[dict[str, float], Boosted]:
-    """Word odds and trees from sampled pages (url, content, counts by line)."""
-    held = []
+def _odds(shapes: list[tuple], label: np.ndarray) -> dict[str, float]:
+    """Log odds for furniture of each word, and of each as a line's first (marked ^), from lines with a label."""
     tally = {0: Counter(), 1: Counter()}
+    at = 0
+    for lines, kind, _ in shapes:
+        for line, k in zip(lines, kind, strict=True):
+            y = label[at]
+            at += 1
+            if y >= 0 and k not in ("code", "fence"):
+                low = [w.lower() for w in _WORD.findall(line)]
+                tally[int(y)].update(set(low))
+                if low:
+                    tally[int(y)]["^" + low[0]] += 1
+    n1, n0 = sum(tally[1].values()) + 1, sum(tally[0].values()) + 1
+    common = [w for w, c in (tally[0] + tally[1]).most_common(40_000) if c >= 3]
+    return {w: max(-4.0, min(4.0, math.log((tally[1][w] + 0.3) / n1) - math.log((tally[0][w] + 0.3) / n0))) for w in common}
+
+
+def _fit(pages: list[tuple[str | None, str, dict[int, tuple]]], seed: int = 5) -> tuple[dict[str, float], Boosted | None]:
+    """Word odds and trees from sampled pages (url, content, counts by line).
+
+    A first model is fitted on the lines whose kind is given away; it labels those
+    of the others that it is sure of, and the second is fitted on both.
+    """
+    shapes, counts = [], []
     for url, text, by_line in pages:
         nos, lines = _page_lines(text)
         if not lines:
             continue
         kind, slug = kinds(lines), slug_of(url)
-        counts = np.array([by_line.get(no, (1, 1, 1, 1)) for no in nos], float)
-        label = weak_labels(lines, kind, slug, counts)
-        held.append((lines, kind, slug, counts, label))
-        for line, y, k in zip(lines, label, kind, strict=True):
-            if y >= 0 and k not in ("code", "fence"):
-                tally[int(y)].update({w.lower() for w in _WORD.findall(line)})
-    n1, n0 = sum(tally[1].values()) + 1, sum(tally[0].values()) + 1
-    common = [w for w, c in (tally[0] + tally[1]).most_common(30_000) if c >= 3]
-    odds = {w: max(-4.0, min(4.0, math.log((tally[1][w] + 0.3) / n1) - math.log((tally[0][w] + 0.3) / n0))) for w in common}
-    X, Y = [], []
-    for lines, kind, slug, counts, label in held:
-        known = label >= 0
-        if not known.any():
-            continue
-        f, _, _ = features(lines, kind, slug, counts, odds)
-        X.append(f[known])
-        Y.append(label[known])
-        g, _, _ = features(lines, kind, slug, np.ones_like(counts), odds)  # the same, its counts hidden
-        X.append(g[known])
-        Y.append(label[known])
-    if not X or len(set(np.concatenate(Y))) < 2:
-        return odds, None
-    X, Y = np.concatenate(X), np.concatenate(Y).astype(float)
-    if len(X) > 120_000:
-        keep = np.random.default_rng(seed).choice(len(X), 120_000, replace=False)
-        X, Y = X[keep], Y[keep]
-    return odds, Boosted().fit(X, Y)
+        rest = (1, 1, next(iter(by_line.values()))[2] if by_line else 1, 1)
+        own = np.array([by_line.get(no, rest) for no in nos], float)
+        shapes.append((lines, kind, slug))
+        counts.append(own)
+    if not shapes:
+        return {}, None
+    leads = _leads(shapes)
+    label = [weak_labels(*shape, own, leads) for shape, own in zip(shapes, counts, strict=True)]
+    counts, label = np.concatenate(counts), np.concatenate(label)
+    rng = np.random.default_rng(seed)
+    odds: dict[str, float] = {}
+    trees = None
+    for rounds in (25, 60):
+        known = np.nonzero(label >= 0)[0]
+        if len(set(label[known])) < 2:
+            return odds, trees
+        odds = _odds(shapes, label) | leads
+        if len(known) > LINES:
+            known = np.sort(rng.choice(known, LINES, replace=False))
+        shown, _, _ = features(shapes, counts, odds)
+        hidden, _, _ = features(shapes, np.ones_like(counts), odds)
+        trees = Boosted(trees=rounds).fit(np.concatenate([shown[known], hidden[known]]), np.concatenate([label[known]] * 2).astype(float))
+        sure = trees.score(shown)
+        label = np.where((label < 0) & (np.abs(sure) > 1.0), (sure > 0).astype(int), label)
+    return odds, trees
 
 
 def _classify(odds: dict[str, float], trees: Boosted | None):
     def run(batches):
         for batch in batches:
             uid, key, urls, texts, stats = (batch.column(i).to_pylist() for i in range(5))
-            out = {n: [] for n in ("id", "line_no", "furniture", "score")}
+            held, shapes, counts, ids, nos = [], [], [], [], []
             for k, url, text, st in zip(key, urls, texts, stats, strict=True):
-                nos, lines = _page_lines(text)
+                own, lines = _page_lines(text)
                 if not lines:
                     continue
-                kind, slug = kinds(lines), slug_of(url)
                 by_line = {s["line_no"]: (s["articles"], s["pages"], s["site"], s["sites"]) for s in st or ()}
-                counts = np.array([by_line.get(no, (1, 1, 1, 1)) for no in nos], float)
-                f, block, region = features(lines, kind, slug, counts, odds)
-                score = trees.score(f) if trees is not None else np.full(len(lines), -1.0)
-                out["id"] += [k] * len(nos)
-                out["line_no"] += nos
-                out["furniture"] += decode(score, block, region, kind).tolist()
-                out["score"] += score.tolist()
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("line_no", pa.int32()), ("furniture", pa.bool_()), ("score", pa.float64())]))
+                rest = (1, 1, st[0]["site"] if st else 1, 1)
+                kind = kinds(lines)
+                shapes.append((lines, kind, slug_of(url)))
+                counts += [by_line.get(no, rest) for no in own]
+                ids += [k] * len(own)
+                nos += own
+                held.append((len(lines), kind))
+            if not ids:
+                continue
+            f, block, region = features(shapes, np.array(counts, float), odds)
+            score = trees.score(f) if trees is not None else np.full(len(f), -1.0)
+            label, at = [], 0
+            for n, kind in held:
+                label.append(decode(score[at : at + n], block[at : at + n], region[at : at + n], kind))
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(np.concatenate(label)), pa.array(score)], ["id", "line_no", "furniture", "score"])
 
     return run
 
@@ -319,17 +394,23 @@ def _prepared(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFr
     """Pages with, for each line that others share, how widely it is shared."""
     pages = _base.unit(df, id=id_col, url=url_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.col("url").cast("string").alias("url"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     pages = pages.withColumn("uid", F.xxhash64("id", "url", "text"))
-    lines = _base.stage(pages.select("uid", "url", "text").mapInArrow(_line_rows, "uid bigint, line_no int, host string, key bigint, title bigint, longest bigint"), "page-lines")
-    seen = lines.select("uid", "host", "key", "title", "longest").distinct()
-    # articles of a line: by titles and by longest lines, whichever are fewer; counted in two steps, so no key gathers its pages
-    titles = seen.groupBy("host", "key", "title").agg(F.count("*").alias("c")).groupBy("host", "key").agg(F.count("*").alias("titles"), F.sum("c").alias("pages"))
-    longests = seen.groupBy("host", "key", "longest").agg(F.lit(1).alias("c")).groupBy("host", "key").agg(F.count("*").alias("longests"))
-    shared = titles.join(longests, ["host", "key"]).select("host", "key", F.least("titles", "longests").alias("articles"), "pages")
-    sites = shared.groupBy("key").agg(F.count("*").alias("sites"))
-    site = seen.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("site"))
-    wide = shared.join(sites, "key").where("pages > 1 or sites > 1").join(site, "host")
-    known = lines.select("uid", "line_no", "host", "key").distinct().join(wide, ["host", "key"]).groupBy("uid").agg(F.collect_list(F.struct("line_no", "articles", "pages", "site", "sites")).alias("stats"))
-    return _base.stage(pages.dropDuplicates(["uid"]).join(known, "uid", "left").select("uid", "id", "url", "text", "stats"), "pages")
+    pages = pages.dropDuplicates(["uid"])
+    lines = _base.stage(pages.select("uid", "url", "text").mapInArrow(_line_rows, "uid bigint, line_no int, host string, key bigint, title bigint, print1 bigint, print2 bigint"), "page-lines")
+    # articles with a line: by title and by two fingerprints, whichever are fewest; counted in steps, so no key gathers its pages
+    narrow = None
+    for c in ("title", "print1", "print2"):
+        here = lines.groupBy("host", "key", c).agg(F.count("*").alias("c"))
+        own = here.groupBy("host", "key").agg(F.count("*").alias(f"n_{c}"), F.sum("c").alias(f"lines_{c}"))
+        narrow = own if narrow is None else narrow.join(own, ["host", "key"])
+    narrow = narrow.select("host", "key", F.least("n_title", "n_print1", "n_print2").alias("articles"), F.col("lines_title").alias("pages"))
+    sites = narrow.groupBy("key").agg(F.count("*").alias("sites"))
+    broad = lines.groupBy("key", "print1").agg(F.lit(1).alias("c")).groupBy("key").agg(F.count("*").alias("everywhere"))
+    titled = lines.groupBy("key", "title").agg(F.lit(1).alias("c")).groupBy("key").agg(F.count("*").alias("titled"))
+    sites = sites.where("sites > 1").join(broad, "key").join(titled, "key").select("key", F.least("sites", "everywhere", "titled").alias("sites"))
+    site = lines.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("site"))
+    wide = narrow.join(sites, "key", "left").withColumn("sites", F.coalesce("sites", F.lit(1))).where("pages > 1 or sites > 1").join(site, "host")
+    known = lines.select("uid", "line_no", "host", "key").join(wide, ["host", "key"]).groupBy("uid").agg(F.collect_list(F.struct("line_no", "articles", "pages", "site", "sites")).alias("stats"))
+    return _base.stage(pages.join(known, "uid", "left").select("uid", "id", "url", "text", "stats"), "pages")
 
 
 def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, *, sample: int = SAMPLE) -> DataFrame:

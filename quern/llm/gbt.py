@@ -8,7 +8,7 @@ import numpy as np
 class Boosted:
     """Trees of a fixed depth over quantile bins, fitted to the logistic loss with Newton steps."""
 
-    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 48, least: float = 8.0, ridge: float = 1.0):
+    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, least: float = 8.0, ridge: float = 1.0):
         self.trees, self.depth, self.rate, self.bins, self.least, self.ridge = trees, depth, rate, bins, least, ridge
         self.base = 0.0
         self.edges: list[np.ndarray] = []
