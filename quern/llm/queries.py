@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import binpacking, boilerplate, knn, leakage, neardup, splitting
+from quern.llm import binpacking, boilerplate, knn, leakage, neardup, pii, splitting
 from quern.llm._base import table
 
 
@@ -88,8 +88,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_coverage(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in the documents, by place."""
+    return pii.spans(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_list")).withColumnRenamed("id", "doc_id")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with placeholders for personal information."""
+    return pii.redacted(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_list")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p2_found, p2_groups, p3_found, p3_articles, p4_found, p4_pieces, p5_found, p5_neighbours, p6_containers, p7_found, p7_coverage]
+    own = [p2_found, p2_groups, p3_found, p3_articles, p4_found, p4_pieces, p5_found, p5_neighbours, p6_containers, p7_found, p7_coverage, p8_found, p8_redacted]
     return {f.__name__: f for f in own}
 
 
