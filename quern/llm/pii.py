@@ -72,12 +72,14 @@ _ADDRESS = re.compile(
 _PARTICLE = r"(?:van der|van den|van de|van|von der|von|de la|de|der|den|del|della|di|da|du|la|le|ten|ter|zu|zum|bin|ibn|al|VAN|VON|DE|DER|DEN|DEL)"
 _TITLE = re.compile(r"(?:\b(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra|Mme|M|DR|MR|MRS|PROF)\.|\b(?:Herr|Herrn|Frau|Señor|Señora|Madame|Monsieur)) ?$")
 _GREET = re.compile(r"\b(?:Hi|Hello|Hey|Dear|Hallo|Liebe|Lieber|Bonjour|Hola|Salut|Cher|Chère|Estimado|Estimada)\s$")
-_CAP = re.compile(r"(?<![^\W_])(?:[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’][^\W\d_]+)*)")
+_CAP = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+")
 _LEFT_INITIAL = re.compile(rf"(?<![^\W_])((?:[A-Z]\.[ -]?)+)(?:{_PARTICLE} )*$")
 _LEFT_GIVEN = re.compile(rf"(?<![^\W_])([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?) (?:[A-Z]\. ?)*(?:{_PARTICLE} )*$")
 _RIGHT_GIVEN = re.compile(rf", ([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?)(?: [A-Z]\.(?! [A-ZÀ-Þ]))*")
 _RIGHT_FAMILY = re.compile(rf" (?:[A-Z]\. ?)*(?:{_PARTICLE} )*(?:(?:Mc|Mac|O['’])?([A-ZÀ-ÖØ-Þ][^\W\d_]+))")
 _ENDS = re.compile(r"(?:^|[^\s\w.,-]\s?|\b[a-z]\w* |\n)([A-ZÀ-ÖØ-Þ][^\W\d_]+)$")
+_MARKED = re.compile(rf"(?:(?<![^\W_])[A-Z]|(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra|Mme))\. (?:{_PARTICLE} )*([A-ZÀ-ÖØ-Þ][^\W\d_]+)")
+_MARK = re.compile(r"[A-Z][a-z]{0,3}\. ")
 _HYPHEN = re.compile(r"-(?:[A-ZÀ-ÖØ-Þ]['’])?[A-ZÀ-ÖØ-Þ][^\W\d_]+")
 
 
@@ -85,6 +87,30 @@ def _digits(s: str) -> int:
     return sum(map(str.isdigit, s))
 
 
+# what each form cannot do without; the full patterns are tried around these places only
+_AT_SIGN = re.compile(r"@|[\[({] ?[aA][tT] ?[\])}]| [aA][tT] (?=[\w-]+(?: [dD][oO][tT] | ?[\[({] ?[dD]))")
+_RUN = re.compile(r"\d[\d ()./-]{4,}\d")
+_BEFORE_CAPITAL = re.compile(r"\d[A-Za-z]? [A-ZÀ-ÖØ-Þ]")
+
+
+def _around(trigger: re.Pattern, pattern: re.Pattern, text: str, back: int, ahead: int):
+    """Matches of ``pattern`` that reach over a match of ``trigger``: as if searched in the whole text, but only there."""
+    done = 0
+    for t in trigger.finditer(text):
+        if t.start() < done:
+            continue
+        at = max(done, t.start() - back)
+        while (m := pattern.search(text, at, t.end() + ahead)) and m.start() <= t.start():
+            # the window must not cut what is found
+            if m.end() == t.end() + ahead:
+                m = pattern.match(text, m.start()) or m
+            if m.end() > t.start():
+                yield m
+                done = m.end()
+                break
+            at = m.end()
+
+
 def structured(text: str) -> list[tuple[str, int, int]]:
     """Emails, addresses, identity and phone numbers of a text: (type, start, end), not overlapping."""
     out: list[tuple[str, int, int]] = []
@@ -93,25 +119,27 @@ def structured(text: str) -> list[tuple[str, int, int]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or y <= a for x, y in taken)
 
-    low = text.lower()
-    if "@" in text or "at)" in low or "at]" in low or " dot " in low:
-        for m in _EMAIL.finditer(text):
-            got = m.group()
-            if "@" in got:
-                if _REMOTE.match(text, m.end()) or text[max(0, m.start() - 3) : m.start()] == "://":
-                    taken.append(m.span())
-                    continue
-            out.append(("email", *m.span()))
+    signs = any(x in text for x in ("@", "at)", "at]", "AT)", "AT]", "at }", "at )", "at ]", " dot ", " DOT "))
+    for m in _around(_AT_SIGN, _EMAIL, text, 100, 120) if signs else ():
+        taken.append(m.span())
+        if "@" in m.group() and (_REMOTE.match(text, m.end()) or text[max(0, m.start() - 3) : m.start()] == "://"):
+            continue  # the login of a code remote
+        out.append(("email", *m.span()))
+    for m in _around(_BEFORE_CAPITAL, _ADDRESS, text, 90, 120):
+        if free(*m.span()):
+            out.append(("address", *m.span()))
             taken.append(m.span())
-    if any(map(str.isdigit, text)):
-        for m in _ADDRESS.finditer(text):
-            if free(*m.span()):
-                out.append(("address", *m.span()))
-                taken.append(m.span())
+    for run in _RUN.finditer(text):
+        low, high = max(0, run.start() - 6), run.end() + 14
         for kind, pattern in (("id_number", _ID), ("phone", _PHONE)):
-            for m in pattern.finditer(text):
+            for m in pattern.finditer(text, low, high):
                 a, b = m.span()
-                if kind == "phone" and not 7 <= _digits(m.group()) <= 20:
+                if b == high:
+                    m = pattern.match(text, a)
+                    if m is None:
+                        continue
+                    b = m.end()
+                if kind == "phone" and not 7 <= _digits(text[a:b]) <= 20:
                     continue
                 if free(a, b):
                     out.append((kind, a, b))
@@ -126,14 +154,13 @@ def _blank(text: str, spans: list[tuple[str, int, int]]) -> str:
     return text
 
 
-def _locals(text: str, spans: list[tuple[str, int, int]]) -> dict[int, str]:
-    """Lower-case local part of each email, by the number of its line."""
-    out: dict[int, str] = {}
-    for kind, a, b in spans:
-        if kind == "email":
-            line = text.count("\n", 0, a)
-            out[line] = out.get(line, "") + " " + re.split(r"@| ?[\[({] ?at| at ", text[a:b].lower(), maxsplit=1)[0]
-    return out
+def _lines_with_emails(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """Start and end of each line with an email, and the lower-case local part."""
+    return [(text.rfind("\n", 0, a) + 1, (text + "\n").index("\n", b), re.split(r"@| ?[\[({] ?at| at ", text[a:b].lower(), maxsplit=1)[0]) for kind, a, b in spans if kind == "email"]
+
+
+def _first(word: str) -> str:
+    return word.split("-", 1)[0].lower()
 
 
 def _count(given: frozenset[str], family: frozenset[str]):
@@ -144,38 +171,42 @@ def _count(given: frozenset[str], family: frozenset[str]):
             n, g, f = Counter(), Counter(), Counter()
             for text in batch.column(1).to_pylist():
                 spans = structured(text)
-                near = _locals(text, spans)
-                blank = _blank(text, spans)
-                line, at = 0, 0
+                blank = _blank(text, spans) if spans else text
+                words = []
                 for m in _CAP.finditer(blank):
-                    word = m.group()
-                    low = word.lower()
-                    n[low] += 1
-                    a, b = m.span()
-                    after = blank[b : b + 2]
-                    # as a given name
-                    if after[:1] == " " and (r := _RIGHT_FAMILY.match(blank, b)) and r.group(1).lower() in family:
-                        turned = _RIGHT_GIVEN.match(blank, r.end())  # family, given: the word before is none of it
-                        g[low] += not (turned and turned.group(1).split("-")[0].lower() in given)
-                    elif blank[a - 2 : a] == ", " and (left := _ENDS.search(blank[max(0, a - 50) : a - 2])) and left.group(1).lower() in family:
-                        g[low] += 1
-                    # as a family name
-                    before = blank[max(0, a - 40) : a]
-                    if before[-1:] == " " and ((r := _LEFT_GIVEN.search(before)) and r.group(1).split("-")[0].lower() in given or _LEFT_INITIAL.search(before) or _TITLE.search(before)):
-                        f[low] += 1
-                    elif after == ", " and (r := _RIGHT_GIVEN.match(blank, b)) and r.group(1).split("-")[0].lower() in given and not _RIGHT_FAMILY.match(blank, r.end()):
+                    low = m.group().lower()
+                    words.append(low)
+                    if low in family:
+                        a, b = m.span()
+                        before = blank[max(0, a - 50) : a]
+                        turned = _RIGHT_GIVEN.match(blank, b)
+                        if turned and not _RIGHT_FAMILY.match(blank, turned.end()):
+                            if _ENDS.search(before + m.group()):
+                                g[_first(turned.group(1))] += 1
+                        if (r := _LEFT_GIVEN.search(before)) and not (turned and _first(turned.group(1)) in given):
+                            g[_first(r.group(1))] += 1
+                        if _LEFT_INITIAL.search(before) or _TITLE.search(before):
+                            f[low] += 1
+                    if low in given:
+                        a, b = m.span()
+                        if r := _RIGHT_FAMILY.match(blank, b):
+                            f[r.group(1).lower()] += 1
+                        elif blank[a - 2 : a] == ", " and (r := _ENDS.search(blank[max(0, a - 50) : a - 2])):
+                            f[r.group(1).lower()] += 1
+                n.update(words)
+                for at in _MARK.finditer(blank):  # behind an initial or a title
+                    if (m := _MARKED.match(blank, at.start())) and (low := m.group(1).lower()) not in family:
                         f[low] += 1
-                    elif near and len(low) >= 4:
-                        line += blank.count("\n", at, a)
-                        at = a
-                        own = near.get(line)
-                        if own and low in own:
-                            if after[:1] == " " and _RIGHT_FAMILY.match(blank, b):
+                for start, stop, own in _lines_with_emails(text, spans):
+                    for m in _CAP.finditer(blank, start, stop):
+                        low = m.group().lower()
+                        if len(low) >= 4 and low in own and low not in given and low not in family:
+                            if _RIGHT_FAMILY.match(blank, m.end()):
                                 g[low] += 1
-                            elif before[-1:] == " " and _LEFT_GIVEN.search(before):
+                            elif _LEFT_GIVEN.search(blank[max(0, m.start() - 40) : m.start()]):
                                 f[low] += 1
             words = list(n)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (n, g, f)]], ["term", "n", "given", "family"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([min(c[w], n[w]) for w in words], pa.int64()) for c in (n, g, f)]], ["term", "n", "given", "family"])
 
     return run
 
@@ -222,7 +253,7 @@ def names_in(blank: str, lexicon: dict[str, tuple[int, int]]) -> list[tuple[int,
         if a < end:
             continue
         got = lexicon.get(m.group().lower())
-        if got is None:
+        if got is None or (a and (blank[a - 1].isalnum() or blank[a - 1] in "@#_")):
             continue
         g, f = got
         span = None
@@ -248,7 +279,7 @@ def names_in(blank: str, lexicon: dict[str, tuple[int, int]]) -> list[tuple[int,
                 span = [a, b]
         if span is None:
             continue
-        if span[1] == b or span[1] > b:
+        if span[1] >= b:
             while hy := _HYPHEN.match(blank, span[1]):
                 span[1] = hy.end()
         out.append((span[0], span[1]))
