@@ -8,10 +8,30 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import binpacking, boilerplate, knn, leakage, neardup, pii, splitting
+from quern.llm import binpacking, boilerplate, knn, leakage, neardup, pairs, pii, splitting
 from quern.llm._base import table
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All answers with their questions."""
+    items = table(spark, sf_dir, "eval_items")
+    cache = table(spark, sf_dir, "cache_entries").select(F.lit("cache_entry").alias("record_kind"), F.col("entry_id").alias("record_id"), "question", "answer")
+    asked = items.select("item_id", "question")
+    result = table(spark, sf_dir, "item_results").join(asked, "item_id", "left").select(F.lit("item_result").alias("record_kind"), F.col("result_id").alias("record_id"), "question", "answer")
+    own = items.select(F.lit("eval_item").alias("record_kind"), F.col("item_id").cast("bigint").alias("record_id"), "question", F.col("expected_answer").alias("answer"))
+    return cache.unionByName(result).unionByName(own)
+
+
+def p1_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with its defect, if any."""
+    return pairs.defects(_pairs(spark, sf_dir), "record_kind", "record_id", "question", "answer").withColumnsRenamed({"kind": "record_kind", "id": "record_id", "defect": "defect_type"})
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose answer is no usable reply."""
+    return p1_scored(spark, sf_dir).where("defect_type is not null").select("record_kind", "record_id", "defect_type")
+
+
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contents of both record tables under one schema."""
     of = lambda kind, name, key: table(spark, sf_dir, name).select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_id"), "content")
@@ -99,7 +119,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p2_found, p2_groups, p3_found, p3_articles, p4_found, p4_pieces, p5_found, p5_neighbours, p6_containers, p7_found, p7_coverage, p8_found, p8_redacted]
+    own = [p1_found, p1_scored, p2_found, p2_groups, p3_found, p3_articles, p4_found, p4_pieces, p5_found, p5_neighbours, p6_containers, p7_found, p7_coverage, p8_found, p8_redacted]
     return {f.__name__: f for f in own}
 
 
