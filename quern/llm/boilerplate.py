@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from operator import ne
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -39,6 +40,9 @@ SAMPLE, LINES = 800, 14_000
 #: Cost, in log odds, of a change of label between two lines of a block.
 SWITCH = 1.0
 
+#: Bits of the map that articles are counted in.
+_BITS = 256
+
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _SEPARATOR = re.compile(r"\s[|›»>/·•]\s|\s::\s|\s{3,}\S")
@@ -69,6 +73,9 @@ def slug_of(url: str | None) -> set[str]:
 
 
 def _key(line: str) -> int:
+    """A line's identity: blanks, case, bullets and numbers aside for short ones, as they are for long ones."""
+    if len(line) > 240:
+        return xxhash.xxh64_intdigest(line) >> 1
     return xxhash.xxh64_intdigest(_DIGITS.sub("0", " ".join(_BULLET.sub("", line, count=1).lower().split()))) >> 1
 
 
@@ -88,7 +95,7 @@ def kinds(lines: list[str]) -> list[str]:
             out.append("table")
         elif _BULLET.match(line):
             out.append("list")
-        elif len(_SEPARATOR.findall(line)) >= 1 and not _END.search(s):
+        elif not _END.search(s[-12:]) and _SEPARATOR.search(line):
             out.append("separated")
         else:
             out.append("text")
@@ -104,24 +111,28 @@ def _page_lines(content: str) -> tuple[list[int], list[str]]:
     return nos, lines
 
 
-def _title(lines: list[str], kind: list[str], slug: set[str]) -> str:
+def _title(lines: list[str], slug: set[str]) -> str:
     """The first heading, else the line most like the address."""
-    for line, k in zip(lines, kind, strict=True):
-        if k == "heading":
+    fenced = False
+    for line in lines:
+        if line.startswith("```"):
+            fenced = not fenced
+        elif not fenced and line.startswith("#"):
             return " ".join(w.lower() for w in _WORD.findall(line))
     best, most = "", 0.0
-    for line, k in zip(lines, kind, strict=True):
-        w = [x.lower() for x in _WORD.findall(line)]
-        if w and k == "text" and slug:
-            s = len(slug & set(w)) / len(slug | set(w))
-            if s > most:
-                best, most = " ".join(w), s
+    if slug:
+        for line in lines:
+            if len(line) <= 160:
+                w = {x.lower() for x in _WORD.findall(line)}
+                s = len(slug & w) / len(slug | w)
+                if s > most:
+                    best, most = " ".join(sorted(w)), s
     return best
 
 
 def _prints(lines: list[str], cache: Hashes) -> tuple[int, int]:
     """Two minimum hashes of the word triples of a page's long lines, which edited copies mostly share."""
-    words = [w for line in lines if len(line) >= 80 for w in _WORD.findall(line.lower())]
+    words = [w for line in lines if len(line) >= 80 for w in line.lower().split()]
     runs = shingles(word_hashes(words, cache), 3) >> np.uint64(1)
     if not len(runs):
         return 0, 0
@@ -138,8 +149,7 @@ def _line_rows(batches):
             nos, lines = _page_lines(text)
             if not lines:
                 continue
-            kind = kinds(lines)
-            title = xxhash.xxh64_intdigest(_title(lines, kind, slug_of(url))) >> 1
+            title = xxhash.xxh64_intdigest(_title(lines, slug_of(url))) >> 1
             first, second = _prints(lines, cache)
             host = host_of(url)
             for no, line in zip(nos, lines, strict=True):
@@ -180,7 +190,7 @@ def features(pages: list[tuple[list[str], list[str], set[str]]], counts: np.ndar
             own.append(
                 (
                     len(s), len(ws), bool(_END.search(s[-12:])), len(_SEPARATOR.findall(line)) if short else 0, len(_CONTROL.findall(s)) if short else 0, s.count("`"),
-                    sum([w[0].isupper() for w in ws]) / n, sum([w.isupper() for w in ws]) / n, sum([c.isdigit() for c in s[:200]]) / len(s[:200]),
+                    sum(map(ne, ws, low)) / n, s.isupper(), sum(map(len, _DIGITS.findall(s))) / len(s),
                     shared / n_slug, shared / (len(slug | distinct) or 1), sum(o) / n, max(o, default=0.0), get_odds("^" + low[0], 0.0) if low else 0.0, get_odds("#" + low[0], 0.0) if low else 0.0, get_odds("~" + low[0], 0.0) if low else 0.0,
                 )
             )
@@ -396,18 +406,22 @@ def _prepared(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFr
     pages = pages.withColumn("uid", F.xxhash64("id", "url", "text"))
     pages = pages.dropDuplicates(["uid"])
     lines = _base.stage(pages.select("uid", "url", "text").mapInArrow(_line_rows, "uid bigint, line_no int, host string, key bigint, title bigint, print1 bigint, print2 bigint"), "page-lines")
-    # articles with a line: by title and by two fingerprints, whichever are fewest; counted in steps, so no key gathers its pages
-    narrow = None
-    for c in ("title", "print1", "print2"):
-        here = lines.groupBy("host", "key", c).agg(F.count("*").alias("c"))
-        own = here.groupBy("host", "key").agg(F.count("*").alias(f"n_{c}"), F.sum("c").alias(f"lines_{c}"))
-        narrow = own if narrow is None else narrow.join(own, ["host", "key"])
-    narrow = narrow.select("host", "key", F.least("n_title", "n_print1", "n_print2").alias("articles"), F.col("lines_title").alias("pages"))
-    sites = narrow.groupBy("key").agg(F.count("*").alias("sites"))
-    broad = lines.groupBy("key", "print1").agg(F.lit(1).alias("c")).groupBy("key").agg(F.count("*").alias("everywhere"))
-    titled = lines.groupBy("key", "title").agg(F.lit(1).alias("c")).groupBy("key").agg(F.count("*").alias("titled"))
-    sites = sites.where("sites > 1").join(broad, "key").join(titled, "key").select("key", F.least("sites", "everywhere", "titled").alias("sites"))
-    site = lines.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("site"))
+    # Articles with a line: by title and by two fingerprints, whichever are fewest. Each is counted by linear counting
+    # in a map of bits, which all partitions fill and "or" together, so no key gathers its pages.
+    def filled(c: str) -> list:
+        bit = f"pmod({c}, {_BITS})"
+        return [F.expr(f"bit_or(if({bit} div 64 = {i}, shiftleft(1L, cast({bit} % 64 as int)), 0L))").alias(f"{c}{i}") for i in range(_BITS // 64)]
+
+    def counted(c: str):
+        full = sum((F.bit_count(f"{c}{i}") for i in range(1, _BITS // 64)), F.bit_count(f"{c}0"))
+        return F.round(-_BITS * F.log(1 - F.least(full, F.lit(_BITS - 1)) / _BITS)).cast("bigint")
+
+    again = lambda c: [F.bit_or(f"{c}{i}").alias(f"{c}{i}") for i in range(_BITS // 64)]
+    maps = lines.groupBy("host", "key").agg(F.count("*").alias("pages"), *filled("title"), *filled("print1"), *filled("print2"))
+    sites = maps.groupBy("key").agg(F.count("*").alias("hosts"), *again("title"), *again("print1")).where("hosts > 1")
+    sites = sites.select("key", F.least("hosts", counted("title"), counted("print1")).alias("sites"))
+    site = lines.groupBy("host").agg(*filled("title")).select("host", counted("title").alias("site"))
+    narrow = maps.select("host", "key", "pages", F.least(counted("title"), counted("print1"), counted("print2")).alias("articles"))
     wide = narrow.join(sites, "key", "left").withColumn("sites", F.coalesce("sites", F.lit(1))).where("pages > 1 or sites > 1").join(site, "host")
     known = lines.select("uid", "line_no", "host", "key").join(wide, ["host", "key"]).groupBy("uid").agg(F.collect_list(F.struct("line_no", "articles", "pages", "site", "sites")).alias("stats"))
     return _base.stage(pages.join(known, "uid", "left").select("uid", "id", "url", "text", "stats"), "pages")
