@@ -123,5 +123,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_CONTENTS = "(SELECT 'document' AS record_kind, record_id, content FROM loaded_documents UNION ALL SELECT 'chunk', chunk_id, content FROM chunks)"
+
+
+def _nearest(kind: str, name: str, key: str, vec: str) -> str:
+    v = f"(SELECT {key} AS id, CAST({vec} AS DOUBLE[]) AS v FROM {name} WHERE {vec} IS NOT NULL AND list_dot_product(CAST({vec} AS DOUBLE[]), CAST({vec} AS DOUBLE[])) > 0)"
+    return f"""SELECT '{kind}' AS record_kind, least(id, other) AS id_a, greatest(id, other) AS id_b FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.id) AS r
+      FROM {v} a JOIN {v} b ON a.id <> b.id) WHERE r <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": rf"""WITH w AS (SELECT record_kind, record_id AS id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM {_CONTENTS} WHERE content IS NOT NULL),
+          s AS (SELECT record_kind, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
+          e AS (SELECT record_kind, id, len(s) AS n, unnest(s) AS g FROM s),
+          p AS (SELECT a.record_kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, count(*) AS x FROM e a JOIN e b ON a.record_kind = b.record_kind AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+          SELECT record_kind, id_a, id_b FROM p WHERE x / (n_a + n_b - x) >= 0.6""",
+        "p4_found": f"SELECT record_kind, record_id FROM {_CONTENTS} WHERE length(content) > 1200",
+        "p5_found": f"SELECT DISTINCT * FROM ({_nearest('chunk', 'chunks', 'chunk_id', 'embedding')} UNION ALL {_nearest('cache_entry', 'cache_entries', 'entry_id', 'question_embedding')})",
+    }
