@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.session import spread
 
 #: Words of a chunk, and of the end of a chunk that the next one repeats; words of a child window, and its least.
 SIZE, OVERLAP, CHILD, CHILD_LEAST = 150, 30, 40, 5
@@ -269,12 +270,12 @@ def chunk_documents(df: DataFrame, key: str, text: str, name: str, is_python: Co
     if overlap >= size:
         raise ValueError("the overlap must be below the size")
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.coalesce(F.col(name), F.lit("document")).alias("n"), F.coalesce(is_python, F.lit(False)).alias("p"))
-    return rows.where("t <> ''").mapInArrow(_rows(size, overlap), _SCHEMA)
+    return spread(rows.where("t <> ''")).mapInArrow(_rows(size, overlap), _SCHEMA)
 
 
 def word_windows(df: DataFrame, key: str, text: str, *, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Windows of ``size`` words, a new one every ``size - overlap`` words, the last maybe mere overlap."""
-    w = df.select(key, T.words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    w = spread(df.select(key, text)).select(key, T.words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(size - overlap))
     out = w.select(key, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.lit(size)), " "))).alias("window_no", "window"))
     return out.withColumn("words", F.size(F.split("window", " ")))

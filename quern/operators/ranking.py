@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
+from quern.session import spread
 
 #: Okapi parameters: saturation, length, and the share of the mean idf that a negative idf is raised to.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Most query terms that are broadcast.
+TERMS = 100_000
 #: Rank constant of the fusion.
 RRF_K = 60
 
@@ -46,16 +49,20 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     scope = scope or []
     asked = queries.select(query_key, *[c for c in scope if c in queries.columns], F.explode(T.lexical_tokens(F.col(query_text))).alias("term"))
     asked = asked.groupBy(*asked.columns).agg(F.count("*").alias("qtf"))
-    tokens = docs.select(*scope, key, T.lexical_tokens(F.col(text)).alias("tokens")).withColumn("dl", F.greatest(F.size("tokens"), F.lit(0)))
-    tf = tokens.select(*scope, key, "dl", F.explode("tokens").alias("term")).groupBy(*scope, key, "dl", "term").agg(F.count("*").alias("tf"))
+    tokens = spread(docs.select(*scope, key, text)).select(*scope, key, T.lexical_tokens(F.col(text)).alias("tokens")).withColumn("dl", F.greatest(F.size("tokens"), F.lit(0)))
     totals = tokens.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
+    # a document counts once for a term, so its distinct terms are counted where it stands: only terms are shuffled
+    df = tokens.select(*scope, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*scope, "term").agg(F.count("*").alias("df"))
     both = (lambda a, b: a.join(b, scope) if scope else a.crossJoin(F.broadcast(b)))  # without a scope the totals are one row
     idf = both(df, totals).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.groupBy(*scope).agg((F.avg("idf") * EPSILON).alias("floor"))
     idf = both(idf, mean).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).select(*scope, "term", "idf", "avgdl")
-    shared = ["term", *[c for c in scope if c in queries.columns]]
-    weight = asked.join(idf, shared)
+    weight = asked.join(idf, ["term", *[c for c in scope if c in queries.columns]])
+    # postings of the asked terms only; a small set of terms is sent to the documents, a large one joined
+    terms = asked.select("term").distinct()
+    if terms.limit(TERMS + 1).count() <= TERMS:
+        terms = F.broadcast(terms)
+    tf = tokens.select(*scope, key, "dl", F.explode("tokens").alias("term")).join(terms, "term").groupBy(*scope, key, "dl", "term").agg(F.count("*").alias("tf"))
     length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     hits = tf.join(weight, [*scope, "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
@@ -73,7 +80,7 @@ def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key:
     vectors take no part.
     """
     scope = scope or []
-    d = docs.select(*scope, key, F.col(vector).alias("dv")).where(F.col("dv").isNotNull()).withColumn("dn", V.norm(F.col("dv"))).where("dn > 0")
+    d = spread(docs.select(*scope, key, F.col(vector).alias("dv"))).where(F.col("dv").isNotNull()).withColumn("dn", V.norm(F.col("dv"))).where("dn > 0")
     q = queries.select(*scope, query_key, F.col(query_vector).alias("qv")).where(F.col("qv").isNotNull()).withColumn("qn", V.norm(F.col("qv"))).where("qn > 0")
     if scope:
         pairs = d.join(q, scope)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import chunking, evaluation, filters, graph, maintenance, ranking, replies, routing, state
-from quern.session import table
+from quern.session import spread, table
 from quern.sources import files, html, media
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,12 +53,12 @@ _WS = r"case when trim(regexp_replace(coalesce({0}, ''), '[ \t\n\x0b\f\r]+', ' '
 
 @query(f"SELECT doc_id, CAST(len({_LEX.format('text')}) AS BIGINT) AS tokens FROM documents")
 def tokenize_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(T.lexical_tokens(F.col("text"))).cast("bigint")).alias("tokens"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.when(F.col("text").isNotNull(), F.size(T.lexical_tokens(F.col("text"))).cast("bigint")).alias("tokens"))
 
 
 @query(f"SELECT chunk_id, array_to_string({_SEARCH.format('content')}, ' ') AS tokens FROM chunks")
 def search_tokens(spark, sf):
-    return table(spark, sf, "chunks").select("chunk_id", F.array_join(T.search_tokens(F.col("content")), " ").alias("tokens"))
+    return spread(table(spark, sf, "chunks").select("chunk_id", "content")).select("chunk_id", F.array_join(T.search_tokens(F.col("content")), " ").alias("tokens"))
 
 
 @query(f"SELECT record_id, CAST(len({_WS.format('content')}) AS BIGINT) AS words FROM loaded_documents")
@@ -428,7 +428,7 @@ def _labels_sql(keywords: dict[str, list[str]]) -> str:
 
 
 def _labels(spark: SparkSession, sf: str, keywords: dict[str, list[str]]) -> DataFrame:
-    return table(spark, sf, "chunks").select("chunk_id", F.array_join(routing.labels(F.col("content"), keywords), ",").alias("labels"))
+    return spread(table(spark, sf, "chunks").select("chunk_id", "content")).select("chunk_id", F.array_join(routing.labels(F.col("content"), keywords), ",").alias("labels"))
 
 
 @query(_labels_sql(routing.ROUTES))
@@ -602,7 +602,7 @@ def sentence_counts(spark, sf):
 
 @query()
 def sentence_windows(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.sentence_windows(F.col("text"))).alias("window_no", "window"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunking.sentence_windows(F.col("text"))).alias("window_no", "window"))
 
 
 @query(

@@ -30,3 +30,18 @@ def local_session(name: str = "quern", cores: str | int = "*", partitions: int =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of one data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, least_bytes: int = 1 << 18) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where its scan has fewer.
+
+    A file with one row group is one task, however costly the work on its rows. Large inputs
+    have enough partitions and are left as they are, so nothing is shuffled at
+    scale; so are inputs under ``least_bytes``, for which a shuffle costs more than it saves.
+    Apply it behind the choice of columns.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < least_bytes or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
