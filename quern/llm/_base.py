@@ -52,11 +52,6 @@ def vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
-def spread(df: DataFrame, n_bytes_per_task: str | None = None) -> DataFrame:
-    """``df`` in at least as many partitions as the cluster has cores, so that costly Python work uses all of them."""
-    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, 1))
-
-
 def unit(df: DataFrame, **columns: str) -> DataFrame:
     """The given columns only, under fixed names: further columns of any name are left out early."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import _base
+from quern.session import spread
 
 #: Items that one task packs, about.
 TASK_ITEMS = 50_000
@@ -57,7 +58,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["id", "tokens"])
 
     rows = _base.unit(df, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.where("id is not null and text <> ''").mapInArrow(run, "id bigint, tokens bigint")
+    return spread(rows.where("id is not null and text <> ''")).mapInArrow(run, "id bigint, tokens bigint")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import _base
+from quern.session import spread
 from quern.llm.gbt import Boosted
 from quern.llm.text import Hashes, mix, shingles, word_hashes
 
@@ -405,7 +406,7 @@ def _prepared(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFr
     pages = _base.unit(df, id=id_col, url=url_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.col("url").cast("string").alias("url"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     pages = pages.withColumn("uid", F.xxhash64("id", "url", "text"))
     pages = pages.dropDuplicates(["uid"])
-    lines = _base.stage(pages.select("uid", "url", "text").mapInArrow(_line_rows, "uid bigint, line_no int, host string, key bigint, title bigint, print1 bigint, print2 bigint"), "page-lines")
+    lines = _base.stage(spread(pages.select("uid", "url", "text")).mapInArrow(_line_rows, "uid bigint, line_no int, host string, key bigint, title bigint, print1 bigint, print2 bigint"), "page-lines")
     # Articles with a line: by title and by two fingerprints, whichever are fewest. Each is counted by linear counting
     # in a map of bits, which all partitions fill and "or" together, so no key gathers its pages.
     def filled(c: str) -> list:
@@ -437,7 +438,7 @@ def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, *, sampl
     pages = _prepared(df, id_col, url_col, text_col)
     rows = pages.orderBy(F.hash("uid"), "uid").limit(sample).select("url", "text", "stats").toArrow().to_pylist()
     odds, trees = _fit([(r["url"], r["text"], {s["line_no"]: (s["articles"], s["pages"], s["site"], s["sites"]) for s in r["stats"] or ()}) for r in rows])
-    return pages.mapInArrow(_classify(odds, trees), "id bigint, line_no int, furniture boolean, score double")
+    return spread(pages).mapInArrow(_classify(odds, trees), "id bigint, line_no int, furniture boolean, score double")
 
 
 def articles(df: DataFrame, id_col: str, url_col: str, text_col: str, *, sample: int = SAMPLE) -> DataFrame:

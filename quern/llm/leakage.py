@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import _base
+from quern.session import spread
 from quern.llm.text import WORD, Hashes, mix, word_hashes
 
 #: Words of test fields in one block: 16 MB of seeds.
@@ -152,6 +153,7 @@ def leaks(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_c
                     size = 0
                 blocks[-1].append((row["item"], name, word_hashes(words, cache)))
                 size += len(words)
+    texts = spread(texts)
     found = [texts.mapInArrow(_scan(b, least), schema) for b in blocks if b]
     if not found:
         return docs.sparkSession.createDataFrame([], schema)

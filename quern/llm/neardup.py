@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import _base
+from quern.session import spread
 from quern.llm.text import WORD, Hashes, mix, shingles, word_hashes
 
 #: Members of a class that one task pairs with all of the class.
@@ -127,7 +128,7 @@ def classes(df: DataFrame, kind_col: str, id_col: str, text_col: str, *, size: i
     texts counts with each of them. A null kind is a kind of its own. An empty table gives empty results.
     """
     rows = _base.unit(df, kind=kind_col, id=id_col, text=text_col).select(F.coalesce(F.col("kind").cast("string"), F.lit("")).alias("kind"), F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    prints = _base.stage(rows.mapInArrow(_fingerprints(size, min_words, blocks, width), "kind string, id bigint, w1 bigint, w2 bigint, n int, print array<bigint>"), "neardup-prints")
+    prints = _base.stage(spread(rows).mapInArrow(_fingerprints(size, min_words, blocks, width), "kind string, id bigint, w1 bigint, w2 bigint, n int, print array<bigint>"), "neardup-prints")
     word = ["kind", "w1", "w2"]
     rep = prints.groupBy(*word).agg(F.min("id").alias("rep"))
     members = prints.select(*word, "id").distinct().join(rep, word).select("kind", "id", "rep")

@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import _base
+from quern.session import spread
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 #: Most pairs that the classifier is fitted on.
-SAMPLE = 3000
+SAMPLE = 1800
 _DIMS = 1 << 16
 
 # ---- fixed word lists: frequent function words by language
@@ -399,7 +400,7 @@ def train(rows: list[tuple[str, str]], stats: dict[str, tuple[int, int]], seed:
                 Y[i, k] = 1
         held = np.random.default_rng(seed).random(len(made)) < 0.2
         fit, rest = np.nonzero(~held)[0], np.nonzero(held)[0]
-        model = Linear().fit([hashed[i] for i in fit], dense[fit], Y[fit], epochs=6 if rounds == 0 else 12)
+        model = Linear().fit([hashed[i] for i in fit], dense[fit], Y[fit], epochs=5 if rounds == 0 else 9)
         model.calibrate(model.predict([hashed[i] for i in rest], dense[rest]), Y[rest])
         if rounds == 0:
             own = [features(q, a, stats.get(last_word(a), (0, 0))) for q, a in usable]
@@ -456,7 +457,7 @@ def defects(df: DataFrame, kind_col: str, id_col: str, question_col: str, answer
     sample has too few usable answers to learn from, only empty answers are found; an empty table gives an empty result.
     """
     rows = _base.unit(df, kind=kind_col, id=id_col, question=question_col, answer=answer_col).select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("bigint").alias("id"), F.col("question").cast("string").alias("question"), F.col("answer").cast("string").alias("answer"))
-    marked = _base.stage(rows.mapInArrow(_last, "kind string, id bigint, question string, answer string, last string"), "pairs")
+    marked = _base.stage(spread(rows).mapInArrow(_last, "kind string, id bigint, question string, answer string, last string"), "pairs")
     words = marked.select("answer").mapInArrow(_tally, "word string, n bigint, ends bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     words = _base.stage(words, "pairs-words")
     held = marked.where("length(answer) >= 60").orderBy(F.xxhash64("answer", "question"), "kind", "id").limit(sample).select("question", "answer").toArrow().to_pylist()
@@ -466,4 +467,4 @@ def defects(df: DataFrame, kind_col: str, id_col: str, question_col: str, answer
     stats = {r["word"]: (r["n"], r["ends"]) for r in words.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in sorted(own)] or [("",)], "word string")), "word").toArrow().to_pylist()}
     model = train(asked, stats)
     known = marked.join(words.withColumnRenamed("word", "last"), "last", "left").select("kind", "id", "question", "answer", "n", "ends")
-    return known.mapInArrow(_classify(model), "kind string, id bigint, defect string, score double")
+    return spread(known, 1 << 16).mapInArrow(_classify(model), "kind string, id bigint, defect string, score double")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import _base
+from quern.session import spread
 
 #: Most terms of the lexicon that are sent to every task; a larger one is joined instead.
 SHIP = 200_000
@@ -332,6 +333,7 @@ def _terms_of(batches):
 
 def _run(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, kind_col: str, redact: bool, ship: int) -> DataFrame:
     texts = _base.unit(df, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    texts = spread(texts)
     lexicon = _base.stage(disclosure(texts.where("text <> ''"), names, name_col, kind_col), "pii-lexicon")
     schema = "id bigint, text string" if redact else "id bigint, pii_type string, start_char bigint, end_char bigint"
     if lexicon.count() <= ship:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import _base
+from quern.session import spread
 
 #: Characters of a range. Halo: on either side, enough to see every boundary a piece in reach of the anchor could use.
 RANGE, HALO = 65_536, 4096
@@ -137,7 +138,7 @@ def split_oversized(df: DataFrame, kind_col: str, id_col: str, text_col: str, *,
     if halo < 2 * limit or size < 8 * limit:
         raise ValueError("ranges and halos must be large against the limit")
     rows = _base.unit(df, kind=kind_col, id=id_col, text=text_col).select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("bigint").alias("id"), "text")
-    long = rows.withColumn("n", F.length("text").cast("bigint")).where(F.col("n") > limit).where("id is not null")
+    long = spread(rows).withColumn("n", F.length("text").cast("bigint")).where(F.col("n") > limit).where("id is not null")
     schema = "kind string, id bigint, range_no bigint, local_no int, begin bigint, stop bigint, piece string"
     run = _cut_ranges(limit, overlap, size, halo)
     whole = long.where(F.col("n") <= size).select("kind", "id", F.lit(0).cast("bigint").alias("range_no"), "n", F.lit(0).cast("bigint").alias("base"), "text").mapInArrow(run, schema)
