@@ -28,9 +28,9 @@ def compile_where(where: dict[str, Any] | None, columns: list[str]) -> Column:
             parts.append(F.lit(False))
         elif isinstance(value, dict):
             known = set(value) == {"$in"}
-            parts.append(F.coalesce(F.col(f"`{key}`").isin(list(value["$in"])), F.lit(False)) if known and value.get("$in") else F.lit(False))
+            parts.append(F.col(f"`{key}`").isNotNull() & F.col(f"`{key}`").isin(list(value["$in"])) if known and value.get("$in") else F.lit(False))
         else:
-            parts.append(F.coalesce(F.col(f"`{key}`") == F.lit(value), F.lit(False)))
+            parts.append(F.col(f"`{key}`").isNotNull() & (F.col(f"`{key}`") == F.lit(value)))
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 

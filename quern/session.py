@@ -7,10 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(name: str = "quern", cores: str | int = "*", partitions: int = 8) -> SparkSession:
+def local_session(name: str = "quern", cores: str | int = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use.
 
-    On a cluster the caller brings its own session; nothing in the library
+    Further settings come as keywords, with two underscores for a dot. On a cluster the caller brings its own session; nothing in the library
     depends on a setting made here.
     """
     return (
@@ -21,6 +21,7 @@ def local_session(name: str = "quern", cores: str | int = "*", partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUERN_DRIVER_MEMORY", "8g"))
+        .config(map={k.replace("__", "."): v for k, v in conf.items()})
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

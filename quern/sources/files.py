@@ -84,5 +84,6 @@ def activity_text(number: Column, title: Column, state: Column, body: Column) ->
 
 def heading(style: Column, text: Column) -> Column:
     """A paragraph of a word processor by its style: titles and headings get hashes, at most six."""
-    level = F.when(style == "Title", 1).otherwise(F.least(F.expr("try_cast(1 as int)") * F.regexp_extract(style, r"^Heading (\d+)$", 1).try_cast("int"), F.lit(6)))
+    number = F.regexp_extract(style, r"^Heading (\d+)$", 1).try_cast("int")
+    level = F.when(style == "Title", 1).when(number.isNotNull(), F.least(number, F.lit(6)))
     return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).otherwise(text)
