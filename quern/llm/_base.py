@@ -17,12 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []  # the temporary folder of a session without a shared one
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, a temporary one only where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Only where that is unset, as in tests, a temporary one."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not given:
-        given = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", given)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='quern-')}")
+        given = _OWN[0]
     return given.rstrip("/")
 
 
