@@ -28,7 +28,7 @@ from quern.session import spread
 SHIP = 200_000
 #: Share of a term's occurrences in a protected relation from which on it discloses by itself, and jointly.
 ALONE, JOINT = 0.35, 0.06
-#: Occurrences in a protected relation, and bits of disclosure, that a term outside the address book needs.
+#: Occurrences in a protected relation, and bits of disclosure (or half of the most there can be), that a term outside the address book needs.
 EVIDENCE, BITS = 3, 2.0
 
 # ---- forms that give the entity away. The word lists are fixed values.
@@ -37,7 +37,9 @@ _SPELLED = r"(?: ?[\[({] ?dot ?[\])}] ?| dot )"
 _DOT = rf"(?:{_SPELLED}|\.)"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 _LOCAL = r"[\w%+-]+(?:(?: ?[\[({] ?dot ?[\])}] ?|\.)[\w%+-]+)*"
-_EMAIL = re.compile(rf"(?<![\w.+%@/-]){_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}| at {_LABEL}(?:{_SPELLED}{_LABEL})*{_SPELLED})[^\W\d_]{{2,24}}(?![\w@+])", re.I)
+# endings of spelled-out domains; "dot" before another word is prose
+_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|pro|dev|app|xyz|online|site|cloud|tech|store|test|example|invalid|local|localhost"
+_EMAIL = re.compile(rf"(?<![\w.+%@/-]){_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}| at {_LABEL}(?:{_SPELLED}{_LABEL})*{_SPELLED}(?=(?:[a-z]{{2}}|{_ENDINGS})\b))[^\W\d_]{{2,24}}(?![\w@+])", re.I)
 _REMOTE = re.compile(r":[\w.~-]+/|:\d+/")
 
 _LONE = r"(?<![\w+./:@#-])"
@@ -237,7 +239,7 @@ def disclosure(texts: DataFrame, names: DataFrame, name_col: str, kind_col: str)
 
     def level(c: str, own: str, other: str):
         known = (F.col(own) == 1) & (F.col(other) == 0)
-        learned = (F.col(c) >= EVIDENCE) & (bits >= BITS) & (share(c) >= JOINT)
+        learned = (F.col(c) >= EVIDENCE) & (bits >= min(BITS, -math.log2(rate) / 2)) & (share(c) >= JOINT)
         by_itself = (share(c) >= ALONE) & (known | learned)
         return F.when(by_itself, 2).when(known | learned, 1).otherwise(0)
 
