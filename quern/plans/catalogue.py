@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import chunking, evaluation, filters, graph, maintenance, ranking, replies, routing, state
+from quern.plans import pipelines
 from quern.session import spread, table
 from quern.sources import files, html, media
 
@@ -419,6 +420,66 @@ def last_n_turns(spark, sf):
     return ranking.last_n(table(spark, sf, "cache_entries"), ["owner"], "entry_id", 8).select("owner", "entry_id", "turn")
 
 
+# ---- pipelines
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "cache_entries").where("entry_id % 20 = 0 and question is not null")
+    return e.select("owner", F.col("entry_id").alias("query_id"), F.col("question").alias("text"), F.col("question_embedding").alias("vector"))
+
+
+@query()
+def multi_base_retrieve(spark, sf):
+    return pipelines.retrieve(table(spark, sf, "chunks"), _asked(spark, sf))
+
+
+@query()
+def adaptive_retrieve(spark, sf):
+    return pipelines.adaptive(table(spark, sf, "chunks"), _asked(spark, sf))
+
+
+@query(
+    f"""WITH h AS (SELECT entry_id AS query_id, chunk_id, rank FROM ({_DENSE40}) WHERE rank <= 5), g AS (SELECT query_id, chunk_id, rank, 0 AS pass FROM h WHERE chunk_id % 3 <> 0), b AS (SELECT entry_id AS query_id, chunk_id, rank FROM ({_BM40})),
+    m AS (SELECT * FROM g UNION ALL SELECT query_id, chunk_id, rank, 1 FROM b WHERE query_id NOT IN (SELECT query_id FROM g GROUP BY query_id HAVING count(*) >= 4)), o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pass, rank) = 1)
+    SELECT query_id, chunk_id, rank, pass FROM (SELECT query_id, chunk_id, pass, row_number() OVER (PARTITION BY query_id ORDER BY pass, rank, chunk_id) AS rank FROM o) WHERE rank <= 5"""
+)
+def corrective_retrieve(spark, sf):
+    dense, lexical = (x.withColumnRenamed("entry_id", "query_id").select("query_id", "chunk_id", "rank") for x in _hybrid_lists(spark, sf))
+    hits = dense.where("rank <= 5")
+    grades = hits.select("query_id", "chunk_id", F.when(F.col("chunk_id") % 3 == 0, "incorrect").otherwise("correct").alias("relevance"))
+    return pipelines.corrected(hits, grades, lexical, least=4)
+
+
+@query()
+def packed_prompts(spark, sf):
+    chunks = table(spark, sf, "chunks")
+    dense, _ = _hybrid_lists(spark, sf)
+    hits = dense.where("rank <= 5").select(F.col("entry_id").alias("query_id"), "chunk_id", "rank")
+    asked = _asked(spark, sf)
+    e = table(spark, sf, "cache_entries").select("owner", F.col("entry_id").alias("turn"), "question", "answer")
+    past = ranking.last_n(e, ["owner"], "turn", 8).join(asked.select("owner", "query_id"), "owner")
+    return pipelines.prompts(hits, chunks, asked, past.select("query_id", "turn", "question", "answer"))
+
+
+@query()
+def ingest_documents(spark, sf):
+    d = table(spark, sf, "loaded_documents").where("document_id is not null")
+    return pipelines.ingest(ranking.keep_last(d, ["owner", "document_id"], ["arrived_at", "record_id"]).select("record_id", "owner", "document_id", "source_type", "content")).drop("embedding", "block_types")
+
+
+@query("SELECT chunk_id, coalesce(page_number = prev + 1 AND section = psec, false) AS continues FROM (SELECT chunk_id, page_number, section, lag(page_number) OVER w AS prev, lag(section) OVER w AS psec FROM chunks WHERE kb = 'pdf' AND page_number IS NOT NULL WINDOW w AS (PARTITION BY owner, document_id ORDER BY page_number, chunk_index, chunk_id))")
+def page_continuations(spark, sf):
+    w = Window.partitionBy("owner", "document_id").orderBy("page_number", "chunk_index", "chunk_id")
+    c = table(spark, sf, "chunks").where("kb = 'pdf' and page_number is not null")
+    same = (F.col("page_number") == F.lag("page_number").over(w) + 1) & (F.col("section") == F.lag("section").over(w))
+    return c.select("chunk_id", F.coalesce(same, F.lit(False)).alias("continues"))
+
+
+@query("SELECT record_id FROM loaded_documents d WHERE source_type = 'web' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.owner = d.owner AND c.document_id = d.document_id)")
+def not_yet_extracted(spark, sf):
+    return maintenance.without(table(spark, sf, "loaded_documents").where("source_type = 'web'"), table(spark, sf, "chunks"), ["owner", "document_id"]).select("record_id")
+
+
 # ---- routing
 
 

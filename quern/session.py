@@ -43,6 +43,9 @@ def spread(df: DataFrame, least_bytes: int = 1 << 18) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
-    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < least_bytes or df.rdd.getNumPartitions() >= cores:
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < least_bytes:
+        return df
+    # behind a shuffle the number is chosen when it runs; to ask for it would run it
+    if "AdaptiveSparkPlan" in plan.executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
