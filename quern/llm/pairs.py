@@ -457,8 +457,8 @@ def defects(df: DataFrame, kind_col: str, id_col: str, question_col: str, answer
     sample has too few usable answers to learn from, only empty answers are found; an empty table gives an empty result.
     """
     rows = _base.unit(df, kind=kind_col, id=id_col, question=question_col, answer=answer_col).select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("bigint").alias("id"), F.col("question").cast("string").alias("question"), F.col("answer").cast("string").alias("answer"))
-    marked = _base.stage(spread(rows).mapInArrow(_last, "kind string, id bigint, question string, answer string, last string"), "pairs")
-    words = marked.select("answer").mapInArrow(_tally, "word string, n bigint, ends bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    marked = _base.stage(rows.mapInArrow(_last, "kind string, id bigint, question string, answer string, last string"), "pairs")
+    words = spread(marked.select("answer"), 1 << 16).mapInArrow(_tally, "word string, n bigint, ends bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     words = _base.stage(words, "pairs-words")
     held = marked.where("length(answer) >= 60").orderBy(F.xxhash64("answer", "question"), "kind", "id").limit(sample).select("question", "answer").toArrow().to_pylist()
     asked = [(r["question"] or "", r["answer"]) for r in held]
@@ -466,5 +466,5 @@ def defects(df: DataFrame, kind_col: str, id_col: str, question_col: str, answer
     own = {w for _, a in asked for w in words_of(a)}
     stats = {r["word"]: (r["n"], r["ends"]) for r in words.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in sorted(own)] or [("",)], "word string")), "word").toArrow().to_pylist()}
     model = train(asked, stats)
-    known = marked.join(words.withColumnRenamed("word", "last"), "last", "left").select("kind", "id", "question", "answer", "n", "ends")
-    return spread(known, 1 << 16).mapInArrow(_classify(model), "kind string, id bigint, defect string, score double")
+    known = spread(marked, 1 << 16).join(words.withColumnRenamed("word", "last"), "last", "left").select("kind", "id", "question", "answer", "n", "ends")
+    return known.mapInArrow(_classify(model), "kind string, id bigint, defect string, score double")

@@ -52,7 +52,7 @@ _PHONE = re.compile(
     r"|1[ -]\d{3}[ -]\d{3}[ -]\d{4}"
     r"|\(\d{3}\) ?\d{3}[ -]\d{4}|\d{3}\.\d{3}\.\d{4}|[2-9]\d{2}-\d{3}-\d{4}|[2-9]\d{2}-\d{4}"
     r"|0\d{2} \d{4} \d{4}|0\d{3} \d{3} \d{4}|0\d{4} \d{6}|0\d{2,4}/\d{5,9}|\(0\d{2,4}\) ?\d{3,5}(?: \d{2,4}){1,2}"
-    r"|0\d(?:[ .]\d{2}){4}|[6-9]\d{2} \d{3} \d{3}"
+    r"|0\d(?:[ .]\d{2}){4}|[6-9]\d{2}[ .-]\d{3}[ .-]\d{3}"
     rf"){_EXT}{_END}"
 )
 _ID = re.compile(

@@ -115,6 +115,7 @@ def test_pages_of_nothing(spark):
         ("maps at Goband dot product 30, stopword@2.5.3", []),
         ("call +44 20 7946 0940.", [("phone", "+44 20 7946 0940")]),
         ("tel 1 503 555 0132 ext. 57 x", [("phone", "1 503 555 0132 ext. 57")]),
+        ("llama al 900-735-444 o al 0034 900520554", [("phone", "900-735-444"), ("phone", "0034 900520554")]),
         ("(415) 555 0183, 312.555.0175 and 030/23125143", [("phone", "(415) 555 0183"), ("phone", "312.555.0175"), ("phone", "030/23125143")]),
         ("checksum 7305394766, range 126000-735999, host 192.0.2.246:8066, Build 2024-8672, 940.8854 joules", []),
         ("SSN 946-60-6558, QQ 08 23 43 C and X87684134", [("id_number", "946-60-6558"), ("id_number", "QQ 08 23 43 C"), ("id_number", "X87684134")]),
