@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,33 +109,42 @@ def end_counts(text: str) -> tuple[Counter, Counter]:
     return n, ends
 
 
+_ORDER = {lang: i for i, lang in enumerate(_FUNCTION)}
+_ASCII_LETTERS = re.compile(r"[A-Za-z]+")
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+
+
 def languages(text: str) -> np.ndarray:
     """Shares of the languages' function words among all of the text's function words, weighed by how few languages share them; then how many there were."""
     plain = _CODE.sub(" ", _QUOTED.sub(" ", text))
-    out = np.zeros(len(_FUNCTION) + 1)
-    order = list(_FUNCTION)
+    out = [0.0] * (len(_FUNCTION) + 1)
     for w in words_of(plain):
-        for part in w.replace("’", "'").split("'"):
+        for part in w.replace("’", "'").split("'") if "'" in w or "’" in w else (w,):
             of = _BY_WORD.get(part)
             if of:
                 for lang in of:
-                    out[order.index(lang)] += 1 / len(of) ** 2
+                    out[_ORDER[lang]] += 1 / len(of) ** 2
                 out[-1] += 1 / len(of)
-    return out
+    return np.array(out)
 
 
 def script(text: str) -> np.ndarray:
     """Share of the letters of each script."""
-    c = Counter()
-    for ch in text:
-        if ch.isascii():
-            c["LATIN"] += ch.isalpha()
-        elif ch.isalpha():
-            c[unicodedata.name(ch, "?").split(" ", 1)[0].split("-", 1)[0]] += 1
+    c = Counter(LATIN=sum(map(len, _ASCII_LETTERS.findall(text))))
+    if not text.isascii():
+        for ch, n in Counter(_BEYOND.findall(text)).items():
+            if ch.isalpha():
+                c[unicodedata.name(ch, "?").split(" ", 1)[0].split("-", 1)[0]] += n
     total = sum(c.values()) or 1
     return np.array([c[s] / total for s in _SCRIPTS])
 
 
+@lru_cache(maxsize=4096)
+def _asked(question: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words, languages and scripts of a question: the same one is asked often."""
+    return words_of(_MARK.sub(" ", question)), languages(question), script(question)
+
+
 def _slot(kind: str, value: str) -> int:
     return xxhash.xxh32_intdigest(f"{kind}\x1f{value}") % _DIMS
 
@@ -146,7 +156,8 @@ def features(question: str, answer: str, stat: tuple[int, int]) -> tuple[list[in
     """Hashed features and dense ones. ``stat``: occurrences of the answer's last word in the corpus, and those that end a sentence."""
     a = unicodedata.normalize("NFKC", answer)
     bare = _MARK.sub(" ", a)
-    aw, qw = words_of(bare), words_of(_MARK.sub(" ", question))
+    aw = words_of(bare)
+    qw, ql, qscr = _asked(question)
     lab = _LABEL.match(bare)
     core = words_of(bare[lab.end() :]) if lab else aw
     qs, n = set(qw), len(core)
@@ -188,8 +199,8 @@ def features(question: str, answer: str, stat: tuple[int, int]) -> tuple[list[in
     opened = [tail.count(x) - tail.count(y) for x, y in ("()", "[]", "{}", "«»", "“”")]
     fences = tail.count("```") % 2
     ticks = (tail.count("`") - 3 * tail.count("```")) % 2
-    al, ql = languages(a), languages(question)
-    ascr, qscr = script(_CODE.sub(" ", _QUOTED.sub(" ", a))), script(question)
+    al = languages(a)
+    ascr = script(_CODE.sub(" ", _QUOTED.sub(" ", a)))
     qi = int(ql[:-1].argmax())
     ai = int(al[:-1].argmax())
     total = al[:-1].sum() or 1.0
@@ -198,7 +209,7 @@ def features(question: str, answer: str, stat: tuple[int, int]) -> tuple[list[in
     cnt, ends = stat
     dense = np.zeros(_DENSE)
     dense[:42] = [
-        1, n == 0, n == 1, n == 2, 3 <= n <= 6, np.log1p(n) / 4, np.log1p(len(a)) / 6, sum(c.isalnum() for c in a) / (len(a) or 1),
+        1, n == 0, n == 1, n == 2, 3 <= n <= 6, np.log1p(n) / 4, np.log1p(len(a)) / 6, sum(map(len, _WORD.findall(a))) / (len(a) or 1),
         len(set(new)) == 0 and n > 3, min(len(new), 10) / 10, len(new) / (n or 1), len(qs & set(core)) / (len(qs) or 1), n >= len(qw) > 0 and len(qs - set(core)) == 0, sum(left.values()) / (n or 1), min(len([w for w in set(new) if w not in _BY_WORD]), 8) / 8,
         len(set(new)) <= 2 and n >= 0.7 * len(qw) and n > 3,
         al[qi] / total, other, sure, min(al[-1], 10) / 10, min(ql[-1], 10) / 10, other * min(al[-1], 6) / 6,
@@ -391,7 +402,7 @@ def train(rows: list[tuple[str, str]], stats: dict[str, tuple[int, int]], seed:
     for rounds in range(2):
         if len(usable) < 10:
             return model
-        made = synthesise(usable, seed + rounds)
+        made = synthesise(usable if rounds else usable[: max(10, len(usable) // 2)], seed + rounds)
         got = [features(q, a, stats.get(last_word(a), (0, 0))) for q, a, _ in made]
         hashed, dense = [g[0] for g in got], np.array([g[1] for g in got])
         Y = np.zeros((len(made), len(DEFECTS)))
