@@ -220,7 +220,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, dim: int
     )
     rows = _base.unit(df, id=id_col, vec=vec_col).select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<float>").alias("vec")).where(ok)
     # copies of a vector: one representative, and the k + 1 smallest ids, all that anyone can need of them
-    keyed = rows.select("id", "vec", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")).dropDuplicates(["id"])
+    keyed = rows.groupBy("id").agg(F.min("vec").alias("vec")).select("id", "vec", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
     place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
     ranked = keyed.withColumn("place", place).where(F.col("place") <= k + 1)
     reps = _base.stage(
