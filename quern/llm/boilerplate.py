@@ -41,9 +41,6 @@ SAMPLE, LINES = 800, 14_000
 #: Cost, in log odds, of a change of label between two lines of a block.
 SWITCH = 1.0
 
-#: Bits of the map that articles are counted in.
-_BITS = 256
-
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _SEPARATOR = re.compile(r"\s[|›»>/·•]\s|\s::\s|\s{3,}\S")
@@ -407,24 +404,18 @@ def _prepared(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFr
     pages = pages.withColumn("uid", F.xxhash64("id", "url", "text"))
     pages = pages.dropDuplicates(["uid"])
     lines = _base.stage(pages.select("uid", "url", "text").mapInArrow(_line_rows, "uid bigint, line_no int, host string, key bigint, title bigint, print1 bigint, print2 bigint"), "page-lines")
-    # Articles with a line: by title and by two fingerprints, whichever are fewest. Each is counted by linear counting
-    # in a map of bits, which all partitions fill and "or" together, so no key gathers its pages.
-    def filled(c: str) -> list:
-        bit = f"pmod({c}, {_BITS})"
-        return [F.expr(f"bit_or(if({bit} div 64 = {i}, shiftleft(1L, cast({bit} % 64 as int)), 0L))").alias(f"{c}{i}") for i in range(_BITS // 64)]
-
-    def counted(c: str):
-        full = sum((F.bit_count(f"{c}{i}") for i in range(1, _BITS // 64)), F.bit_count(f"{c}0"))
-        return F.round(-_BITS * F.log(1 - F.least(full, F.lit(_BITS - 1)) / _BITS)).cast("bigint")
-
-    again = lambda c: [F.bit_or(f"{c}{i}").alias(f"{c}{i}") for i in range(_BITS // 64)]
-    maps = lines.groupBy("host", "key").agg(F.count("*").alias("pages"), *filled("title"), *filled("print1"), *filled("print2"))
-    sites = maps.groupBy("key").agg(F.count("*").alias("hosts"), *again("title"), *again("print1")).where("hosts > 1")
-    sites = sites.select("key", F.least("hosts", counted("title"), counted("print1")).alias("sites"))
-    site = lines.groupBy("host").agg(*filled("title")).select("host", counted("title").alias("site"))
-    narrow = maps.select("host", "key", "pages", F.least(counted("title"), counted("print1"), counted("print2")).alias("articles"))
+    # Articles with a line: by title and by two fingerprints, whichever are fewest. The counts are exact at any size: each
+    # value is first made distinct under its own key, then counted in parts, so no key gathers its pages. Lines found once
+    # in all pages have nothing to count and are left out first.
+    often = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = _base.stage(lines.join(often, "key"), "shared-lines")
+    narrow = shared.groupBy("host", "key").agg(F.count("*").alias("pages"), *[F.count_distinct(c).alias(c) for c in ("title", "print1", "print2")])
+    narrow = narrow.select("host", "key", "pages", F.least("title", "print1", "print2").alias("articles"))
+    sites = shared.groupBy("key").agg(*[F.count_distinct(c).alias(c) for c in ("host", "title", "print1")]).where("host > 1")
+    sites = sites.select("key", F.least("host", "title", "print1").alias("sites"))
+    site = lines.groupBy("host").agg(F.count_distinct("title").alias("site"))
     wide = narrow.join(sites, "key", "left").withColumn("sites", F.coalesce("sites", F.lit(1))).where("pages > 1 or sites > 1").join(site, "host")
-    known = lines.select("uid", "line_no", "host", "key").join(wide, ["host", "key"]).groupBy("uid").agg(F.collect_list(F.struct("line_no", "articles", "pages", "site", "sites")).alias("stats"))
+    known = shared.select("uid", "line_no", "host", "key").join(wide, ["host", "key"]).groupBy("uid").agg(F.collect_list(F.struct("line_no", "articles", "pages", "site", "sites")).alias("stats"))
     return _base.stage(pages.join(known, "uid", "left").select("uid", "id", "url", "text", "stats"), "pages")
 
 

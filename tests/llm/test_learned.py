@@ -98,6 +98,16 @@ def test_articles_of_pages(spark, site_pages):
     assert "# " in text[0] and "cookies" not in text[0]
 
 
+def test_counts_of_a_large_site_have_no_ceiling(spark):
+    n = 4_200
+    word = "translate(cast({} as string), '0123456789', 'abcdefghij')"
+    body = ", ' ', ".join(word.format(f"id * 100 + {i}") for i in range(40))
+    text = f"concat_ws('\\n', concat('# page ', {word.format('id')}), concat({body}), 'Share this page')"
+    df = spark.range(n).selectExpr("id", f"concat('https://large.example/', {word.format('id')}) url", f"{text} text")
+    stats = boilerplate._prepared(df, "id", "url", "text").selectExpr("inline(stats)").where("line_no = 3").select("articles", "pages", "site").distinct().collect()
+    assert [tuple(r) for r in stats] == [(n, n, n)]
+
+
 def test_pages_of_nothing(spark):
     df = spark.createDataFrame([(1, None, "\n\n \n"), (2, "not a url", "one line"), (3, "https://x.example/a", None), (None, "u", "x"), (2, "not a url", "one line")], "id long, url string, text string")
     got = boilerplate.page_lines(df, "id", "url", "text").collect()
