@@ -36,11 +36,12 @@ def corpus_statistics(docs: DataFrame, key: str, text: str, scope: list[str]) ->
     return lengths, totals
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, *, scope: list[str] | None = None, k: int = 40) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, *, scope: list[str] | None = None, only: DataFrame | None = None, k: int = 40) -> DataFrame:
     """Okapi BM25: (scope, query, document, score rounded to 6, rank) for the ``k`` best documents of each query.
 
     ``scope`` columns partition the index; statistics and queries stay within a
     scope (each query is asked in every scope of which ``queries`` has no columns).
+    ``only`` (query, document), each pair once, says among which documents a query's best are taken; the statistics stay those of the scope.
     Only documents that share a term with the query are returned; a term repeated
     in the query counts again. The mean idf that floors negative ones is over the
     scope's whole vocabulary, so the vocabulary is counted in full; scores are
@@ -67,22 +68,26 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     hits = tf.join(weight, [*scope, "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
     scored = hits.groupBy(*scope, query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
+    if only is not None:
+        scored = scored.join(only.select(query_key, key), [query_key, key], "left_semi")
     return top(scored, [*scope, query_key], "score", [key], k)
 
 
-def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, *, scope: list[str] | None = None, k: int = 40, exclude_self: bool = False, block: int = 2000) -> DataFrame:
+def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, *, scope: list[str] | None = None, only: DataFrame | None = None, k: int = 40, exclude_self: bool = False, block: int = 2000) -> DataFrame:
     """Exact cosine search: (query, document, similarity rounded to 6, rank), the ``k`` best of each query.
 
     The queries are a stated set. With ``scope`` they meet only the documents of
     their scope, by an equi-join. Without, they are held against all documents in blocks of at
     most ``block`` rows, numbered by a hash, whose vectors are grouped into one row
-    each; the documents are not shuffled and their partitions keep only their best. Null and zero
-    vectors take no part.
+    each; the documents are not shuffled and their partitions keep only their best. With ``only`` (query, document), each pair once,
+    a query meets just these documents. Null and zero vectors take no part.
     """
     scope = scope or []
     d = spread(docs.select(*scope, key, F.col(vector).alias("dv"))).where(F.col("dv").isNotNull()).withColumn("dn", V.norm(F.col("dv"))).where("dn > 0")
     q = queries.select(*scope, query_key, F.col(query_vector).alias("qv")).where(F.col("qv").isNotNull()).withColumn("qn", V.norm(F.col("qv"))).where("qn > 0")
-    if scope:
+    if only is not None:
+        pairs = d.join(only.select(query_key, key), key).join(q, [*scope, query_key])
+    elif scope:
         pairs = d.join(q, scope)
     else:
         blocks = max(1, -(-q.count() // block))

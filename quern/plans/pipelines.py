@@ -76,28 +76,36 @@ def retrieve(chunks: DataFrame, queries: DataFrame, *, models: Models | None = N
     return hits.select("query_id", F.col("id").alias("chunk_id"), F.col("similarity").alias("score"), F.row_number().over(w).alias("rank"))
 
 
+def hinted(chunks: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
+    """(query_id, chunk_id): the chunks of its owner that fit all hints of a query (owner, query_id, hints) in ``fields``; a query without such hints has none.
+
+    Hints and chunks meet by an equi-join on owner, field and value. A symbol is the name of a function or class, a directory that of the file's path.
+    """
+    wanted = F.map_filter("hints", lambda f, _: f.isin(fields))
+    asked = queries.select("owner", "query_id", F.size(wanted).alias("n"), F.explode(wanted).alias("field", "value"))
+    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
+    values = {"file_name": ["file_name"], "file_dir": [folder], "language": ["language"], "symbol_name": ["function_name", "class_name"]}
+    held = F.array_distinct(F.array(*[F.struct(F.lit(f).alias("field"), (F.col(c) if isinstance(c, str) else c).alias("value")) for f in fields for c in values[f]]))
+    held = chunks.select("owner", "chunk_id", F.inline(held)).where("value is not null")
+    return held.join(asked, ["owner", "field", "value"]).groupBy("query_id", "chunk_id", "n").agg(F.count("*").alias("fit")).where("fit = n").select("query_id", "chunk_id")
+
+
 def adaptive(chunks: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
     """Chunks by the intent of each question: its own strategy first, then what that falls back on.
 
     Activity is searched among issues and requests; explanations and places among what
-    the hints name; exact code lexically with the hints; all of them fall back
-    on the hybrid search. (query_id, chunk_id, rank, attempt).
+    the hints name; exact code lexically with the hints, all hints holding at once and the best taken among the chunks that
+    fit them; all of them fall back on the hybrid search. (query_id, chunk_id, rank, attempt).
     """
     intents = queries.withColumn("intents", routing.labels(F.col("text"), routing.INTENTS)).withColumn("hints", T.metadata_hints(F.col("text")))
     is_ = lambda *names: intents.where(F.arrays_overlap("intents", F.array(*[F.lit(n) for n in names])))
     scope = ["owner"]
-    dense = lambda c, q: ranking.dense(c, "chunk_id", "embedding", q, "query_id", "vector", scope=scope, k=POOL)
-    fits = F.lit(False)
-    pairs = {"file_name": "file_name", "language": "language"}
-    for hint, column in pairs.items():
-        fits = fits | (F.col("hints")[hint] == F.col(column))
-    fits = fits | (F.col("hints")["symbol_name"] == F.col("function_name")) | (F.col("hints")["symbol_name"] == F.col("class_name"))
-    extra = chunks.select("chunk_id", "file_name", "language", "function_name", "class_name")
-    hinted = lambda found: found.join(intents.select("query_id", "hints"), "query_id").join(extra, "chunk_id").where(fits)
+    dense = lambda c, q, only=None: ranking.dense(c, "chunk_id", "embedding", q, "query_id", "vector", scope=scope, only=only, k=POOL)
+    placed, exact = is_("explanation", "navigational"), is_("exact_code")
     first = [
         dense(chunks.where(F.col("content_type").isin("issue", "pull_request", "discussion")), is_("activity")),
-        hinted(dense(chunks, is_("explanation", "navigational"))),
-        hinted(ranking.bm25(chunks, "chunk_id", "content", is_("exact_code"), "query_id", "text", scope=scope, k=POOL)),
+        dense(chunks, placed, hinted(chunks, placed, ["file_name", "file_dir", "language"])),
+        ranking.bm25(chunks, "chunk_id", "content", exact, "query_id", "text", scope=scope, only=hinted(chunks, exact, ["language", "symbol_name"]), k=POOL),
     ]
     lists = [x.select("query_id", "chunk_id", "rank") for x in first]
     lists.append(hybrid(chunks, queries, scope).select("query_id", "chunk_id", F.col("position").alias("rank")))

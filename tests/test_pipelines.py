@@ -1,3 +1,5 @@
+import pytest
+
 from quern.operators.models import Models, first_sentences, hashed_vectors
 from quern.plans import pipelines
 
@@ -52,6 +54,27 @@ def test_retrieval_searches_only_the_owner_and_the_named_base(spark):
     assert rows(pipelines.adaptive(c, q), "query_id", "attempt")[0] == (7, 3)
 
 
+@pytest.fixture(scope="module")
+def repository(spark):
+    """60 chunks that are nearer to every question than the two that a hint can name."""
+    cols = "chunk_id int, content string, embedding array<float>, owner string, repository string, content_type string, file_path string, file_name string, language string, function_name string, class_name string"
+    near = [(i, "find function alpha alpha alpha", [1.0, 0.0], "amy", "amy/r", "text", f"lib/f{i}.py", f"f{i}.py", "python", f"g{i}", None) for i in range(60)]
+    far = [(90, "alpha and many other words that make this chunk long", [0.1, 1.0], "amy", "amy/r", "text", "app/store/util.py", "util.py", "python", "load_all", None), (91, "gamma", [0.0, 1.0], "amy", "amy/r", "text", "app/web/view.js", "view.js", "javascript", None, "ViewBase")]
+    other = [(95, "alpha", [1.0, 0.0], "bob", "bob/r", "text", "app/store/util.py", "util.py", "python", "load_all", None)]
+    return spark.createDataFrame(near + far + other, cols)
+
+
+def questions(spark, *texts):
+    return spark.createDataFrame([("amy", i, t, [1.0, 0.0]) for i, t in enumerate(texts)], "owner string, query_id int, text string, vector array<float>")
+
+
+def test_hints_find_chunks_below_the_pool(spark, repository):
+    q = questions(spark, "how does alpha work in util.py", "find function load_all alpha", "explain alpha in app/store/ please", "explain f3.py in lib/ please", "explain f3.py in app/store/ please")
+    got = rows(pipelines.adaptive(repository, q), "query_id", "chunk_id", "attempt")
+    assert [r for r in got if r[0] < 4] == [(0, 90, 1), (1, 90, 2), (2, 90, 1), (3, 3, 1)]
+    assert all(r[2] != 1 for r in got if r[0] == 4) and len(got) > 4
+
+
 def test_stand_ins(spark):
     df = spark.createDataFrame([("One. Two.",), (None,), ("...",)], "text string")
     assert [r["vector"] is None for r in hashed_vectors(8)(df).collect()] == [False, True, True]
