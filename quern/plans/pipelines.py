@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import chunking, maintenance, ranking, routing
+from quern.operators import chunking, graph, maintenance, ranking, routing
 from quern.operators.models import Models
 
 #: Candidates of each arm, of the fused list that is scored jointly, and of an answer.
@@ -18,19 +18,12 @@ POOL, SCORED, TOP = 40, 20, 5
 def ladder(attempts: list[DataFrame], queries: DataFrame, key: str = "query_id") -> DataFrame:
     """The rows of each query's first attempt that has any, with the attempt's number.
 
-    What a loop would test for emptiness, query by query, is an anti-join: an
-    attempt answers only for the queries that none before it answered.
+    What a loop would test for emptiness, query by query, is the least number
+    among a query's rows: every attempt is evaluated once, however many there are.
     """
-    done: DataFrame | None = None
-    out = []
-    for i, attempt in enumerate(attempts):
-        rows = attempt.join(queries.select(key).distinct(), key, "left_semi").withColumn("attempt", F.lit(i))
-        if done is not None:
-            rows = rows.join(done, key, "left_anti")
-        out.append(rows)
-        got = rows.select(key).distinct()
-        done = got if done is None else done.unionByName(got)
-    return reduce(DataFrame.unionByName, out)
+    asked = queries.select(key).distinct()
+    rows = reduce(DataFrame.unionByName, [attempt.join(asked, key, "left_semi").withColumn("attempt", F.lit(i)) for i, attempt in enumerate(attempts)])
+    return rows.withColumn("_first", F.min("attempt").over(Window.partitionBy(key))).where("attempt = _first").drop("_first")
 
 
 def hybrid(chunks: DataFrame, queries: DataFrame, scope: list[str], *, k: int = SCORED) -> DataFrame:
@@ -90,26 +83,62 @@ def hinted(chunks: DataFrame, queries: DataFrame, fields: list[str]) -> DataFram
     return held.join(asked, ["owner", "field", "value"]).groupBy("query_id", "chunk_id", "n").agg(F.count("*").alias("fit")).where("fit = n").select("query_id", "chunk_id")
 
 
-def adaptive(chunks: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
+def related(chunks: DataFrame, queries: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): the chunks of the files around the symbol that a query (owner, repository, query_id, text, hints) names.
+
+    From the nodes of that name one step along the kinds of ``edges`` (owner, repository, src, dst, kind) that the question asks
+    for; a node stands for its file, whose path is the chunks' ``file_path``. External nodes have no file.
+    """
+    base = F.concat_ws("\n", "owner", "repository").alias("repository")
+    e = edges.where("owner is not null and repository is not null").select(base, "src", "dst", "kind")
+    asked = queries.where("owner is not null and repository is not null").select("query_id", base, F.col("hints")["symbol_name"].alias("symbol"), F.explode(graph.directions(F.col("text"))).alias("way")).where("symbol is not null")
+    starts = asked.join(graph.seeds(graph.nodes(e), asked, "symbol").select("repository", "symbol", "id"), ["repository", "symbol"])
+    steps = [e.select("repository", F.col(near).alias("id"), F.col(far).alias("node"), F.concat("kind", F.lit(f":{way}")).alias("way")) for near, far, way in (("src", "dst", "out"), ("dst", "src", "in"))]
+    reached = starts.join(steps[0].unionByName(steps[1]), ["repository", "id", "way"]).select("query_id", "repository", "node")
+    nodes = reached.unionByName(starts.select("query_id", "repository", F.col("id").alias("node")))
+    files = nodes.select("query_id", "repository", F.regexp_extract("node", r"^(?:file|class|function|method):(.*?)(?:::.*)?$", 1).alias("file_path")).where("file_path != ''").distinct()
+    return chunks.where("owner is not null and repository is not null").select("chunk_id", base, "file_path").join(files, ["repository", "file_path"]).select("query_id", "chunk_id")
+
+
+#: Numbers of the attempts, in the order in which they are made: activity, dense with hints, graph, lexical with hints, lexical, dense, hybrid.
+ATTEMPTS = [0, 1, 4, 2, 6, 5, 3]
+
+
+def adaptive(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = None, *, k: int = TOP) -> DataFrame:
     """Chunks by the intent of each question: its own strategy first, then what that falls back on.
 
     Activity is searched among issues and requests; explanations and places among what
-    the hints name; exact code lexically with the hints, all hints holding at once and the best taken among the chunks that
-    fit them; all of them fall back on the hybrid search. (query_id, chunk_id, rank, attempt).
+    the hints name; structure along the graph and then lexically with the symbol; exact code lexically with
+    the hints, all hints holding at once and the best taken among the chunks that fit them. Exact code and explanations then
+    do without the hints, if no intent before them in priority has another fallback; the rest fall back
+    on the hybrid search. The graph needs ``edges`` and a column ``repository`` of the questions. (query_id, chunk_id, rank, attempt), attempts as in ``ATTEMPTS``.
     """
     intents = queries.withColumn("intents", routing.labels(F.col("text"), routing.INTENTS)).withColumn("hints", T.metadata_hints(F.col("text")))
-    is_ = lambda *names: intents.where(F.arrays_overlap("intents", F.array(*[F.lit(n) for n in names])))
+    has = lambda *names: F.arrays_overlap("intents", F.array(*[F.lit(n) for n in names]))
+    is_ = lambda *names: intents.where(has(*names))
+    leads = lambda name: is_(name).where(~has(*routing.PRIORITY[: routing.PRIORITY.index(name)]))
     scope = ["owner"]
     dense = lambda c, q, only=None: ranking.dense(c, "chunk_id", "embedding", q, "query_id", "vector", scope=scope, only=only, k=POOL)
-    placed, exact = is_("explanation", "navigational"), is_("exact_code")
+    lexical = lambda q, only=None: ranking.bm25(chunks, "chunk_id", "content", q, "query_id", "text", scope=scope, only=only, k=POOL)
+    placed, structural = is_("explanation", "navigational"), is_("structural")
+    named = hinted(chunks, structural, ["symbol_name"]).unionByName(hinted(chunks, is_("exact_code").where(~has("structural")), ["language", "symbol_name"]))
+    around = structural.select("query_id").where("false").withColumn("chunk_id", F.lit(None)).withColumn("rank", F.lit(0))
+    if edges is not None and "repository" in queries.columns:
+        near = related(chunks, structural, edges)
+        # chunks without a vector come last
+        rated = near.join(dense(chunks, structural, near).select("query_id", "chunk_id", "similarity"), ["query_id", "chunk_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(-2.0)))
+        around = ranking.top(rated, ["query_id"], "similarity", ["chunk_id"], POOL)
     first = [
         dense(chunks.where(F.col("content_type").isin("issue", "pull_request", "discussion")), is_("activity")),
         dense(chunks, placed, hinted(chunks, placed, ["file_name", "file_dir", "language"])),
-        ranking.bm25(chunks, "chunk_id", "content", exact, "query_id", "text", scope=scope, only=hinted(chunks, exact, ["language", "symbol_name"]), k=POOL),
+        around,
+        lexical(is_("exact_code", "structural"), named),
+        lexical(leads("exact_code")),
+        dense(chunks, leads("explanation")),
     ]
     lists = [x.select("query_id", "chunk_id", "rank") for x in first]
     lists.append(hybrid(chunks, queries, scope).select("query_id", "chunk_id", F.col("position").alias("rank")))
-    found = ladder(lists, queries)
+    found = ladder(lists, queries).withColumn("attempt", F.get(F.array(*[F.lit(n) for n in ATTEMPTS]), "attempt"))
     w = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "attempt")
 

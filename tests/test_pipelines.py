@@ -75,6 +75,23 @@ def test_hints_find_chunks_below_the_pool(spark, repository):
     assert all(r[2] != 1 for r in got if r[0] == 4) and len(got) > 4
 
 
+def test_rungs_before_the_hybrid_search(spark, repository):
+    q = questions(spark, "who calls load_all", "who calls alpha", "explain alpha", "find function alpha", "explain alpha in nothere.py please", "find function nothere_x alpha", "alpha")
+    tried = lambda df: {r["query_id"]: r["attempt"] for r in df.collect()}
+    assert tried(pipelines.adaptive(repository, q)) == {0: 3, 1: 3, 2: 5, 3: 6, 4: 5, 5: 6, 6: 3}
+    lexical = questions(spark, "who calls load_all, alpha")
+    assert rows(pipelines.adaptive(repository, lexical), "chunk_id", "attempt") == [(90, 2)]
+
+
+def test_structural_questions_walk_the_graph(spark, repository):
+    q = questions(spark, "who calls load_all, alpha", "who calls no_symbol, alpha").selectExpr("*", "'amy/r' repository")
+    edges = [("amy", "amy/r", "function:app/store/util.py::load_all", "external:x"), ("amy", "amy/r", "method:app/web/view.js::ViewBase.show", "external:util.load_all"), ("bob", "amy/r", "function:lib/f1.py::g1", "external:load_all"), ("amy", "amy/q", "function:lib/f2.py::g2", "external:load_all")]
+    e = spark.createDataFrame([(*r, "calls") for r in edges], "owner string, repository string, src string, dst string, kind string")
+    got = rows(pipelines.adaptive(repository, q, e), "query_id", "rank", "chunk_id", "attempt")
+    assert [r for r in got if r[0] == 0] == [(0, 1, 90, 4), (0, 2, 91, 4)]
+    assert {r[3] for r in got if r[0] == 1} == {3}
+
+
 def test_stand_ins(spark):
     df = spark.createDataFrame([("One. Two.",), (None,), ("...",)], "text string")
     assert [r["vector"] is None for r in hashed_vectors(8)(df).collect()] == [False, True, True]
