@@ -7,9 +7,10 @@ centroid and in those of the next centroids whose similarity is within
 share a shard. Each shard builds a directed graph: points are inserted in
 batches, a greedy beam search over the graph so far proposes neighbours, robust
 pruning with the relaxation ``alpha`` keeps a diverse subset of them, and reverse
-edges are added and pruned alike. A second round of search and pruning repairs
-the edges of early points. The queries are then answered by beam search in each
-of their shards, and the lists are merged.
+edges are added, at most three times the degree to a point from one batch, and
+pruned alike. Each point is inserted once; there is no second pass over the
+points. The queries are then answered by beam search in each of their shards,
+and the lists are merged.
 
 Copies of a vector are indexed once and expanded afterwards, so a vector that a
 third of all rows hold costs no more than any other. A shard that outgrows its
