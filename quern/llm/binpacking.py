@@ -2,17 +2,22 @@
 
 Each partition packs its items best-fit, largest first, and keeps the bins that are
 nearly full. The others become items of the next round, which sees fewer
-partitions, as in a tree merge, until one partition is left or a round brings
-nothing. Every round writes one narrow table; an item's container is found by
-following its bin through the rounds.
+partitions, as in a tree merge. Every round writes one narrow table; an item's
+container is found by following its bin through the rounds.
+
+Best fit opens a bin only for an item that fits none of the others, so a task
+leaves at most one bin that is half full or less, and two bins can be merged only
+if one of them is. The merge is therefore at its end when one task held all that
+was underfull, or when at most one half-empty bin is left anywhere: then no two
+containers, this one apart, fit into one. A round that did not halve the half-empty bins is followed by one
+over these alone, any two of which fit together, so the rounds are at most
+twice the logarithm of the first round's tasks.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
-import importlib.util
-import os
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +32,6 @@ from quern.session import spread
 TASK_ITEMS = 50_000
 
 
-def default_vocabulary() -> str:
-    """The byte-level vocabulary of the installed public tokenizer files."""
-    spec = importlib.util.find_spec("public_tokenizers")
-    home = os.path.dirname(spec.origin) if spec and spec.origin else "/opt/tokenizers"
-    return os.path.join(home, "byte_bpe_50k.tiktoken")
-
-
 def encoding(path: str):
     """The tokenizer whose ranks are in the file ``path``."""
     import tiktoken
@@ -47,12 +45,14 @@ def encoding(path: str):
     return tiktoken.Encoding("quern", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None) -> DataFrame:
-    """``id`` and ``tokens`` of every text that is not null or empty; rows with a null id are left out."""
-    path = vocabulary or default_vocabulary()
+def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+    """``id`` and ``tokens`` of every text that is not null or empty; rows with a null id are left out.
+
+    ``vocabulary`` is the path, on every executor, of a rank file of a public byte-level tokenizer.
+    """
 
     def run(batches):
-        enc = encoding(path)
+        enc = encoding(vocabulary)
         for batch in batches:
             counts = [len(enc.encode_to_numpy(t, disallowed_special=())) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["id", "tokens"])
@@ -114,20 +114,21 @@ def pack(items: DataFrame, id_col: str, size_col: str, *, capacity: int = 2048,
     full = over.withColumn("part", F.explode(F.sequence(F.lit(1).cast("bigint"), "parts"))).select("id", F.col("part").cast("int").alias("part"), F.lit(capacity).cast("bigint").alias("tokens"), F.concat(F.lit("f-"), F.col("row").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("container"), F.lit(capacity).cast("bigint").alias("fill"))
     rest = rows.select("id", "row", (F.col("size") % capacity).alias("size")).where("size > 0")
     todo = rest.select(F.col("row").cast("string").alias("item"), "size")
-    count, no = todo.count(), 0
+    count, no, small = todo.count(), 0, None
     links: list[DataFrame] = []  # of each round: item, bin, fill
     while count:
         parts = max(1, -(-count // task_items))
         packed = _base.stage(todo.repartition(parts, "item").mapInArrow(_pack_round(capacity, no), "item string, bin string, fill bigint, size bigint"), f"pack-round{no}")
         links.append(packed)
-        if parts == 1:
-            break
-        under = packed.where(F.col("fill") < nearly * capacity).groupBy("bin").agg(F.max("fill").alias("size"))
-        todo = under.select(F.col("bin").alias("item"), "size")
-        left = todo.count()
-        if left > 0.98 * count:  # the bins cannot be merged: items of over half the capacity
+        bins = packed.where(F.col("fill") < nearly * capacity).groupBy("bin").agg(F.max("fill").alias("size"))
+        under = bins.select(F.col("bin").alias("item"), "size")
+        half = F.col("size") <= capacity // 2
+        seen = under.agg(F.count("*").alias("n"), F.coalesce(F.sum(half.cast("int")), F.lit(0)).alias("half")).first()
+        if seen["half"] <= 1:  # no two others fit together
             break
-        count, no = left, no + 1
+        slow = small is not None and seen["half"] > small // 2
+        todo, count = (under.where(half), seen["half"]) if slow else (under, seen["n"])
+        small, no = seen["half"], no + 1
     if not links:
         return full
     own = links[0].select("item", F.col("bin").alias("container"), "fill")

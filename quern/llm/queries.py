@@ -92,9 +92,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    """The path of the tokenizer's rank file: the setting ``spark.quern.vocabulary``, else the installed public one."""
+    given = spark.conf.get("spark.quern.vocabulary", None)
+    if given:
+        return given
+    from public_tokenizers import path
+
+    return path("byte_bpe_50k.tiktoken")
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-empty document in a container of 2,048 tokens."""
-    tokens = binpacking.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    tokens = binpacking.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", _vocabulary(spark))
     return binpacking.pack(tokens, "id", "tokens").withColumnRenamed("id", "doc_id")
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from public_tokenizers import path
 from pyspark.sql import functions as F
 
 from quern.llm import binpacking, knn, leakage, neardup, splitting
@@ -147,9 +148,20 @@ def test_packing_holds_every_item_once(spark):
     assert binpacking.pack(spark.createDataFrame([], "id long, size long"), "id", "size").count() == 0
 
 
+@pytest.mark.parametrize("few", [3, 40])
+def test_packing_merges_to_the_end(spark, few):
+    """Most bins cannot be merged at all, so a round merges next to nothing; the rest must still meet."""
+    items = [(i, 1500) for i in range(600)] + [(1000 + i, 600) for i in range(few)]
+    got = binpacking.pack(spark.createDataFrame(items, "id long, size long"), "id", "size", task_items=50).collect()
+    fills = {r["container"]: r["fill"] for r in got}
+    assert len(got) == 600 + few and sum(f <= 1024 for f in fills.values()) <= 1
+    small = [f for f in fills.values() if f < 1500]
+    assert sum(small) + 1800 * sum(f == 1800 for f in fills.values()) >= 600 * few and len(fills) <= 600 + -(-few // 2)
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (None, "x")], "id long, text string")
-    got = {r["id"]: r["tokens"] for r in binpacking.token_counts(df, "id", "text").collect()}
+    got = {r["id"]: r["tokens"] for r in binpacking.token_counts(df, "id", "text", path("byte_bpe_50k.tiktoken")).collect()}
     assert set(got) == {1, 4} and got[1] == 2 and got[4] > 1
 
 
