@@ -74,8 +74,15 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records that were cut: those with a second piece."""
-    return p4_pieces(spark, sf_dir).where("piece_no = 1").select("record_kind", "record_id")
+    """The records that are cut: those with a second boundary."""
+    cut = splitting.boundaries(_contents(spark, sf_dir), "record_kind", "record_id", "content").where("piece_no = 1")
+    return cut.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"))
+
+
+def p4_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every cut record put together again: the text's digest, whether all fit the limit, and whether all repeat what they should."""
+    whole = splitting.checked(splitting.split_oversized(_contents(spark, sf_dir), "record_kind", "record_id", "content"))
+    return whole.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), F.col("longest").between(1, 1200).alias("within"), "sound", "digest")
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +136,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_scored, p2_found, p2_groups, p3_found, p3_articles, p4_found, p4_pieces, p5_found, p5_neighbours, p6_containers, p7_found, p7_coverage, p8_found, p8_redacted]
+    own = [p1_found, p1_scored, p2_found, p2_groups, p3_found, p3_articles, p4_found, p4_pieces, p4_checked, p5_found, p5_neighbours, p6_containers, p7_found, p7_coverage, p8_found, p8_redacted]
     return {f.__name__: f for f in own}
 
 
@@ -149,6 +156,7 @@ def oracle_sql() -> dict[str, str]:
           e AS (SELECT record_kind, id, len(s) AS n, unnest(s) AS g FROM s),
           p AS (SELECT a.record_kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, count(*) AS x FROM e a JOIN e b ON a.record_kind = b.record_kind AND a.g = b.g AND a.id < b.id GROUP BY ALL)
           SELECT record_kind, id_a, id_b FROM p WHERE x / (n_a + n_b - x) >= 0.6""",
+        "p4_checked": f"SELECT record_kind, record_id, true AS within, true AS sound, md5(content) AS digest FROM {_CONTENTS} WHERE length(content) > 1200",
         "p4_found": f"SELECT record_kind, record_id FROM {_CONTENTS} WHERE length(content) > 1200",
         "p5_found": f"SELECT DISTINCT * FROM ({_nearest('chunk', 'chunks', 'chunk_id', 'embedding')} UNION ALL {_nearest('cache_entry', 'cache_entries', 'entry_id', 'question_embedding')})",
     }

@@ -1,5 +1,6 @@
 """Near duplicates, leaks, splitting, packing and neighbours against brute force, round trips and odd inputs."""
 
+import hashlib
 import random
 import re
 import unicodedata
@@ -117,9 +118,34 @@ def test_splitting_files_by_byte_ranges(spark, tmp_path):
     text = "\n\n".join(" ".join(rng.choices([*WORDS, "日本語", "naïve", "🧑"], k=rng.randint(5, 150))) + "." for _ in range(300))
     (tmp_path / "big.txt").write_bytes(text.encode())
     (tmp_path / "none.txt").write_bytes(b"")
-    files = [(str(p), p.stat().st_size) for p in tmp_path.iterdir()]
-    parts = splitting.split_files(spark, files, size=20_000).orderBy("piece_no").collect()
+    files = spark.createDataFrame([(p.as_uri(), p.stat().st_size) for p in tmp_path.iterdir()] + [(None, 5)], "path string, length long")
+    parts = splitting.split_files(files.unionByName(files), "path", "length", size=20_000).orderBy("piece_no").collect()
     whole(text, parts, 1200, (100, 200))
+    held = pieces_of(spark, [text], size=20_000)[0]
+    assert [(p["begin"], p["stop"]) for p in held] == [(p["begin"], p["stop"]) for p in parts]
+
+
+def test_boundaries_and_the_check_of_pieces(spark):
+    rng = random.Random(6)
+    items = [" ".join(rng.choices([*WORDS, "日本語"], k=n)) for n in (300, 5000, 20)] + ["y" * 40_000]
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(items)], "kind string, id long, text string")
+    pieces = splitting.split_oversized(df, "kind", "id", "text", size=9600)
+    cut = splitting.boundaries(df, "kind", "id", "text", size=9600)
+    cols = ["id", "piece_no", "begin", "stop"]
+    assert sorted(map(tuple, pieces.select(cols).collect())) == sorted(map(tuple, cut.select(cols).collect()))
+    got = {r["id"]: r for r in splitting.checked(pieces).collect()}
+    assert {i: r["digest"] for i, r in got.items()} == {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(items) if i != 2}
+    assert all(r["sound"] and r["longest"] <= 1200 for r in got.values())
+    torn = splitting.checked(pieces.where("piece_no <> 1"))
+    assert not any(r["sound"] for r in torn.collect())
+
+
+def test_a_giant_item_is_cut_by_ranges(spark):
+    """30 MB in one cell: no worker holds more than a range, and a range costs its own length."""
+    n = 600_000
+    df = spark.range(1).select(F.lit("d").alias("kind"), "id", F.expr(f"repeat(concat(substring(cast(id as string), 1, 0), 'some words and a sentence of fifty characters. xyz\n\n'), {n})").alias("text"))
+    got = splitting.boundaries(df, "kind", "id", "text").agg(F.max("stop").alias("stop"), F.count("*").alias("n"), F.max(F.col("stop") - F.col("begin")).alias("most")).first()
+    assert got["stop"] == 52 * n and got["most"] <= 1200 and got["n"] >= 52 * n / 1200
 
 
 @settings(max_examples=30, deadline=None)
