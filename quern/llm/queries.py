@@ -121,7 +121,7 @@ def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the test items that leaked into them."""
+    """Documents and the test items that leaked into them: those of which tiles cover twelve words or more."""
     return p7_coverage(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 

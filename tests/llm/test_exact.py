@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -207,9 +208,8 @@ def test_leaks_against_a_window_scan(spark):
     want = {(d, i) for d, t in docs for i, q, a in items if runs(t) & (runs(q) | (runs(a) if a else set()))}
     D = spark.createDataFrame(docs, "doc long, text string")
     I = spark.createDataFrame(items, "item int, q string, a string")  # noqa: E741
-    for block in (10**6, 50):
-        got = leakage.leaks(D, "doc", "text", I, "item", ["q", "a"], block_words=block)
-        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    got = leakage.leaks(D, "doc", "text", I, "item", ["q", "a"])
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
 def test_leaks_see_through_disguise_and_reordering(spark):
@@ -223,11 +223,41 @@ def test_leaks_see_through_disguise_and_reordering(spark):
     assert sorted(r["doc_id"] for r in leakage.leaks(docs, "d", "t", item, "i", ["q"]).collect()) == [1, 2, 3]
     a = np.array([1, 2, 3, 4, 9, 5, 6, 7, 8], np.uint64)
     b = np.array([5, 6, 7, 8, 1, 2, 3, 4], np.uint64)
-    seeds = [(i, j) for i in range(6) for j in range(5) if (a[i : i + 4] == b[j : j + 4]).all()]
-    assert sorted(n for _, _, n in leakage.tiles(a, b, seeds, 4)) == [4, 4]
+    assert sorted(n for _, _, n in leakage.tiles(a, b, 4)) == [4, 4]
     assert leakage.leaks(docs, "d", "t", item.limit(0), "i", ["q"]).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40), st.integers(2, 5))
+def test_tiles_are_equal_apart_and_leave_nothing(a, b, least):
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    got = leakage.tiles(a, b, least)
+    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    for i, j, n in got:
+        assert n >= least and (a[i : i + n] == b[j : j + n]).all() and free_a[i : i + n].all() and free_b[j : j + n].all()
+        free_a[i : i + n] = free_b[j : j + n] = False
+    assert [n for *_, n in got] == sorted((n for *_, n in got), reverse=True)
+    left = [(i, j) for i in range(len(a) - least + 1) for j in range(len(b) - least + 1) if free_a[i : i + least].all() and free_b[j : j + least].all() and (a[i : i + least] == b[j : j + least]).all()]
+    assert not left
+
+
+def test_tiles_of_repetitive_texts_cost_little():
+    a, b = np.full(200_000, 7, np.uint64), np.full(200, 7, np.uint64)
+    begun = time.perf_counter()
+    assert leakage.tiles(a, b, 12) == [(0, 0, 200)]
+    assert time.perf_counter() - begun < 5
+
+
+def test_coverage_decides_and_a_hot_item_is_joined_in_parts(spark):
+    passage = " ".join(WORDS[:40])
+    docs = spark.createDataFrame([(i, " ".join(WORDS[100 + i % 50 : 120 + i % 50]) + " " + " ".join(WORDS[: 12 + i % 3])) for i in range(300)], "d long, t string")
+    item = spark.createDataFrame([(1, passage), (2, passage)], "i int, q string")
+    got = leakage.leaks(docs, "d", "t", item, "i", ["q"]).collect()
+    assert len(got) == 600 and {(r["covered"], r["coverage"]) for r in got} == {(12, 0.3), (13, 0.325), (14, 0.35)}
+    assert leakage.leaks(docs, "d", "t", item, "i", ["q"], min_covered=13).count() == 400
+    assert leakage.leaks(docs, "d", "t", item, "i", ["q"], min_coverage=0.34).count() == 200
+
+
 def exact_neighbours(ids, X, k):
     X = X / np.linalg.norm(X, axis=1, keepdims=True)
     S = np.round(X @ X.T, 12)
