@@ -67,7 +67,28 @@ def test_near_duplicates_of_nulls_copies_and_nothing(spark):
 def test_large_classes_are_paired_in_salted_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SALT", 3)
     df = spark.createDataFrame([("a", i, " ".join(WORDS[:25])) for i in range(20)], "kind string, id long, text string")
-    assert neardup.pairs(*neardup.classes(df, "kind", "id", "text")).distinct().count() == 190
+    assert neardup.pairs(*neardup.classes(df, "kind", "id", "text")).count() == 190
+
+
+def test_hot_blocks_and_linked_hot_classes(spark, monkeypatch):
+    """Two large classes that are linked, and a block that many texts share, through every way of joining."""
+    monkeypatch.setattr(neardup, "SALT", 3)
+    one, two = [*WORDS[:60]], [*WORDS[:59], "else"]
+    rows = [("a", i, " ".join(one if i % 2 else two)) for i in range(14)] + [("a", 50 + i, " ".join([*WORDS[:55], *(f"tail{i}x{j}" for j in range(3))])) for i in range(8)]
+    df = spark.createDataFrame(rows, "kind string, id long, text string")
+    want = {("a", a, b) for _, a, x in rows for _, b, y in rows if a < b and similar(x, y, 5) >= 0.8}
+    for send in (0, 1000):
+        got = neardup.pairs(*neardup.classes(df, "kind", "id", "text", send=send)).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_a_repeated_id_counts_with_each_text(spark):
+    a, b = WORDS[:40], WORDS[100:140]
+    t = {"A": a, "B": b, "A'": [*a[:39], "x"], "B'": [*b[:39], "y"]}
+    rows = [("k", i, " ".join(t[x])) for i, x in ((1, "A"), (1, "B"), (2, "A"), (3, "B"), (4, "A'"), (5, "B'"))]
+    df = spark.createDataFrame(rows, "kind string, id long, text string")
+    got = [tuple(r)[1:] for r in neardup.pairs(*neardup.classes(df, "kind", "id", "text")).collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 4), (3, 5)]
 
 
 def pieces_of(spark, items, **kw):
