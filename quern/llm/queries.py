@@ -28,8 +28,8 @@ def p1_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose answer is no usable reply."""
-    return p1_scored(spark, sf_dir).where("defect_type is not null").select("record_kind", "record_id", "defect_type")
+    """Pairs whose answer is no usable reply whatever was asked; an answer to another question is in p1_scored only."""
+    return p1_scored(spark, sf_dir).where("defect_type <> 'swapped'").select("record_kind", "record_id", "defect_type")
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
