@@ -1,19 +1,20 @@
-"""The article of a web page without the site's furniture, by boosted trees over block features.
+"""The article of a web page without the site's furniture, by boosted trees over the nodes of the page.
 
 A page's lines are the leaves of a tree: page, region (the lines under one
 heading or the page's head), block (lines of one kind in a row) and line. Each
 line is described by attribute tokens, depth, position, the density of its block
 and region, its siblings, and by how many different articles of the same site,
-and how many sites, hold the same line. Those counts are taken over all pages;
+and of all sites, hold the same line, as counts and as shares. Those are taken over all pages;
 copies of one article count once, told by their title and by minimum hashes of
-their words, also where other sites took the article over.
+their words, also where other sites took the article over. Blocks and regions are
+described by their lines' features and have trees of their own.
 
 There are no labelled pages, so the trees are fitted on lines whose kind the
-counts or the line's form give away, in a bounded sample of pages; half of the
+shares or the line's form give away, in a bounded sample of pages; half of the
 training lines are shown with their counts hidden, so that the trees also learn
-what furniture looks like where a site has few pages. Decoding is hierarchical:
-for every block the lines' log odds are weighed against labelling all of it
-alike, and a block in a region that is furniture as a whole follows its parent, so
+what furniture looks like where a site has few pages. Decoding is hierarchical, over the scores of all nodes:
+each block and region is furniture with all below it, article with all below it, or
+left to its children, whichever is worth most, so
 that no ancestor and descendant contradict each other.
 """
 
@@ -40,6 +41,8 @@ from quern.llm.text import Hashes, mix, shingles, word_hashes
 SAMPLE, LINES = 800, 14_000
 #: Cost, in log odds, of a change of label between two lines of a block.
 SWITCH = 1.0
+#: Least share of a site's articles that hold a line of its furniture, and most that hold a line of an article by chance.
+OFTEN, RARE = 0.03, 0.01
 
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
@@ -71,9 +74,7 @@ def slug_of(url: str | None) -> set[str]:
 
 
 def _key(line: str) -> int:
-    """A line's identity: blanks, case, bullets and numbers aside for short ones, as they are for long ones."""
-    if len(line) > 240:
-        return xxhash.xxh64_intdigest(line) >> 1
+    """A line's identity, blanks, case, bullets and numbers aside."""
     return xxhash.xxh64_intdigest(_DIGITS.sub("0", " ".join(_BULLET.sub("", line, count=1).lower().split()))) >> 1
 
 
@@ -120,11 +121,10 @@ def _title(lines: list[str], slug: set[str]) -> str:
     best, most = "", 0.0
     if slug:
         for line in lines:
-            if len(line) <= 160:
-                w = {x.lower() for x in _WORD.findall(line)}
-                s = len(slug & w) / len(slug | w)
-                if s > most:
-                    best, most = " ".join(sorted(w)), s
+            w = {x.lower() for x in _WORD.findall(line)}
+            s = len(slug & w) / len(slug | w)
+            if s > most:
+                best, most = " ".join(sorted(w)), s
     return best
 
 
@@ -137,39 +137,58 @@ def _prints(lines: list[str], cache: Hashes) -> tuple[int, int]:
     return int(runs.min()), int((mix(runs) >> np.uint64(1)).min())
 
 
+def _leads(lines: list[str], kind: list[str], out: Counter) -> None:
+    """Counts the words that begin a heading, list item or long line (marked #), and a short bare line (marked ~)."""
+    for line, k in zip(lines, kind, strict=True):
+        if k in ("heading", "list", "text") and (m := _WORD.search(line)):
+            out[("~" if k == "text" and len(line) < 110 else "#") + m.group().lower()] += 1
+
+
+def _lead_key(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
+
+
+#: Line numbers of rows that are no lines: one a page for the site's count, and the counts of lead words of a batch.
+_SITE, _LEAD = 0, -1
+
+
 def _line_rows(batches):
-    """Of each page: its lines' keys with what tells its article from others."""
+    """Of each page: its lines' keys with what tells its article from others; and lead words, counted."""
     cache = Hashes()
     for batch in batches:
         uid, urls, texts = (batch.column(i).to_pylist() for i in range(3))
         out = {n: [] for n in ("uid", "line_no", "host", "key", "title", "print1", "print2")}
+        leads: Counter = Counter()
         for u, url, text in zip(uid, urls, texts, strict=True):
             nos, lines = _page_lines(text)
             if not lines:
                 continue
             title = xxhash.xxh64_intdigest(_title(lines, slug_of(url))) >> 1
             first, second = _prints(lines, cache)
-            host = host_of(url)
-            for no, line in zip(nos, lines, strict=True):
-                out["uid"].append(u)
-                out["line_no"].append(no)
-                out["host"].append(host)
-                out["key"].append(_key(line))
-            out["title"] += [title] * len(lines)
-            out["print1"] += [first] * len(lines)
-            out["print2"] += [second] * len(lines)
+            _leads(lines, kinds(lines), leads)
+            n = len(lines) + 1
+            out["uid"] += [u] * n
+            out["line_no"] += [_SITE, *nos]
+            out["host"] += [host_of(url)] * n
+            out["key"] += [0, *map(_key, lines)]
+            out["title"] += [title] * n
+            out["print1"] += [first] * n
+            out["print2"] += [second] * n
+        n = len(leads)
+        out["uid"] += leads.values()
+        out["line_no"] += [_LEAD] * n
+        out["host"] += [""] * n
+        out["key"] += map(_lead_key, leads)
+        for c in ("title", "print1", "print2"):
+            out[c] += [0] * n
         yield pa.RecordBatch.from_pydict(out, pa.schema([("uid", pa.int64()), ("line_no", pa.int32()), ("host", pa.string()), *[(c, pa.int64()) for c in ("key", "title", "print1", "print2")]]))
 
 
-#: The first features come from counts: support in the site, lines in the site, share of the site's articles, sites.
-N_COUNTS = 4
-
-
 def features(pages: list[tuple[list[str], list[str], set[str]]], counts: np.ndarray, words_odds: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of the lines of some pages (lines, kinds, words of the address), and each line's block and region.
 
     ``counts``: a row per line of the site's articles with it, the site's lines
-    like it, the site's articles and the sites with it. Blocks and regions are
+    like it, the site's articles, the sites and the articles of all sites with it. Blocks and regions are
     numbered through all pages and do not cross from one to the next.
     """
     own, code, page = [], [], []
@@ -182,12 +201,11 @@ def features(pages: list[tuple[list[str], list[str], set[str]]], counts: np.ndar
             low = [w.lower() for w in ws]
             o = [get_odds(w, 0.0) for w in low]
             n = len(ws) or 1
-            distinct = set(low) if len(ws) <= 40 else set()
+            distinct = set(low) if slug else slug
             shared = len(slug & distinct)
-            short = len(s) <= 200
             own.append(
                 (
-                    len(s), len(ws), bool(_END.search(s[-12:])), len(_SEPARATOR.findall(line)) if short else 0, len(_CONTROL.findall(s)) if short else 0, s.count("`"),
+                    len(s), len(ws), bool(_END.search(s[-12:])), len(_SEPARATOR.findall(line)), len(_CONTROL.findall(s)), s.count("`"),
                     sum(map(ne, ws, low)) / n, s.isupper(), sum(map(len, _DIGITS.findall(s))) / len(s),
                     shared / n_slug, shared / (len(slug | distinct) or 1), sum(o) / n, max(o, default=0.0), get_odds("^" + low[0], 0.0) if low else 0.0, get_odds("#" + low[0], 0.0) if low else 0.0, get_odds("~" + low[0], 0.0) if low else 0.0,
                 )
@@ -228,7 +246,7 @@ def features(pages: list[tuple[list[str], list[str], set[str]]], counts: np.ndar
 
     in_block = np.arange(n) - b_first[block]
     columns = [
-        support, np.log2(1 + counts[:, 1]), counts[:, 0] / np.maximum(counts[:, 1], 1), counts[:, 0] / np.maximum(counts[:, 2], 1), np.log2(1 + counts[:, 3]), np.log2(1 + counts[:, 2]),
+        support, np.log2(1 + counts[:, 1]), counts[:, 0] / np.maximum(counts[:, 1], 1), counts[:, 0] / np.maximum(counts[:, 2], 1), np.log2(1 + counts[:, 3]), np.log2(1 + counts[:, 2]), counts[:, 4] / np.maximum(counts[:, 3], 1),
         code, *own.T,
         np.minimum(at, 40), np.minimum(left, 40), np.arange(n) - first[page], last[page] - np.arange(n), at / np.maximum(p_len[page], 1),
         np.minimum(b_len[block], 40), mean(size), mean(odds), in_block, b_len[block] - 1 - in_block,
@@ -238,26 +256,25 @@ def features(pages: list[tuple[list[str], list[str], set[str]]], counts: np.ndar
     return np.stack([np.asarray(c, float) for c in columns], 1), block, region
 
 
-def _leads(shapes: list[tuple]) -> dict[str, float]:
-    """How often each word begins a heading, list item or long line (marked #), and a short bare line (marked ~): log counts."""
-    out: Counter = Counter()
-    for lines, kind, _ in shapes:
-        for line, k in zip(lines, kind, strict=True):
-            m = _WORD.search(line)
-            if m and k in ("heading", "list", "text"):
-                out[("~" if k == "text" and len(line) < 110 else "#") + m.group().lower()] += 1
-    return {w: math.log2(1 + c) for w, c in out.most_common(40_000)}
+def nodes(F_: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Features of blocks or regions that begin at the lines ``first``: means of their lines', their density and size."""
+    size = np.diff(np.concatenate([first, [len(F_)]]))
+    mean = np.add.reduceat(F_, first, axis=0) / size[:, None]
+    spread_ = np.stack([np.minimum.reduceat(F_[:, c], first) for c in (0, 3)] + [np.maximum.reduceat(F_[:, c], first) for c in (0, 3)], 1)
+    return np.concatenate([mean, spread_, size[:, None]], 1)
 
 
 def weak_labels(lines: list[str], kind: list[str], slug: set[str], counts: np.ndarray, leads: dict[str, float]) -> np.ndarray:
-    """1 furniture, 0 article, -1 unknown, where counts or form give it away."""
+    """1 furniture, 0 article, -1 unknown, where shares or form give it away."""
     out = np.full(len(lines), -1)
     solid = [i for i, (x, k) in enumerate(zip(lines, kind, strict=True)) if k in ("table", "fence", "code", "heading") or (len(x) >= 120 and k in ("text", "list"))]
     first, last = (solid[0], solid[-1]) if solid else (len(lines), -1)
+    # a line of furniture is held by a share of its site's articles, or by many articles of each of many sites; what articles share by chance is not
+    rare = (counts[:, 0] <= np.maximum(1, RARE * counts[:, 2])) & (counts[:, 4] < 2 * np.maximum(counts[:, 3], 1))
     for i, (line, k, c) in enumerate(zip(lines, kind, counts, strict=True)):
         w = {x.lower() for x in _WORD.findall(line)}
         like = len(slug & w) / len(slug | w) if slug else 0.0
-        repeated = (c[0] >= 3 or c[3] >= 4) and c[0] >= 0.4 * c[1]
+        repeated = ((c[0] >= 3 and c[0] >= OFTEN * c[2]) or (c[3] >= 4 and c[4] >= 2 * c[3])) and c[0] >= 0.4 * c[1]
         if k in ("table", "fence", "code", "heading"):
             out[i] = 0
         elif like >= 0.7 and k == "text":
@@ -266,48 +283,62 @@ def weak_labels(lines: list[str], kind: list[str], slug: set[str], counts: np.nd
             out[i] = 1
         elif k == "separated" and slug and len(slug & w) / len(slug) >= 0.7:
             out[i] = 1  # the way to the page: its title after others
-        elif k == "list" and c[0] <= 1 and c[3] <= 1 and c[2] >= 10:
+        elif k == "list" and rare[i] and c[2] >= 10:
             out[i] = 0  # the lists of a site's furniture are the same on many of its pages
-        elif c[0] <= 1 and c[3] <= 1 and first <= i <= last and (len(line) >= 110 or (k == "list" and i > first)):
+        elif rare[i] and first <= i <= last and (len(line) >= 110 or (k == "list" and i > first)):
             out[i] = 0
-        elif c[0] <= 1 and c[3] <= 1 and k == "text" and len(line) < 110 and (m := _WORD.search(line)):
+        elif rare[i] and k == "text" and len(line) < 110 and (m := _WORD.search(line)):
             lead = m.group().lower()
             if leads.get("#" + lead, 0) < 1 and leads.get("~" + lead, 0) > 2.5:
                 out[i] = 1  # a form with a blank: its first words begin no heading, list item or paragraph
-            elif leads.get("#" + lead, 0) >= 1.5 and first < i < last and counts[i - 1][0] <= 1 and c[2] >= 5:
+            elif leads.get("#" + lead, 0) >= 1.5 and first < i < last and rare[i - 1] and c[2] >= 5:
                 out[i] = 0  # a heading without a mark
     return out
 
 
-def decode(scores: np.ndarray, block: np.ndarray, region: np.ndarray, kind: list[str]) -> np.ndarray:
-    """Furniture or not for each line: the best labelling of the page's tree.
+def decode(line: np.ndarray, block: np.ndarray, region: np.ndarray, of_block: np.ndarray, of_region: np.ndarray) -> np.ndarray:
+    """Furniture or not for each line: the labelling of the page's tree that is worth most.
 
-    Within a block a change of label costs ``SWITCH``; a region whose every line
-    leans to furniture is furniture with all below it; fences and the code or
-    table between furniture-free lines share one label.
+    ``line``, ``of_block`` and ``of_region`` are log odds for furniture of the lines and of the nodes
+    above them; ``block`` and ``region`` say, by number from 0, where each line belongs. A node that is furniture is worth its own
+    log odds and those of all below it, a node that is article nothing; a node that is
+    neither is worth what its children are, for lines less ``SWITCH`` for each change of label within the block.
     """
-    out = scores > 0
-    first = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(block)]])
-    for lo, hi in zip(first[:-1], first[1:], strict=True):
-        if hi - lo == 1 or out[lo:hi].all() or not out[lo:hi].any():
+    line, of_block, of_region = np.clip(line, -8, 8), np.clip(of_block, -4, 4), np.clip(of_region, -4, 4)
+    out = np.zeros(len(line), bool)
+    first = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1])
+    total = np.add.reduceat(line, first)
+    stop = np.concatenate([first[1:], [len(line)]])
+    whole = total + of_block  # of each block as furniture
+    worth = np.maximum(whole, 0.0)
+    for b in range(len(first)):
+        lo, hi = first[b], stop[b]
+        out[lo:hi] = whole[b] > 0
+        s = line[lo:hi]
+        if hi - lo == 1 or (s > 0).all() or (s <= 0).all():
             continue
-        at = np.arange(lo, hi)
-        s = np.clip(scores[at], -8, 8)
         stay, back = np.array([0.0, s[0]]), []
         for x in s[1:]:
             swap = stay[::-1] - SWITCH
             back.append(swap > stay)
             stay = np.maximum(stay, swap) + np.array([0.0, x])
-        label = int(stay[1] > stay[0])
-        path = [label]
-        for b_ in reversed(back):
-            label = 1 - label if b_[label] else label
-            path.append(label)
-        out[at] = np.array(path[::-1], bool)
-    for r in np.unique(region):
-        at = np.nonzero(region == r)[0]
-        if len(at) > 1 and kind[at[0]] == "heading" and not out[at[0]] and out[at[1:]].all() and scores[at].sum() > 4 * len(at):
-            out[at] = True
+        if stay.max() > worth[b]:
+            worth[b] = stay.max()
+            label = int(stay[1] > stay[0])
+            path = [label]
+            for b_ in reversed(back):
+                label = 1 - label if b_[label] else label
+                path.append(label)
+            out[lo:hi] = np.array(path[::-1], bool)
+    own = region[first]
+    for r in np.unique(own):
+        at = np.nonzero(own == r)[0]
+        lo, hi = first[at[0]], stop[at[-1]]
+        mixed, all_ = worth[at].sum(), whole[at].sum() + of_region[r]
+        if all_ > 0 and all_ >= mixed:
+            out[lo:hi] = True
+        elif of_region[r] < 0 and mixed <= -of_region[r] and 0 < mixed:
+            out[lo:hi] = False  # what its children would gain is less than what the region speaks against
     return out
 
 
@@ -325,98 +356,118 @@ def _odds(shapes: list[tuple], label: np.ndarray) -> dict[str, float]:
                 if low:
                     tally[int(y)]["^" + low[0]] += 1
     n1, n0 = sum(tally[1].values()) + 1, sum(tally[0].values()) + 1
-    common = [w for w, c in (tally[0] + tally[1]).most_common(40_000) if c >= 3]
+    common = [w for w, c in (tally[0] + tally[1]).items() if c >= 3]
     return {w: max(-4.0, min(4.0, math.log((tally[1][w] + 0.3) / n1) - math.log((tally[0][w] + 0.3) / n0))) for w in common}
 
 
-def _fit(pages: list[tuple[str | None, str, dict[int, tuple]]], seed: int = 5) -> tuple[dict[str, float], Boosted | None]:
-    """Word odds and trees from sampled pages (url, content, counts by line).
+class Model:
+    """Word odds and the trees of lines, blocks and regions; without trees everything is article."""
 
-    A first model is fitted on the lines whose kind is given away; it labels those
-    of the others that it is sure of, and the second is fitted on both.
-    """
+    def __init__(self) -> None:
+        self.odds: dict[str, float] = {}
+        self.trees: list[Boosted | None] = [None, None, None]
+
+    def score(self, F_: np.ndarray, block: np.ndarray, region: np.ndarray) -> list[np.ndarray]:
+        """Log odds of the lines, blocks and regions."""
+        out = []
+        for trees, of in zip(self.trees, (None, block, region), strict=True):
+            X = F_ if of is None else nodes(F_, np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1]))
+            out.append(trees.score(X) if trees is not None else np.full(len(X), -1.0 if of is None else 0.0))
+        return out
+
+
+def _read(pages: list[tuple[str | None, str, dict[int, tuple]]]) -> tuple[list[tuple], list[np.ndarray]]:
+    """Lines, kinds and address words of each page that has lines, and their counts (``by_line``: those of other pages too, and under 0 the site's)."""
     shapes, counts = [], []
     for url, text, by_line in pages:
         nos, lines = _page_lines(text)
-        if not lines:
-            continue
-        kind, slug = kinds(lines), slug_of(url)
-        rest = (1, 1, next(iter(by_line.values()))[2] if by_line else 1, 1)
-        own = np.array([by_line.get(no, rest) for no in nos], float)
-        shapes.append((lines, kind, slug))
-        counts.append(own)
+        if lines:
+            site = by_line[_SITE][0] if _SITE in by_line else 1
+            counts.append(np.array([(*c[:2], site, *c[2:]) if (c := by_line.get(no)) else (1, 1, site, 1, 1) for no in nos], float))
+            shapes.append((lines, kinds(lines), slug_of(url)))
+    return shapes, counts
+
+
+def _fit(shapes: list[tuple], counts: list[np.ndarray], leads: dict[str, float], seed: int = 5) -> Model:
+    """A model from the pages of a sample.
+
+    A first one is fitted on the lines whose kind is given away; it labels those
+    of the others that it is sure of, and the second is fitted on both. Blocks and regions learn from lines that agree.
+    """
+    model = Model()
     if not shapes:
-        return {}, None
-    leads = _leads(shapes)
-    label = [weak_labels(*shape, own, leads) for shape, own in zip(shapes, counts, strict=True)]
-    counts, label = np.concatenate(counts), np.concatenate(label)
+        return model
+    label = np.concatenate([weak_labels(*shape, own, leads) for shape, own in zip(shapes, counts, strict=True)])
+    counts = np.concatenate(counts)
     rng = np.random.default_rng(seed)
-    odds: dict[str, float] = {}
-    trees = None
     for rounds in (25, 60):
         known = np.nonzero(label >= 0)[0]
         if len(set(label[known])) < 2:
-            return odds, trees
-        odds = _odds(shapes, label) | leads
+            return model
+        model.odds = _odds(shapes, label) | leads
         if len(known) > LINES:
             known = np.sort(rng.choice(known, LINES, replace=False))
-        shown, _, _ = features(shapes, counts, odds)
-        hidden, _, _ = features(shapes, np.ones_like(counts), odds)
-        trees = Boosted(trees=rounds).fit(np.concatenate([shown[known], hidden[known]]), np.concatenate([label[known]] * 2).astype(float))
-        sure = trees.score(shown)
+        shown, block, region = features(shapes, counts, model.odds)
+        hidden, _, _ = features(shapes, np.ones_like(counts), model.odds)
+        model.trees[0] = Boosted(trees=rounds).fit(np.concatenate([shown[known], hidden[known]]), np.concatenate([label[known]] * 2).astype(float))
+        sure = model.trees[0].score(shown)
         label = np.where((label < 0) & (np.abs(sure) > 1.0), (sure > 0).astype(int), label)
-    return odds, trees
+    for i, of in ((1, block), (2, region)):
+        first = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1])
+        some, most = (np.maximum.reduceat(np.where(label >= 0, x, -1), first) for x in (1 - label, label))
+        one = np.nonzero((some >= 0) & (some != most))[0]  # all its known lines are of one kind
+        y = most[one].astype(float)
+        if len(set(y)) == 2:
+            model.trees[i] = Boosted(trees=30).fit(np.concatenate([nodes(x, first)[one] for x in (shown, hidden)]), np.concatenate([y, y]))
+    return model
 
 
-def _classify(odds: dict[str, float], trees: Boosted | None):
+def _classify(model: Model):
     def run(batches):
         for batch in batches:
-            uid, key, urls, texts, stats = (batch.column(i).to_pylist() for i in range(5))
-            held, shapes, counts, ids, nos = [], [], [], [], []
-            for k, url, text, st in zip(key, urls, texts, stats, strict=True):
-                own, lines = _page_lines(text)
-                if not lines:
-                    continue
-                by_line = {s["line_no"]: (s["articles"], s["pages"], s["site"], s["sites"]) for s in st or ()}
-                rest = (1, 1, st[0]["site"] if st else 1, 1)
-                kind = kinds(lines)
-                shapes.append((lines, kind, slug_of(url)))
-                counts += [by_line.get(no, rest) for no in own]
-                ids += [k] * len(own)
-                nos += own
-                held.append((len(lines), kind))
-            if not ids:
+            key, urls, texts, stats = (batch.column(i).to_pylist() for i in range(1, 5))
+            pages = [(url, text, {s["line_no"]: (s["articles"], s["pages"], s["sites"], s["all"]) for s in st or ()}) for url, text, st in zip(urls, texts, stats, strict=True)]
+            shapes, counts = _read(pages)
+            if not shapes:
                 continue
-            f, block, region = features(shapes, np.array(counts, float), odds)
-            score = trees.score(f) if trees is not None else np.full(len(f), -1.0)
+            lines = [_page_lines(text)[0] for text in texts]
+            f, block, region = features(shapes, np.concatenate(counts), model.odds)
+            line, of_block, of_region = model.score(f, block, region)
             label, at = [], 0
-            for n, kind in held:
-                label.append(decode(score[at : at + n], block[at : at + n], region[at : at + n], kind))
-                at += n
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(np.concatenate(label)), pa.array(score)], ["id", "line_no", "furniture", "score"])
+            for shape in shapes:
+                end = at + len(shape[0])
+                b, r = block[at:end], region[at:end]
+                label.append(decode(line[at:end], b - b[0], r - r[0], of_block[b[0] : b[-1] + 1], of_region[r[0] : r[-1] + 1]))
+                at = end
+            ids = [k for k, nos in zip(key, lines, strict=True) for _ in nos]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([no for nos in lines for no in nos], pa.int32()), pa.array(np.concatenate(label)), pa.array(line)], ["id", "line_no", "furniture", "score"])
 
     return run
 
 
-def _prepared(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame:
-    """Pages with, for each line that others share, how widely it is shared."""
+def _prepared(df: DataFrame, id_col: str, url_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with, for each line that others share, how widely it is shared; and the counts of lead words (key, n)."""
     pages = _base.unit(df, id=id_col, url=url_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.col("url").cast("string").alias("url"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     pages = pages.withColumn("uid", F.xxhash64("id", "url", "text"))
     pages = pages.dropDuplicates(["uid"])
-    lines = _base.stage(pages.select("uid", "url", "text").mapInArrow(_line_rows, "uid bigint, line_no int, host string, key bigint, title bigint, print1 bigint, print2 bigint"), "page-lines")
+    rows = _base.stage(pages.select("uid", "url", "text").mapInArrow(_line_rows, "uid bigint, line_no int, host string, key bigint, title bigint, print1 bigint, print2 bigint"), "page-lines")
+    leads = _base.stage(rows.where(F.col("line_no") == _LEAD).groupBy("key").agg(F.sum("uid").alias("n")), "page-leads")
+    lines = rows.where(F.col("line_no") != _LEAD)
     # Articles with a line: by title and by two fingerprints, whichever are fewest. The counts are exact at any size: each
     # value is first made distinct under its own key, then counted in parts, so no key gathers its pages. Lines found once
-    # in all pages have nothing to count and are left out first.
-    often = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = _base.stage(lines.join(often, "key"), "shared-lines")
+    # in all pages have nothing to count and are left out first. A line that a third of all pages hold is joined in parts.
+    often = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key = 0").select("key")
+    shared = _base.stage(_base.spread_join(lines, often, ["key"], ["uid"]), "shared-lines")
+    _base.discard(rows)
     narrow = shared.groupBy("host", "key").agg(F.count("*").alias("pages"), *[F.count_distinct(c).alias(c) for c in ("title", "print1", "print2")])
-    narrow = narrow.select("host", "key", "pages", F.least("title", "print1", "print2").alias("articles"))
-    sites = shared.groupBy("key").agg(*[F.count_distinct(c).alias(c) for c in ("host", "title", "print1")]).where("host > 1")
-    sites = sites.select("key", F.least("host", "title", "print1").alias("sites"))
-    site = lines.groupBy("host").agg(F.count_distinct("title").alias("site"))
-    wide = narrow.join(sites, "key", "left").withColumn("sites", F.coalesce("sites", F.lit(1))).where("pages > 1 or sites > 1").join(site, "host")
-    known = shared.select("uid", "line_no", "host", "key").join(wide, ["host", "key"]).groupBy("uid").agg(F.collect_list(F.struct("line_no", "articles", "pages", "site", "sites")).alias("stats"))
-    return _base.stage(pages.join(known, "uid", "left").select("uid", "id", "url", "text", "stats"), "pages")
+    narrow = narrow.select("host", "key", "pages", F.when(F.col("key") == 0, F.col("title")).otherwise(F.least("title", "print1", "print2")).alias("articles"))
+    sites = shared.where("key != 0").groupBy("key").agg(*[F.count_distinct(c).alias(c) for c in ("host", "title", "print1")]).where("host > 1")
+    sites = sites.select("key", F.least("host", "title", "print1").alias("sites"), F.least("title", "print1").alias("all"))
+    wide = _base.spread_join(narrow, sites, ["key"], ["host"], "left").withColumns({"sites": F.coalesce("sites", F.lit(1)), "all": F.coalesce("all", "articles")}).where("pages > 1 or sites > 1 or key = 0")
+    known = _base.spread_join(shared.select("uid", "line_no", "host", "key"), wide, ["host", "key"], ["uid"]).groupBy("uid").agg(F.collect_list(F.struct("line_no", "articles", "pages", "sites", "all")).alias("stats"))
+    out = _base.stage(pages.join(known, "uid", "left").select("uid", "id", "url", "text", "stats"), "pages")
+    _base.discard(shared)
+    return out, leads
 
 
 def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, *, sample: int = SAMPLE) -> DataFrame:
@@ -426,10 +477,18 @@ def page_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, *, sampl
     own; equal rows count once, a repeated id with other contents has rows for each. An empty table gives an
     empty result; where no line of the sample can be told (a handful of pages), all lines count as article.
     """
-    pages = _prepared(df, id_col, url_col, text_col)
+    pages, leads = _prepared(df, id_col, url_col, text_col)
     rows = pages.orderBy(F.hash("uid"), "uid").limit(sample).select("url", "text", "stats").toArrow().to_pylist()
-    odds, trees = _fit([(r["url"], r["text"], {s["line_no"]: (s["articles"], s["pages"], s["site"], s["sites"]) for s in r["stats"] or ()}) for r in rows])
-    return spread(pages).mapInArrow(_classify(odds, trees), "id bigint, line_no int, furniture boolean, score double")
+    shapes, counts = _read([(r["url"], r["text"], {s["line_no"]: (s["articles"], s["pages"], s["sites"], s["all"]) for s in r["stats"] or ()}) for r in rows])
+    # how often the sample's lead words lead in all pages, in a sample's worth of pages
+    own: Counter = Counter()
+    for lines, kind, _ in shapes:
+        _leads(lines, kind, own)
+    by_key = {_lead_key(w): w for w in own}
+    held = leads.join(F.broadcast(df.sparkSession.createDataFrame([(k,) for k in by_key] or [(0,)], "key bigint")), "key").toArrow().to_pylist()
+    share = min(1.0, sample / max(pages.count(), 1))
+    model = _fit(shapes, counts, {by_key[r["key"]]: math.log2(1 + share * r["n"]) for r in held if r["key"] in by_key})
+    return spread(pages).mapInArrow(_classify(model), "id bigint, line_no int, furniture boolean, score double")
 
 
 def articles(df: DataFrame, id_col: str, url_col: str, text_col: str, *, sample: int = SAMPLE) -> DataFrame:

@@ -131,8 +131,31 @@ def test_counts_of_a_large_site_have_no_ceiling(spark):
     body = ", ' ', ".join(word.format(f"id * 100 + {i}") for i in range(40))
     text = f"concat_ws('\\n', concat('# page ', {word.format('id')}), concat({body}), 'Share this page')"
     df = spark.range(n).selectExpr("id", f"concat('https://large.example/', {word.format('id')}) url", f"{text} text")
-    stats = boilerplate._prepared(df, "id", "url", "text").selectExpr("inline(stats)").where("line_no = 3").select("articles", "pages", "site").distinct().collect()
-    assert [tuple(r) for r in stats] == [(n, n, n)]
+    pages, leads = boilerplate._prepared(df, "id", "url", "text")
+    stats = pages.selectExpr("inline(stats)").where("line_no in (0, 3)").select("line_no", "articles", "pages", "sites", "all").distinct().collect()
+    assert sorted(tuple(r) for r in stats) == [(0, n, n, 1, n), (3, n, n, 1, n)]
+    assert {r["key"]: r["n"] for r in leads.collect()}[boilerplate._lead_key("~share")] == n
+
+
+def test_a_line_is_one_line_at_any_length():
+    for size in (5, 300, 5000):
+        a, b = (f"- {'Terms of ' * size} in Force since {year}" for year in (2019, 2024))
+        assert boilerplate._key(a) == boilerplate._key(b.upper().replace("- ", "* ", 1)) != boilerplate._key(a + " x")
+
+
+def test_decoding_leaves_no_contradiction():
+    zero = np.zeros(1, int)
+    one = lambda *s: np.array(s, float)
+    blocks, region = np.array([0, 1, 2]), np.zeros(3, int)
+    # a region that speaks for article, or for furniture, as a whole takes its lines along
+    assert boilerplate.decode(one(-1, 1, -1), blocks, region, one(0, 0, 0), one(-3)).tolist() == [False] * 3
+    assert boilerplate.decode(one(1, -0.5, 1), blocks, region, one(1, 0, 1), one(3)).tolist() == [True] * 3
+    # with strong blocks it is left to them
+    assert boilerplate.decode(one(-5, 5, -5), blocks, region, one(-4, 4, -4), one(0)).tolist() == [False, True, False]
+    # a block is one or is cut where that is worth more than the change
+    assert boilerplate.decode(one(0.3, -0.2, 0.3), np.zeros(3, int), region, one(1), one(0)).tolist() == [True] * 3
+    assert boilerplate.decode(one(6, 6, -6), np.zeros(3, int), region, one(0), one(0)).tolist() == [True, True, False]
+    assert boilerplate.decode(one(2), zero, zero, one(1), one(0)).tolist() == [True]
 
 
 def test_pages_of_nothing(spark):
