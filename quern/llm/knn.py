@@ -1,9 +1,11 @@
 """Nearest neighbours of every vector, by robust-pruned directed graphs.
 
-The collection is routed into shards by spherical k-means centroids that are
-fitted on a bounded sample. Every vector is indexed in the shard of its nearest
+The collection is routed into shards by a tree of spherical k-means centroids. The first
+level is fitted on a bounded sample of all vectors; a cell that holds too many for a shard is
+split by centroids of a bounded sample of its own, and so on, so that the number of shards grows with the
+collection and no shard does. Every vector is indexed in the cell of its nearest
 centroid and in those of the next centroids whose similarity is within
-``closure`` of the best, so that neighbours on either side of a shard's border
+``closure`` of the best, so that neighbours on either side of a cell's border
 share a shard. Each shard builds a directed graph: points are inserted in
 batches, a greedy beam search over the graph so far proposes neighbours, robust
 pruning with the relaxation ``alpha`` keeps a diverse subset of them, and reverse
@@ -13,26 +15,33 @@ points. The queries are then answered by beam search in each of their shards,
 and the lists are merged.
 
 Copies of a vector are indexed once and expanded afterwards, so a vector that a
-third of all rows hold costs no more than any other. A shard that outgrows its
-limit is cut by a hash of the id into sub-shards that each of the shard's queries
-visits, so no vector is left out and no task gets an unbounded group.
+third of all rows hold costs no more than any other. A cell that no centroids
+split, of vectors that hardly differ, is cut by a hash of the id into sub-shards that each of the cell's queries
+visits, so no vector is left out and no task gets an unbounded group; the graph of such a sub-shard
+is built once and searched by blocks of queries.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import _base
 
-#: Vectors in a shard's graph; a shard beyond twice this is cut.
+#: Vectors in a shard's graph; a cell beyond twice this is split.
 SHARD = 6000
-#: Most vectors that the routing centroids are fitted on, and most centroids.
+#: Most vectors that the centroids of the first level are fitted on, and most of those.
 SAMPLE, CENTROIDS = 40_000, 4000
+#: The same for each cell that is split, vectors of one that a task routes, and levels below the first: 3.8e12 vectors fit the tree.
+CELL_SAMPLE, CELL_CENTROIDS, CHUNK, LEVELS = 16_000, 400, 50_000, 2
+#: Cells for a shard's worth of vectors, as a vector may stand in several.
+SHARE = 1.5
 
 
 def prune(X: np.ndarray, at: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -231,27 +240,26 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, dim: int
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], "id bigint, other bigint, sim double, rank int")
-    cells = min(CENTROIDS, max(1, math.ceil(n / shard)))
+    cells = min(CENTROIDS, max(1, math.ceil(SHARE * n / shard) if n > shard else 1))
     if cells > 1:
         held = reps.select("vec").orderBy(F.xxhash64("rep")).limit(SAMPLE).toArrow()
         M = centroids(_unit(_base.vectors(held["vec"], dim)), min(cells, max(1, held.num_rows // 8)))
     else:
         M = np.ones((1, dim), np.float32)
     routed = _base.stage(_route(reps.select("rep", "vec"), M, dim, closure, routes), "knn-routed")
-    # cells over the limit are cut; at most CENTROIDS rows come to the driver
-    size = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    big = {c: (math.ceil(s / shard), math.ceil(s / (4 * shard))) for c, s in size.items() if s > 2 * shard}
-    cut = lambda i: F.coalesce(*[F.when(F.col("cell") == c, F.lit(b[i])) for c, b in big.items()], F.lit(1)) if big else F.lit(1)
-    routed = routed.withColumn("subs", cut(0)).withColumn("blocks", cut(1))
-    routed = routed.withColumn("sub", F.pmod(F.xxhash64("rep", F.lit(1)), "subs").cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), "blocks").cast("int"))
-    plain = routed.where("subs = 1 and blocks = 1").select("cell", "sub", "block", "rep", "vec", F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
-    placed = plain
-    if big:
-        hot = routed.where("subs > 1 or blocks > 1")
-        inside = hot.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "sub", "block", "rep", "vec", F.lit(True).alias("indexed"), F.lit(False).alias("asks"))
-        asking = hot.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("cell", "sub", "block", "rep", "vec", F.lit(False).alias("indexed"), F.lit(True).alias("asks"))
-        placed = plain.unionByName(inside).unionByName(asking)
-    found = placed.groupBy("cell", "sub", "block").applyInArrow(_shard_search(k, dim, degree, width, alpha), "rep bigint, near bigint, sim double")
+    done: list[DataFrame] = []  # the cells that are shards
+    for level in range(LEVELS + 1):
+        big = _base.stage(routed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard), "knn-big")
+        if big.isEmpty():
+            done.append(routed)
+            break
+        done.append(_base.spread_join(routed, big.select("cell"), ["cell"], ["rep"], "left_anti"))
+        if level < LEVELS:
+            routed = _base.stage(_split(_base.spread_join(routed, big, ["cell"], ["rep"]), dim, shard, closure / (level + 2), level), "knn-routed")
+    placed = reduce(DataFrame.unionByName, done)
+    found = placed.groupBy("cell").applyInArrow(_shard_search(k, dim, degree, width, alpha), _FOUND)
+    if not big.isEmpty():
+        found = found.unionByName(_by_hash(_base.spread_join(routed, big, ["cell"], ["rep"]), k, dim, shard, degree, width, alpha))
     # merge the shards' lists: the same neighbour may come from several
     best = found.groupBy("rep", "near").agg(F.max("sim").alias("sim"))
     top = best.withColumn("p", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("sim"), "near"))).where(F.col("p") <= k + 1).drop("p")
@@ -259,54 +267,132 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, dim: int
     others = top.join(copies.select(F.col("rep").alias("near"), "copies"), "near").select("rep", F.explode("copies").alias("other"), "sim")
     twins = copies.where(F.size("copies") > 1).select("rep", F.explode("copies").alias("other"), F.lit(1.0).alias("sim"))
     offered = others.unionByName(twins).groupBy("rep").agg(F.collect_list(F.struct("sim", "other")).alias("offer"))  # at most (k + 1) ** 2 + k + 1 entries
-    member = keyed.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"])
-    mine = member.join(offered, "rep").select("id", F.explode("offer").alias("o")).where(F.col("o.other") != F.col("id"))
+    # a vector that a third of all rows hold is answered in parts
+    member = _base.spread_join(keyed.select("id", "h1", "h2"), reps.select("h1", "h2", "rep"), ["h1", "h2"], ["id"])
+    mine = _base.spread_join(member, offered, ["rep"], ["id"]).select("id", F.explode("offer").alias("o")).where(F.col("o.other") != F.col("id"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("o.sim"), "o.other"))
     return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("o.other").alias("other"), F.col("o.sim").alias("sim"), "rank")
 
 
+_FOUND = "rep bigint, near bigint, sim double"
+
+
+def _nearest_cells(X: np.ndarray, M: np.ndarray, closure: float, routes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and cells of unit vectors: the cell of the best centroid, and up to ``routes`` in all that are nearly as good."""
+    S = X @ M.T
+    m = min(routes, S.shape[1])
+    c = np.argpartition(-S, m - 1, 1)[:, :m]
+    s = np.take_along_axis(S, c, 1)
+    r, j = np.nonzero(s >= s.max(1, keepdims=True) - closure)
+    return r, c[r, j]
+
+
 def _route(reps: DataFrame, M: np.ndarray, dim: int, closure: float, routes: int) -> DataFrame:
     """Each vector with the cells that index it."""
 
     def run(batches):
         for batch in batches:
-            X = _unit(_base.vectors(batch.column(1), dim))
-            S = X @ M.T
-            m = min(routes, S.shape[1])
-            c = np.argpartition(-S, m - 1, 1)[:, :m]
-            s = np.take_along_axis(S, c, 1)
-            r, j = np.nonzero(s >= s.max(1, keepdims=True) - closure)
-            yield pa.RecordBatch.from_arrays([pa.array(c[r, j].astype(np.int32)), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r))], ["cell", "rep", "vec"])
+            r, cell = _nearest_cells(_unit(_base.vectors(batch.column(1), dim)), M, closure, routes)
+            pick = pa.array(r)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick)], ["cell", "rep", "vec"])
+
+    return reps.mapInArrow(run, "cell bigint, rep bigint, vec array<float>")
 
-    return reps.mapInArrow(run, "cell int, rep bigint, vec array<float>")
+
+def _split(rows: DataFrame, dim: int, shard: int, closure: float, level: int) -> DataFrame:
+    """The vectors (cell, rep, vec, n) of large cells in the cells below theirs.
+
+    Each cell's centroids are fitted on its own sample, by one task a cell; its vectors are routed in chunks
+    of about ``CHUNK``, each with a copy of the cell's centroids. Nothing of it passes the driver.
+    """
+
+    def fit(group: pa.Table) -> pa.Table:
+        X = _unit(_base.vectors(group["vec"], dim))
+        n = group["n"][0].as_py()
+        M = centroids(X, max(2, min(CELL_CENTROIDS, math.ceil(SHARE * n / shard), len(X) // 8)))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(M) + 1, dtype=np.int32) * dim), pa.array(M.ravel()))
+        return pa.table({"cell": pa.array([group["cell"][0].as_py()] * len(M), pa.int64()), "n": pa.array([n] * len(M), pa.int64()), "sub": pa.array(range(len(M)), pa.int32()), "vec": flat})
+
+    def route(vectors: pa.Table, below: pa.Table) -> pa.Table:
+        if not vectors.num_rows:
+            return pa.table({"cell": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "vec": pa.array([], pa.list_(pa.float32()))})
+        M = _base.vectors(below["vec"], dim)[np.argsort(below["sub"].to_numpy())]
+        r, c = _nearest_cells(_unit(_base.vectors(vectors["vec"], dim)), M, closure, 2)
+        parent = vectors["cell"][0].as_py()
+        names = np.array([xxhash.xxh64_intdigest(f"{level}/{parent}/{i}") >> 1 for i in range(len(M))], np.int64)
+        pick = pa.array(r)
+        return pa.table({"cell": pa.array(names[c]), "rep": vectors["rep"].take(pick), "vec": vectors["vec"].take(pick)})
+
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("rep"), "rep"))
+    sample = rows.withColumn("place", place).where(F.col("place") <= CELL_SAMPLE).select("cell", "n", "vec")
+    below = _base.stage(sample.groupBy("cell").applyInArrow(fit, "cell bigint, n bigint, sub int, vec array<float>"), "knn-centroids")
+    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+    left = rows.select("cell", F.pmod(F.xxhash64("rep", F.lit(level)), chunks).cast("int").alias("chunk"), "rep", "vec")
+    right = below.select("cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "sub", "vec")
+    out = left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(route, "cell bigint, rep bigint, vec array<float>")
+    return out.dropDuplicates(["cell", "rep"])  # the cell above may have had it by several ways
+
+
+def _search(X: np.ndarray, raw: np.ndarray, rep: np.ndarray, G: np.ndarray, entry: np.ndarray, asks: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, width: int) -> pa.Table:
+    """What the queries (unit vectors, exact ones, ids) find in a graph, with exact similarities."""
+    Q, exact, who = asks
+    place = np.searchsorted(rep, who)
+    own = np.where((place < len(rep)) & (rep[np.minimum(place, len(rep) - 1)] == who), place, -1).astype(np.int32)
+    ids = search_all(X, G, entry, Q, own, k + 2, width)
+    r, c = np.nonzero(ids >= 0)
+    a, b = r, ids[r, c]
+    apart = who[a] != rep[b]
+    a, b = a[apart], b[apart]
+    sim = np.round(np.einsum("ij,ij->i", exact[a], raw[b]), 12)
+    return pa.table({"rep": who[a], "near": rep[b], "sim": sim})
+
+
+def _exact(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    raw = _base.vectors(column, dim).astype(np.float64)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
 def _shard_search(k: int, dim: int, degree: int, width: int, alpha: float):
+    """Builds the graph of a shard and answers its vectors."""
+
     def run(group: pa.Table) -> pa.Table:
-        rep = group["rep"].to_numpy()
-        raw = _base.vectors(group["vec"], dim).astype(np.float64)
-        raw /= np.linalg.norm(raw, axis=1, keepdims=True)
+        group = group.sort_by("rep")
+        rep, raw = group["rep"].to_numpy(), _exact(group["vec"], dim)
         X = raw.astype(np.float32)
-        inside, asks = np.nonzero(group["indexed"].to_numpy())[0], np.nonzero(group["asks"].to_numpy())[0]
-        empty = pa.table({"rep": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        if not len(inside) or not len(asks):
-            return empty
-        inside = inside[np.argsort(rep[inside])]
-        Y = np.ascontiguousarray(X[inside])
-        G, entry = build(Y, degree, width, alpha)
-        own = np.full(len(X), -1, np.int32)
-        own[inside] = np.arange(len(inside), dtype=np.int32)
-        ids = search_all(Y, G, entry, X[asks], own[asks], k + 2, width)
-        r, c = np.nonzero(ids >= 0)
-        a, b = asks[r], inside[ids[r, c]]
-        apart = rep[a] != rep[b]
-        a, b = a[apart], b[apart]
-        sim = np.round(np.einsum("ij,ij->i", raw[a], raw[b]), 12)
-        return pa.table({"rep": rep[a], "near": rep[b], "sim": sim})
+        G, entry = build(X, degree, width, alpha)
+        return _search(X, raw, rep, G, entry, (X, raw, rep), k, width)
 
     return run
 
 
+def _by_hash(rows: DataFrame, k: int, dim: int, shard: int, degree: int, width: int, alpha: float) -> DataFrame:
+    """The same for cells (cell, rep, vec, n) that no centroids split: graphs of sub-shards by a hash, built once, searched by blocks of queries."""
+
+    def graph(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        G, entry = build(_exact(group["vec"], dim).astype(np.float32), degree, width, alpha)
+        edges = pa.ListArray.from_arrays(pa.array(np.arange(len(G) + 1, dtype=np.int32) * degree), pa.array(G.ravel()))
+        first = np.zeros(len(G), bool)
+        first[entry] = True
+        return pa.table({"cell": group["cell"], "sub": group["sub"], "n": group["n"], "rep": group["rep"], "vec": group["vec"], "edges": edges, "entry": first})
+
+    def ask(built: pa.Table, asking: pa.Table) -> pa.Table:
+        if not built.num_rows or not asking.num_rows:
+            return pa.table({"rep": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        built = built.sort_by("rep")
+        raw, exact = _exact(built["vec"], dim), _exact(asking["vec"], dim)
+        G = built["edges"].combine_chunks().flatten().to_numpy().astype(np.int32).reshape(-1, degree)
+        entry = np.nonzero(built["entry"].to_numpy(zero_copy_only=False))[0].astype(np.int32)
+        return _search(raw.astype(np.float32), raw, built["rep"].to_numpy(), G, entry, (exact.astype(np.float32), exact, asking["rep"].to_numpy()), k, width)
+
+    subs, blocks = F.ceil(F.col("n") / F.lit(shard)).cast("int"), F.ceil(F.col("n") / F.lit(4 * shard)).cast("int")
+    split = rows.select("cell", F.pmod(F.xxhash64("rep", F.lit(1)), subs).cast("int").alias("sub"), "n", "rep", "vec")
+    built = _base.stage(split.groupBy("cell", "sub").applyInArrow(graph, "cell bigint, sub int, n bigint, rep bigint, vec array<float>, edges array<int>, entry boolean"), "knn-graphs")
+    held = built.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).groupBy("cell", "sub", "block")
+    asking = rows.select("cell", F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"), F.pmod(F.xxhash64("rep", F.lit(2)), blocks).cast("int").alias("block"), "rep", "vec").groupBy("cell", "sub", "block")
+    return held.cogroup(asking).applyInArrow(ask, _FOUND)
+
+
 def undirected(found: DataFrame) -> DataFrame:
     """The unordered pairs of :func:`neighbours`: ``id_a`` < ``id_b``."""
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
