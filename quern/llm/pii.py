@@ -1,14 +1,19 @@
 """Personal information in free text, found and replaced, by information-theoretic sanitisation.
 
-Email addresses, phone numbers, identity numbers and street addresses are
-protected entities that their form gives away. Persons' names are found by what
-terms disclose: over the whole corpus each capitalised term is counted, and how
-often it stands in a protected relation - beside a name of the address book with
-an initial or particle between at most, behind a title, or in a line whose email
-address contains it. A term's disclosure, in bits, is the pointwise mutual
-information between the term and that relation. Terms that disclose a person by
+What a term discloses is estimated from the whole corpus: how often it stands in a
+protected relation, against how often it stands anywhere. Its disclosure, in bits, is the pointwise mutual
+information between the term and that relation.
+
+For names, terms are capitalised words and the relations are: beside a name of the address book with
+an initial or particle between at most, behind a title, in a line whose email
+address contains it. Terms that disclose a person by
 themselves are replaced wherever they stand; terms of a lower disclosure, such
 as given names that are common words, only jointly with another name.
+
+Email addresses, phone numbers, identity numbers and street addresses have forms that
+make them candidates. Their terms are the shapes they are written in, and the relation is the company of a person:
+a name of the address book or a candidate of another type nearby. A shape is taken to disclose, as its form says,
+unless the corpus has enough of it to show that it stands apart from persons, as part numbers do.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ SHIP = 200_000
 ALONE, JOINT = 0.35, 0.06
 #: Occurrences in a protected relation, and bits of disclosure (or half of the most there can be), that a term outside the address book needs.
 EVIDENCE, BITS = 3, 2.0
+#: Occurrences of a shape from which on the corpus can clear it, and the bits under which it does; characters around it that count as its company.
+SHAPE_EVIDENCE, SHAPE_BITS, COMPANY = 30, -2.0, 80
 
 # ---- forms that give the entity away. The word lists are fixed values.
 _AT = r"(?: ?[\[({] ?at ?[\])}] ?| ?@ ?)"
@@ -97,21 +104,31 @@ _BEFORE_CAPITAL = re.compile(r"\d[A-Za-z]? [A-ZÀ-ÖØ-Þ]")
 
 
 def _around(trigger: re.Pattern, pattern: re.Pattern, text: str, back: int, ahead: int):
-    """Matches of ``pattern`` that reach over a match of ``trigger``: as if searched in the whole text, but only there."""
-    done = 0
+    """Matches of ``pattern`` that reach over a match of ``trigger``: as if searched in the whole text, but only there.
+
+    The window around a trigger cuts no token, and one that a match begins or ends with is widened.
+    """
+    done, size = 0, len(text)
     for t in trigger.finditer(text):
         if t.start() < done:
             continue
-        at = max(done, t.start() - back)
-        while (m := pattern.search(text, at, t.end() + ahead)) and m.start() <= t.start():
-            # the window must not cut what is found
-            if m.end() == t.end() + ahead:
-                m = pattern.match(text, m.start()) or m
-            if m.end() > t.start():
-                yield m
-                done = m.end()
-                break
-            at = m.end()
+        reach = back
+        while True:
+            low, high = max(done, t.start() - reach), min(size, t.end() + reach + ahead - back)
+            while low > done and not text[low - 1].isspace() and text[low - 1] != "@":
+                low -= 1
+            while high < size and not text[high].isspace() and text[high] != "@":
+                high += 1
+            at, m = low, None
+            while (m := pattern.search(text, at, high)) and m.end() <= t.start():
+                at = m.end()
+            if m and (m.start() == low > done or m.end() == high < size):
+                reach *= 4
+                continue
+            break
+        if m and m.start() <= t.start():
+            yield m
+            done = m.end()
 
 
 def structured(text: str) -> list[tuple[str, int, int]]:
@@ -122,8 +139,7 @@ def structured(text: str) -> list[tuple[str, int, int]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or y <= a for x, y in taken)
 
-    signs = any(x in text for x in ("@", "at)", "at]", "AT)", "AT]", "at }", "at )", "at ]", " dot ", " DOT "))
-    for m in _around(_AT_SIGN, _EMAIL, text, 100, 120) if signs else ():
+    for m in _around(_AT_SIGN, _EMAIL, text, 100, 120):
         taken.append(m.span())
         if "@" in m.group() and (_REMOTE.match(text, m.end()) or text[max(0, m.start() - 3) : m.start()] == "://"):
             continue  # the login of a code remote
@@ -162,78 +178,118 @@ def _lines_with_emails(text: str, spans: list[tuple[str, int, int]]) -> list[tup
     return [(text.rfind("\n", 0, a) + 1, (text + "\n").index("\n", b), re.split(r"@| ?[\[({] ?at| at ", text[a:b].lower(), maxsplit=1)[0]) for kind, a, b in spans if kind == "email"]
 
 
+def _left(text: str, at: int) -> str:
+    """What stands before a place, back to the begin of a token."""
+    low = max(0, at - 48)
+    while low and not text[low - 1].isspace():
+        low -= 1
+    return text[low:at]
+
+
 def _first(word: str) -> str:
     return word.split("-", 1)[0].lower()
 
 
-def _count(given: frozenset[str], family: frozenset[str]):
-    """Of each capitalised term: occurrences, and those in a protected relation as given and as family name."""
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _shape(kind: str, found: str) -> str:
+    """The term that stands for how a candidate is written: an email's domain, else its digits and words as such."""
+    if kind == "email":
+        return f"\0email:{re.split(r'@| ?[\[({] ?at| at ', found.lower(), maxsplit=1)[-1]}"
+    return f"\0{kind}:{re.sub(r'[0-9]', '9', found) if kind != 'address' else _LETTERS.sub('w', re.sub(r'[0-9]+', '9', found))}"
+
+
+def _count(given: frozenset[str] | None, family: frozenset[str] | None):
+    """Of each capitalised term and shape: occurrences, and those in a protected relation as given and as family name. Without an address book the rows hold their own terms of it."""
 
     def run(batches):
         for batch in batches:
             n, g, f = Counter(), Counter(), Counter()
-            for text in batch.column(1).to_pylist():
-                spans = structured(text)
-                blank = _blank(text, spans) if spans else text
-                words = []
-                for m in _CAP.finditer(blank):
-                    low = m.group().lower()
-                    words.append(low)
-                    if low in family:
-                        a, b = m.span()
-                        before = blank[max(0, a - 50) : a]
-                        turned = _RIGHT_GIVEN.match(blank, b)
-                        if turned and not _RIGHT_FAMILY.match(blank, turned.end()):
-                            if _ENDS.search(before + m.group()):
-                                g[_first(turned.group(1))] += 1
-                        if (r := _LEFT_GIVEN.search(before)) and not (turned and _first(turned.group(1)) in given):
-                            g[_first(r.group(1))] += 1
-                        if _LEFT_INITIAL.search(before) or _TITLE.search(before):
-                            f[low] += 1
-                    if low in given:
-                        a, b = m.span()
-                        if r := _RIGHT_FAMILY.match(blank, b):
-                            f[r.group(1).lower()] += 1
-                        elif blank[a - 2 : a] == ", " and (r := _ENDS.search(blank[max(0, a - 50) : a - 2])):
-                            f[r.group(1).lower()] += 1
-                n.update(words)
-                for at in _MARK.finditer(blank):  # behind an initial or a title
-                    if (m := _MARKED.match(blank, at.start())) and (low := m.group(1).lower()) not in family:
-                        f[low] += 1
-                for start, stop, own in _lines_with_emails(text, spans):
-                    for m in _CAP.finditer(blank, start, stop):
-                        low = m.group().lower()
-                        if len(low) >= 4 and low in own and low not in given and low not in family:
-                            if _RIGHT_FAMILY.match(blank, m.end()):
-                                g[low] += 1
-                            elif _LEFT_GIVEN.search(blank[max(0, m.start() - 40) : m.start()]):
-                                f[low] += 1
+            own = batch.column(2).to_pylist() if given is None else [None] * batch.num_rows
+            for text, terms in zip(batch.column(1).to_pylist(), own, strict=True):
+                first = given if terms is None and given is not None else {t["term"] for t in terms or () if t["in_given"]}
+                last = family if terms is None and family is not None else {t["term"] for t in terms or () if t["in_family"]}
+                _count_text(text, first, last, n, g, f)
             words = list(n)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([min(c[w], n[w]) for w in words], pa.int64()) for c in (n, g, f)]], ["term", "n", "given", "family"])
 
     return run
 
 
-def disclosure(texts: DataFrame, names: DataFrame, name_col: str, kind_col: str) -> DataFrame:
-    """The lexicon: ``term``, ``given`` and ``family`` (2 discloses by itself, 1 jointly, 0 not), ``bits``.
+def _count_text(text: str, given: frozenset[str] | set[str], family: frozenset[str] | set[str], n: Counter, g: Counter, f: Counter) -> None:
+    spans = structured(text)
+    blank = _blank(text, spans) if spans else text
+    words = []
+    for kind, a, b in spans:
+        shape = _shape(kind, text[a:b])
+        n[shape] += 1
+        low, high = a - COMPANY, b + COMPANY
+        if any(k != kind and x < high and low < y for k, x, y in spans) or any((w := c.lower()) in given or w in family for c in _CAP.findall(blank, max(0, low), high)):
+            g[shape] += 1
+    for m in _CAP.finditer(blank):
+        low = m.group().lower()
+        words.append(low)
+        if low in family:
+            a, b = m.span()
+            before = _left(blank, a)
+            turned = _RIGHT_GIVEN.match(blank, b)
+            if turned and not _RIGHT_FAMILY.match(blank, turned.end()):
+                if _ENDS.search(before + m.group()):
+                    g[_first(turned.group(1))] += 1
+            if (r := _LEFT_GIVEN.search(before)) and not (turned and _first(turned.group(1)) in given):
+                g[_first(r.group(1))] += 1
+            if _LEFT_INITIAL.search(before) or _TITLE.search(before):
+                f[low] += 1
+        if low in given:
+            a, b = m.span()
+            if r := _RIGHT_FAMILY.match(blank, b):
+                f[r.group(1).lower()] += 1
+            elif blank[a - 2 : a] == ", " and (r := _ENDS.search(_left(blank, a - 2))):
+                f[r.group(1).lower()] += 1
+    n.update(words)
+    for at in _MARK.finditer(blank):  # behind an initial or a title
+        if (m := _MARKED.match(blank, at.start())) and (low := m.group(1).lower()) not in family:
+            f[low] += 1
+    for start, stop, local in _lines_with_emails(text, spans):
+        for m in _CAP.finditer(blank, start, stop):
+            low = m.group().lower()
+            if len(low) >= 4 and low in local and low not in given and low not in family:
+                if _RIGHT_FAMILY.match(blank, m.end()):
+                    g[low] += 1
+                elif _LEFT_GIVEN.search(_left(blank, m.start())):
+                    f[low] += 1
+
+
+def _with_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``texts`` (id, text) with ``terms``, the rows of a table (term, ...) too large to send out whose term stands in them."""
+    keyed = texts.withColumn("uid", F.xxhash64("id", "text"))
+    found = _base.spread_join(keyed.select("uid", "text").mapInArrow(_terms_of, "uid bigint, term string").distinct(), terms, ["term"], ["uid"])
+    own = found.groupBy("uid").agg(F.collect_list(F.struct(*terms.columns)).alias("terms"))
+    return keyed.join(own, "uid", "left").select("id", "text", "terms")
 
-    ``texts`` (id, text); counts are over all of them. The address book must fit
-    the driver: its terms are sent to every task, so one of over ``SHIP`` terms is
-    refused. Without any evidence in the corpus the address book's terms disclose jointly.
+
+def disclosure(texts: DataFrame, names: DataFrame, name_col: str, kind_col: str, ship: int = SHIP) -> DataFrame:
+    """The lexicon: ``term``, ``given`` and ``family`` (2 discloses by itself, 1 jointly, 0 not), ``bits``; shapes that disclose nobody have -1.
+
+    ``texts`` (id, text); counts are over all of them. An address book of over ``ship`` terms is joined to
+    the texts instead of sent to every task. Without any evidence in the corpus the address book's terms disclose jointly.
     """
     book = names.select(F.lower(F.trim(F.col(f"`{name_col}`").cast("string"))).alias("term"), F.lower(F.col(f"`{kind_col}`").cast("string")).alias("kind")).where("term <> ''").distinct()
-    if book.count() > SHIP:
-        raise ValueError(f"an address book of over {SHIP} terms cannot be sent to every task")
-    held = book.toArrow().to_pylist()
-    given = frozenset(r["term"] for r in held if r["kind"] == "given")
-    family = frozenset(r["term"] for r in held if r["kind"] == "family")
-    counted = texts.mapInArrow(_count(given, family), "term string, n bigint, given bigint, family bigint")
+    listed = book.groupBy("term").agg(*[F.max(F.when(F.col("kind") == c, 1).otherwise(0)).alias(f"in_{c}") for c in ("given", "family")])
+    if listed.limit(ship + 1).count() <= ship:
+        held = listed.toArrow().to_pylist()
+        given, family = (frozenset(r["term"] for r in held if r[c]) for c in ("in_given", "in_family"))
+        counted = texts.mapInArrow(_count(given, family), "term string, n bigint, given bigint, family bigint")
+        listed = F.broadcast(listed)
+    else:
+        counted = _with_terms(texts, listed).mapInArrow(_count(None, None), "term string, n bigint, given bigint, family bigint")
     total = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("given").alias("g"), F.sum("family").alias("f"))
     total = _base.stage(total, "pii-terms")
-    base = total.agg(F.sum(F.col("g") + F.col("f")).alias("e"), F.sum("n").alias("n")).first()
-    rate = max((base["e"] or 0) / max(base["n"] or 0, 1), 1e-6)
-    listed = book.groupBy("term").agg(F.max(F.when(F.col("kind") == "given", 1).otherwise(0)).alias("in_given"), F.max(F.when(F.col("kind") == "family", 1).otherwise(0)).alias("in_family"))
-    both = total.join(F.broadcast(listed), "term", "left").fillna(0, ["in_given", "in_family"])
+    shape = F.col("term").startswith("\0")
+    sums = {r["shape"]: (r["e"] or 0, r["n"] or 0) for r in total.groupBy(shape.alias("shape")).agg(F.sum(F.col("g") + F.col("f")).alias("e"), F.sum("n").alias("n")).collect()}
+    rate, company = (max(e / max(n, 1), 1e-6) for e, n in (sums.get(x, (0, 0)) for x in (False, True)))
+    both = total.where(~shape).join(listed, "term", "left").fillna(0, ["in_given", "in_family"])
     share = lambda c: F.col(c) / F.col("n")
     bits = F.log2(((F.col("g") + F.col("f") + 0.5 * rate) / (F.col("n") + 0.5)) / rate)
 
@@ -243,8 +299,10 @@ def disclosure(texts: DataFrame, names: DataFrame, name_col: str, kind_col: str)
         by_itself = (share(c) >= ALONE) & (known | learned)
         return F.when(by_itself, 2).when(known | learned, 1).otherwise(0)
 
-    lexicon = both.select("term", level("g", "in_given", "in_family").alias("given"), level("f", "in_family", "in_given").alias("family"), bits.alias("bits"))
-    return lexicon.where("given > 0 or family > 0")
+    words = both.select("term", level("g", "in_given", "in_family").alias("given"), level("f", "in_family", "in_given").alias("family"), bits.alias("bits")).where("given > 0 or family > 0")
+    apart = F.log2(((F.col("g") + 0.5 * company) / (F.col("n") + 0.5)) / company)
+    cleared = total.where(shape & (F.col("n") >= SHAPE_EVIDENCE)).select("term", F.lit(-1).alias("given"), F.lit(-1).alias("family"), apart.alias("bits")).where(F.col("bits") < SHAPE_BITS)
+    return words.unionByName(cleared)
 
 
 def names_in(blank: str, lexicon: dict[str, tuple[int, int]]) -> list[tuple[int, int]]:
@@ -267,7 +325,7 @@ def names_in(blank: str, lexicon: dict[str, tuple[int, int]]) -> list[tuple[int,
         if span is None and g and (h := _HYPHEN.match(blank, b)) and (r := _RIGHT_FAMILY.match(blank, h.end())) and (lexicon.get(r.group(1).lower()) or (0, 0))[1]:
             span = [a, r.end()]
         if span is None and f:
-            before = blank[max(0, a - 40) : a]
+            before = _left(blank, a)
             hy = _HYPHEN.match(blank, b)
             stop = hy.end() if hy else b
             if (r := _RIGHT_GIVEN.match(blank, stop)) and (lexicon.get(r.group(1).split("-")[0].lower()) or (0, 0))[0] and not ((q := _RIGHT_FAMILY.match(blank, r.end(1))) and (lexicon.get(q.group(1).lower()) or (0, 0))[1]):
@@ -291,7 +349,7 @@ def names_in(blank: str, lexicon: dict[str, tuple[int, int]]) -> list[tuple[int,
 
 
 def find(text: str, lexicon: dict[str, tuple[int, int]]) -> list[tuple[str, int, int]]:
-    spans = structured(text)
+    spans = [s for s in structured(text) if _shape(s[0], text[s[1] : s[2]]) not in lexicon]
     blank = _blank(text, spans)
     return sorted(spans + [("name", a, b) for a, b in names_in(blank, lexicon)], key=lambda s: s[1:])
 
@@ -327,7 +385,7 @@ def _terms_of(batches):
     for batch in batches:
         ids, terms = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {w.lower() for w in _CAP.findall(text)}
+            own = {w.lower() for w in _CAP.findall(text)} | {_shape(k, text[a:b]) for k, a, b in structured(text)}
             ids += [key] * len(own)
             terms += own
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string())], ["uid", "term"])
@@ -336,15 +394,12 @@ def _terms_of(batches):
 def _run(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, kind_col: str, redact: bool, ship: int) -> DataFrame:
     texts = _base.unit(df, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     texts = spread(texts)
-    lexicon = _base.stage(disclosure(texts.where("text <> ''"), names, name_col, kind_col), "pii-lexicon")
+    lexicon = _base.stage(disclosure(texts.where("text <> ''"), names, name_col, kind_col, ship).select("term", "given", "family"), "pii-lexicon")
     schema = "id bigint, text string" if redact else "id bigint, pii_type string, start_char bigint, end_char bigint"
-    if lexicon.count() <= ship:
-        held = {r["term"]: (r["given"], r["family"]) for r in lexicon.select("term", "given", "family").toArrow().to_pylist()}
+    if lexicon.limit(ship + 1).count() <= ship:
+        held = {r["term"]: (r["given"], r["family"]) for r in lexicon.toArrow().to_pylist()}
         return texts.mapInArrow(_apply(held, redact), schema)
-    keyed = texts.withColumn("uid", F.xxhash64("id", "text"))
-    own = keyed.select("uid", "text").mapInArrow(_terms_of, "uid bigint, term string").distinct().join(lexicon, "term")
-    own = own.groupBy("uid").agg(F.collect_list(F.struct("term", "given", "family")).alias("terms"))
-    return keyed.join(own, "uid", "left").select("id", "text", "terms").mapInArrow(_apply(None, redact), schema)
+    return _with_terms(texts, lexicon).mapInArrow(_apply(None, redact), schema)
 
 
 def spans(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str = "name", kind_col: str = "name_kind", *, ship: int = SHIP) -> DataFrame:

@@ -214,6 +214,36 @@ def test_names_by_disclosure(spark, ship):
     assert got == {1000: ["Katla"], 1001: ["Brackby"], 1002: ["Tovel van Quillwater-Brackby"], 1003: ["M. Quillwater", "ELWIN ASHENHOLT"], 1004: ["Quillwater, Tovel"], 1005: ["Mark"]}
 
 
+@pytest.mark.parametrize("size", [64, 100, 130, 400, 5000])
+def test_long_tokens_are_found_whole(size):
+    local = "ab.c" * (size // 4)
+    for text in (f"mail {local}@mail.x.test now", f"mail x@{local}.test now", f"write to {' dot '.join(['ab'] * (size // 8))} at mail dot x dot test"):
+        got = pii.structured(text)
+        assert [k for k, _, _ in got] == ["email"] and len(got[0:1]) == 1
+    a, b = pii.structured(f"mail {local}@mail.x.test now")[0][1:]
+    assert (a, b) == (5, 5 + len(local) + 12)
+    given = "M" + "a" * size
+    assert pii.names_in(f"by {given} Quillwater", {given.lower(): (2, 0), "quillwater": (0, 2)}) == [(3, 3 + len(given) + 11)]
+    assert pii._left(f"x {given}-b ", len(given) + 5).startswith(given)
+
+
+def test_an_address_book_too_large_to_send(spark):
+    df, names, text = people(spark)
+    large = names.unionByName(spark.range(250_000).selectExpr("concat('zz', translate(cast(id as string), '0123456789', 'abcdefghij')) name", "'family' name_kind"))
+    key = lambda rows: sorted((r["id"], r["pii_type"], r["start_char"]) for r in rows.collect())
+    assert key(pii.spans(df, "id", "text", large)) == key(pii.spans(df, "id", "text", names))
+
+
+@pytest.mark.parametrize("ship", [pii.SHIP, 0])
+def test_shapes_that_stand_apart_from_persons_are_cleared(spark, ship):
+    """A part number shaped like a phone number, always in plain company, is none; the shape of the phone beside names stays."""
+    rows = [(i, f"The part 212.555.{i:04d} fits the rack and the cable of the older frame in every case that is known so far.") for i in range(60)]
+    rows += [(100 + i, f"Call Tovel Quillwater (mail t.quill{i}@x.test) on +44 20 7946 {i:04d} today.") for i in range(60)]
+    names = spark.createDataFrame([("Tovel", "given"), ("Quillwater", "family")], "name string, name_kind string")
+    got = pii.spans(spark.createDataFrame(rows, "id long, text string"), "id", "text", names, ship=ship).where("pii_type = 'phone'").collect()
+    assert sorted(r["id"] for r in got) == list(range(100, 160))
+
+
 def test_redaction_leaves_the_rest(spark):
     df, names, text = people(spark)
     got = {r["id"]: r["text"] for r in pii.redacted(df, "id", "text", names).collect()}
