@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import repeat
 from operator import ne
 from urllib.parse import urlsplit
 
@@ -73,9 +74,24 @@ def slug_of(url: str | None) -> set[str]:
     return {w.lower() for w in _WORD.findall(path.rsplit("/", 1)[-1])}
 
 
+def _digits(s: str) -> int:
+    return sum(map(s.count, "0123456789"))
+
+
+def _separators(s: str) -> int:
+    """Separators, looked for only where there is a mark of one."""
+    return len(_SEPARATOR.findall(s)) if "|" in s or "/" in s or ">" in s or "·" in s or "•" in s or "›" in s or "»" in s or "::" in s or "   " in s else 0
+
+
+def _controls(s: str) -> int:
+    return len(_CONTROL.findall(s)) if "[" in s or " min" in s or not s.isascii() else 0
+
+
 def _key(line: str) -> int:
     """A line's identity, blanks, case, bullets and numbers aside."""
-    return xxhash.xxh64_intdigest(_DIGITS.sub("0", " ".join(_BULLET.sub("", line, count=1).lower().split()))) >> 1
+    m = _BULLET.match(line)
+    plain = " ".join((line[m.end() :] if m else line).lower().split())
+    return xxhash.xxh64_intdigest(_DIGITS.sub("0", plain) if _digits(plain) else plain) >> 1
 
 
 def kinds(lines: list[str]) -> list[str]:
@@ -94,7 +110,7 @@ def kinds(lines: list[str]) -> list[str]:
             out.append("table")
         elif _BULLET.match(line):
             out.append("list")
-        elif not _END.search(s[-12:]) and _SEPARATOR.search(line):
+        elif not _END.search(s[-12:]) and _separators(line):
             out.append("separated")
         else:
             out.append("text")
@@ -121,7 +137,7 @@ def _title(lines: list[str], slug: set[str]) -> str:
     best, most = "", 0.0
     if slug:
         for line in lines:
-            w = {x.lower() for x in _WORD.findall(line)}
+            w = set(_WORD.findall(line.lower()))
             s = len(slug & w) / len(slug | w)
             if s > most:
                 best, most = " ".join(sorted(w)), s
@@ -198,16 +214,16 @@ def features(pages: list[tuple[list[str], list[str], set[str]]], counts: np.ndar
         for line, k in zip(lines, kind, strict=True):
             s = line.strip()
             ws = _WORD.findall(s)
-            low = [w.lower() for w in ws]
-            o = [get_odds(w, 0.0) for w in low]
+            low = " ".join(ws).lower().split(" ") if ws else []
+            o = list(map(get_odds, low, repeat(0.0)))
             n = len(ws) or 1
             distinct = set(low) if slug else slug
             shared = len(slug & distinct)
             own.append(
                 (
-                    len(s), len(ws), bool(_END.search(s[-12:])), len(_SEPARATOR.findall(line)), len(_CONTROL.findall(s)), s.count("`"),
-                    sum(map(ne, ws, low)) / n, s.isupper(), sum(map(len, _DIGITS.findall(s))) / len(s),
-                    shared / n_slug, shared / (len(slug | distinct) or 1), sum(o) / n, max(o, default=0.0), get_odds("^" + low[0], 0.0) if low else 0.0, get_odds("#" + low[0], 0.0) if low else 0.0, get_odds("~" + low[0], 0.0) if low else 0.0,
+                    len(s), len(ws), bool(_END.search(s[-12:])), _separators(line), _controls(s), s.count("`"),
+                    sum(map(ne, ws, low)) / n, s.isupper(), _digits(s) / len(s),
+                    shared / n_slug, shared / ((len(slug) + len(distinct) - shared) or 1), sum(o) / n, max(o, default=0.0), get_odds("^" + low[0], 0.0) if low else 0.0, get_odds("#" + low[0], 0.0) if low else 0.0, get_odds("~" + low[0], 0.0) if low else 0.0,
                 )
             )
             code.append(_KIND_NO[k])
