@@ -41,7 +41,9 @@ SAMPLE, CENTROIDS = 40_000, 4000
 #: The same for each cell that is split, vectors of one that a task routes, and levels below the first: 3.8e12 vectors fit the tree.
 CELL_SAMPLE, CELL_CENTROIDS, CHUNK, LEVELS = 16_000, 400, 50_000, 2
 #: Cells for a shard's worth of vectors, as a vector may stand in several.
-SHARE = 1.5
+SHARE = 1.8
+#: Most large cells whose numbers are sent to the vectors; more are joined.
+SEND = 100_000
 
 
 def prune(X: np.ndarray, at: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -253,13 +255,13 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, dim: int
         if big.isEmpty():
             done.append(routed)
             break
-        done.append(_base.spread_join(routed, big.select("cell"), ["cell"], ["rep"], "left_anti"))
+        done.append(_of_cells(routed, big.select("cell"), "left_anti"))
         if level < LEVELS:
-            routed = _base.stage(_split(_base.spread_join(routed, big, ["cell"], ["rep"]), dim, shard, closure / (level + 2), level), "knn-routed")
+            routed = _base.stage(_split(_of_cells(routed, big), dim, shard, closure / (level + 2), level), "knn-routed")
     placed = reduce(DataFrame.unionByName, done)
     found = placed.groupBy("cell").applyInArrow(_shard_search(k, dim, degree, width, alpha), _FOUND)
     if not big.isEmpty():
-        found = found.unionByName(_by_hash(_base.spread_join(routed, big, ["cell"], ["rep"]), k, dim, shard, degree, width, alpha))
+        found = found.unionByName(_by_hash(_of_cells(routed, big), k, dim, shard, degree, width, alpha))
     # merge the shards' lists: the same neighbour may come from several
     best = found.groupBy("rep", "near").agg(F.max("sim").alias("sim"))
     top = best.withColumn("p", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("sim"), "near"))).where(F.col("p") <= k + 1).drop("p")
@@ -274,6 +276,13 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, dim: int
     return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("o.other").alias("other"), F.col("o.sim").alias("sim"), "rank")
 
 
+def _of_cells(rows: DataFrame, cells: DataFrame, how: str = "inner") -> DataFrame:
+    """Vectors joined to some cells: a bounded number of these is sent to the vectors, so that no vector moves."""
+    if cells.limit(SEND + 1).count() <= SEND:
+        return rows.join(F.broadcast(cells), "cell", how)
+    return _base.spread_join(rows, cells, ["cell"], ["rep"], how)
+
+
 _FOUND = "rep bigint, near bigint, sim double"
 
 
@@ -329,8 +338,8 @@ def _split(rows: DataFrame, dim: int, shard: int, closure: float, level: int) ->
     chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
     left = rows.select("cell", F.pmod(F.xxhash64("rep", F.lit(level)), chunks).cast("int").alias("chunk"), "rep", "vec")
     right = below.select("cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "sub", "vec")
-    out = left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(route, "cell bigint, rep bigint, vec array<float>")
-    return out.dropDuplicates(["cell", "rep"])  # the cell above may have had it by several ways
+    # cells are named by their parent, so no vector comes to one twice
+    return left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(route, "cell bigint, rep bigint, vec array<float>")
 
 
 def _search(X: np.ndarray, raw: np.ndarray, rep: np.ndarray, G: np.ndarray, entry: np.ndarray, asks: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, width: int) -> pa.Table:
