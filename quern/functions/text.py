@@ -168,3 +168,13 @@ def pipe_row(*cells: Column) -> Column:
     """A row of a pipe table: cells trimmed, line breaks as blanks, pipes escaped, nulls empty."""
     clean = [F.replace(F.replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")) for c in cells]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *clean), F.lit(" |"))
+
+
+def source_label(number: Column, file: Column, page: Column, section: Column, similarity: Column | None = None) -> Column:
+    """``[Source i — file, page p]``: the page if there is one, else the section; what is missing is left out."""
+    place = F.when(page.isNotNull(), F.concat(F.lit("page "), page.cast("string"))).when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit("section: '"), section, F.lit("'")))
+    parts = [F.nullif(file, F.lit("")), place]
+    if similarity is not None:
+        parts.append(F.when(similarity.isNotNull(), F.format_string("similarity: %.4f", similarity)))
+    joined = F.concat_ws(", ", *parts)
+    return F.concat(F.lit("[Source "), number.cast("string"), F.when(joined == "", "").otherwise(F.concat(F.lit(" — "), joined)), F.lit("]"))

@@ -281,10 +281,27 @@ def word_windows(df: DataFrame, key: str, text: str, *, size: int = SIZE, overla
     return out.withColumn("words", F.size(F.split("window", " ")))
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a text, trimmed, blank ones left out: cut behind . ! or ? and white space."""
+    marked = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"([.!?])\s+", "$1\u0001")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The paragraphs (key, block_no from 0, block) of every text: what blank lines part, stripped. Null texts have none."""
+    strip = lambda x: F.btrim(x, F.lit(" \n\t\r"))
+    parts = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda x: strip(x) != "")
+    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.transform(parts, strip)).alias("block_no", "block"))
+
+
+def continues(by: list[str], page: str, order: list[str], head: str) -> Column:
+    """Whether a page's first table goes on from the page before: the next page, with the same ``head``."""
+    w = Window.partitionBy(*by).orderBy(page, *order)
+    return F.coalesce((F.col(page) == F.lag(page).over(w) + 1) & (F.col(head) == F.lag(head).over(w)), F.lit(False))
+
+
 def sentence_windows(text: Column, target: int = CHILD, least: int = CHILD_LEAST) -> Column:
     """Whole sentences filled to ``target`` words a window; a last window under ``least`` words only if it is the only one."""
-    marked = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"([.!?])\s+", "$1\u0001")
-    sentences = F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
     count = lambda s: F.size(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " "))
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
@@ -300,7 +317,7 @@ def sentence_windows(text: Column, target: int = CHILD, least: int = CHILD_LEAST
     def finish(acc: Column) -> Column:
         return F.when((acc["n"] >= least) | ((F.size(acc["done"]) == 0) & (acc["n"] > 0)), F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
 
-    return F.aggregate(sentences, empty, step, finish)
+    return F.aggregate(sentences(text), empty, step, finish)
 
 
 def parent_child(chunks: DataFrame, by: list[str], text: str = "content") -> DataFrame:

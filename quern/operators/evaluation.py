@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
+
 
 def retrieval_metrics(retrieved: DataFrame, expected: DataFrame, item: str, key: str, *, k: int) -> DataFrame:
     """Hit rate, MRR, nDCG, precision and recall of each item, rounded to 6.
@@ -54,9 +58,40 @@ def verdict(verdicts: DataFrame, by: list[str], grade: str, *, ratio: float = 0.
     return counted.withColumn("overall", F.when(F.col("correct") / F.col("graded") >= ratio, "correct").when(F.col("kept") >= 1, "ambiguous").otherwise("incorrect"))
 
 
+def weakest(*scores: str) -> tuple[Column, Column]:
+    """The least of several scores, and whether it is low: under a half. Null where any score is."""
+    least = F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in scores]), F.least(*scores))
+    return least, least < 0.5
+
+
+def evaluation_run(items: DataFrame, retrieved: DataFrame, results: DataFrame, *, item: str = "item_id", key: str = "document_id", k: int = 10) -> DataFrame:
+    """A run over evaluation items in one plan: every item once, with its retrieval metrics, its result and its error.
+
+    ``items`` (item, expected_document_ids), ``retrieved`` (item, key, rank), ``results`` (item, answer, error, latency). Metrics are null for
+    items that expect no document or whose run failed; an item without a result counts as failed.
+    """
+    want = items.select(item, F.explode("expected_document_ids").alias(key))
+    scored = retrieval_metrics(retrieved, want, item, key, k=k)
+    run = items.select(item).join(results, item, "left").withColumn("error", F.when(F.col("answer").isNull() & F.col("error").isNull(), "no answer").otherwise(F.col("error")))
+    joined = run.join(scored, item, "left")
+    names = ["hit_rate", "mrr", "ndcg", "precision", "recall"]
+    return joined.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in names})
+
+
+def report_rows(summary: DataFrame, name: Column) -> DataFrame:
+    """``slug`` and ``line`` of each row of a summary: a pipe-table line, floats to 3 decimals, nulls as dashes."""
+    cell = lambda c, t: F.coalesce(F.format_string("%.3f", F.col(c)) if t in ("double", "float") else F.col(c).cast("string"), F.lit("—"))
+    return summary.select(T.slug(name).alias("slug"), F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c, t) for c, t in summary.dtypes]), F.lit(" |")).alias("line"))
+
+
+def write_report(summary: DataFrame, path: str) -> None:
+    """A run's rows as JSON lines, all of them, at ``path``/json; and as a pipe table's lines at ``path``/markdown."""
+    summary.write.mode("overwrite").json(f"{path}/json")
+    report_rows(summary, F.lit("")).select("line").write.mode("overwrite").text(f"{path}/markdown")
+
+
 def report_markdown(summary: DataFrame, name: str) -> str:
-    """A run's averages as a pipe table; nulls as dashes. For the small table of :func:`mean_metrics`."""
-    rows = summary.orderBy(*summary.columns[:1]).limit(1000).collect()
+    """A run's averages as a pipe table; nulls as dashes. For the table of :func:`mean_metrics`, one row a run; all rows are shown."""
     show = lambda v: "—" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = [f"# {name}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in summary.orderBy(*summary.columns[:1]).toLocalIterator()]) + "\n"

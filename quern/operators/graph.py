@@ -5,7 +5,8 @@ from __future__ import annotations
 import ast
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Phrases that ask for an edge kind and a direction.
@@ -104,3 +105,22 @@ def hop(edges: DataFrame, starts: DataFrame, start: str, kind: str, direction: s
     s = starts.select(F.col(start).alias("start")).distinct()
     step = edges.where(F.col("kind") == kind).select(F.col(near).alias("start"), F.col(far).alias("node")).join(s, "start")
     return step.unionByName(s.select("start", F.col("start").alias("node"))).distinct()
+
+
+def chunks_of(nodes_: DataFrame, chunks: DataFrame, document: list[str]) -> DataFrame:
+    """All chunks of the documents that the nodes stand in, each once."""
+    return chunks.join(nodes_.select(*document).distinct(), document, "left_semi")
+
+
+def save(edges: DataFrame, path: str) -> None:
+    """Edges (owner, repository, src, dst, kind) as Parquet by owner and repository: one repository is replaced without touching the others."""
+    edges.repartition("owner", "repository").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("owner", "repository").parquet(path)
+
+
+def load(spark: SparkSession, path: str, owner: str, repository: str) -> DataFrame | None:
+    """The stored edges of one repository, or None where there are none or they cannot be read, so that the caller falls back."""
+    try:
+        found = spark.read.parquet(path).where((F.col("owner") == owner) & (F.col("repository") == repository))
+        return None if found.isEmpty() else found
+    except AnalysisException:
+        return None

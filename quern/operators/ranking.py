@@ -18,6 +18,8 @@ from quern.session import spread
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Most query terms that are broadcast.
 TERMS = 100_000
+#: Most queries, about, that are sent out at a time.
+BLOCK = 2000
 #: Rank constant of the fusion.
 RRF_K = 60
 
@@ -73,13 +75,27 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     return top(scored, [*scope, query_key], "score", [key], k)
 
 
-def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, *, scope: list[str] | None = None, only: DataFrame | None = None, k: int = 40, exclude_self: bool = False, block: int = 2000) -> DataFrame:
+def in_blocks(rows: DataFrame, queries: DataFrame, query_key: str, scope: list[str], carried: list[str], block: int = BLOCK) -> DataFrame:
+    """``rows`` with each query of their scope: (columns of rows, query_key, carried).
+
+    The queries are a stated set. They go out in blocks of about ``block`` rows, numbered by a hash, a scope's queries of a block in one row
+    each, so that what is broadcast at a time is bounded, and the rows, of which one scope may hold a third, are not shuffled.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    numbered = queries.select(*scope, query_key, *carried).withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
+    parts = []
+    for b in range(blocks):
+        asked = F.broadcast(numbered.where(F.col("_block") == b).groupBy(*scope).agg(F.collect_list(F.struct(query_key, *carried)).alias("_asked")))
+        met = rows.join(asked, scope) if scope else rows.crossJoin(asked)
+        parts.append(met.select(*rows.columns, F.inline("_asked")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, *, scope: list[str] | None = None, only: DataFrame | None = None, k: int = 40, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """Exact cosine search: (query, document, similarity rounded to 6, rank), the ``k`` best of each query.
 
-    The queries are a stated set. With ``scope`` they meet only the documents of
-    their scope, by an equi-join. Without, they are held against all documents in blocks of at
-    most ``block`` rows, numbered by a hash, whose vectors are grouped into one row
-    each; the documents are not shuffled and their partitions keep only their best. With ``only`` (query, document), each pair once,
+    The queries are a stated set, held against all documents, with ``scope`` against those of
+    their scope, in blocks: see :func:`in_blocks`. The documents are not shuffled and their partitions keep only their best. With ``only`` (query, document), each pair once,
     a query meets just these documents. Null and zero vectors take no part.
     """
     scope = scope or []
@@ -87,18 +103,24 @@ def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key:
     q = queries.select(*scope, query_key, F.col(query_vector).alias("qv")).where(F.col("qv").isNotNull()).withColumn("qn", V.norm(F.col("qv"))).where("qn > 0")
     if only is not None:
         pairs = d.join(only.select(query_key, key), key).join(q, [*scope, query_key])
-    elif scope:
-        pairs = d.join(q, scope)
     else:
-        blocks = max(1, -(-q.count() // block))
-        gathered = q.groupBy(F.pmod(F.xxhash64(query_key), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(query_key, "qv", "qn")).alias("asked"))
-        pairs = d.crossJoin(gathered).select(key, "dv", "dn", F.inline("asked"))
+        pairs = in_blocks(d, q, query_key, scope, ["qv", "qn"], block)
     if exclude_self:
         pairs = pairs.where(F.col(key) != F.col(query_key))
     scored = pairs.select(*scope, query_key, key, F.round(V.cosine(F.col("dv"), F.col("qv"), F.col("dn"), F.col("qn")), 6).alias("similarity"))
     return top(scored, [*scope, query_key], "similarity", [key], k)
 
 
+def group_similarity(exemplars: DataFrame, label: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, *, own: str | None = None, block: int = BLOCK) -> DataFrame:
+    """The greatest similarity of each query to the exemplars of each label: (query, label, score rounded to 6). ``own`` names a key that query and exemplar must differ in."""
+    e = spread(exemplars.select(label, *([own] if own else []), F.col(vector).alias("dv"))).where(F.col("dv").isNotNull()).withColumn("dn", V.norm(F.col("dv"))).where("dn > 0")
+    q = queries.select(query_key, F.col(query_vector).alias("qv")).where(F.col("qv").isNotNull()).withColumn("qn", V.norm(F.col("qv"))).where("qn > 0")
+    pairs = in_blocks(e, q, query_key, [], ["qv", "qn"], block)
+    if own:
+        pairs = pairs.where(F.col(own) != F.col(query_key))
+    return pairs.groupBy(query_key, label).agg(F.max(F.round(V.cosine(F.col("dv"), F.col("qv"), F.col("dn"), F.col("qn")), 6)).alias("score"))
+
+
 def fuse(lists: list[DataFrame], by: list[str], key: list[str], *, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (by, key, rank): ``rrf`` rounded to 9, ``first_list`` and ``first_rank``, and ``position``.
 
@@ -132,10 +154,14 @@ def idf_overlap(docs: DataFrame, key: str, text: str, queries: DataFrame, query_
 
     idf = ln((n + 1) / (df + 1)) + 1 over the documents' distinct search tokens.
     """
-    tokens = docs.select(key, F.explode(T.search_tokens(F.col(text))).alias("term"))
+    asked = queries.select(query_key, F.explode(T.search_tokens(F.col(query_text))).alias("term"))
+    terms = asked.select("term").distinct()
+    if terms.limit(TERMS + 1).count() <= TERMS:
+        terms = F.broadcast(terms)
+    # only asked terms have a weight: the others of a document are dropped where it stands
+    tokens = spread(docs.select(key, text)).select(key, F.explode(T.search_tokens(F.col(text))).alias("term")).join(terms, "term", "left_semi")
     df = tokens.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
-    asked = queries.select(query_key, F.explode(T.search_tokens(F.col(query_text))).alias("term"))
     weight = asked.join(df, "term", "left").crossJoin(F.broadcast(n)).withColumn("idf", F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
     total = weight.groupBy(query_key).agg(F.sum("idf").alias("total"))
     hit = tokens.join(weight.select(query_key, "term", "idf"), "term").groupBy(query_key, key).agg(F.sum("idf").alias("shared"))
@@ -182,7 +208,10 @@ def parents_of(children: DataFrame, parents: DataFrame, by: list[str], doc: list
 def pack_budget(df: DataFrame, by: list[str], order: list[str], tokens: str, budget: int) -> DataFrame:
     """The rows of each group, in order, until the first that would overflow the budget; the first row is always kept."""
     w = Window.partitionBy(*by).orderBy(*order)
-    run = df.withColumn("used", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
+    # more rows of a token or more than the budget has cannot fit: partitions drop them before the shuffle
+    counted = F.coalesce(F.col(tokens), F.lit(0)) > 0
+    near = df.where(counted).withColumn("_near", F.row_number().over(w)).where(F.col("_near") <= budget + 1).drop("_near").unionByName(df.where(~counted))
+    run = near.withColumn("used", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
     return run.where((F.col("place") == 1) | (F.col("used") <= budget))
 
 

@@ -54,6 +54,26 @@ def margin(scores: DataFrame, by: list[str], label: str, score: str, least: floa
     return scores.withColumn("_best", best).where((F.col(score) >= least) & (F.col(score) >= share * F.col("_best"))).drop("_best")
 
 
+def decide(queries: DataFrame, query_key: str, text: str, route_scores: DataFrame, base_scores: DataFrame) -> DataFrame:
+    """Of each query: ``routes`` (by rule, or similar enough, and always general), ``bases`` (by rule, or within the margin of the best), both sorted, and ``method``.
+
+    ``route_scores`` and ``base_scores`` (query, label, score). The method says what spoke besides the default: rule, semantic, both or neither.
+    """
+    asked = queries.select(query_key, labels(F.col(text), ROUTES).alias("rule_routes"), labels(F.col(text), BASES).alias("rule_bases"))
+    gather = lambda df, name: df.groupBy(query_key).agg(F.collect_set("label").alias(name))
+    routes = gather(route_scores.where(F.col("score") >= ROUTE_LEAST), "near_routes")
+    bases = gather(margin(base_scores, [query_key], "label", "score"), "near_bases")
+    none = F.array().cast("array<string>")
+    full = asked.join(routes, query_key, "left").join(bases, query_key, "left").withColumns({c: F.coalesce(c, none) for c in ("near_routes", "near_bases")})
+    ruled, near = (F.size(f"{x}_routes") + F.size(f"{x}_bases") > 0 for x in ("rule", "near"))
+    return full.select(
+        query_key,
+        F.array_sort(F.array_union(F.array_union("rule_routes", "near_routes"), F.array(F.lit("general")))).alias("routes"),
+        F.array_sort(F.array_union("rule_bases", "near_bases")).alias("bases"),
+        F.when(ruled & near, "both").when(ruled, "rule").when(near, "semantic").otherwise("neither").alias("method"),
+    )
+
+
 def intent(scores: DataFrame, by: list[str], label: str, score: str, ruled: str) -> DataFrame:
     """One intent a query: by score, with a bonus where a rule matches; near ties go to a matched one, then by priority.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
+from quern.operators import ranking
 
 #: Entries of a cache, and the similarities that an entry must reach to answer.
 CACHE_SIZE, SIMILARITY, OVERLAP = 128, 0.6, 0.6
@@ -18,12 +19,13 @@ def cache_lookup(entries: DataFrame, asked: DataFrame, scope: list[str], *, simi
 
     ``entries`` (scope, entry_id, seq, vector, members), ``asked`` (scope, ask_id, seq,
     vector, members). Scopes match null-safely. Only entries before the question,
-    with both similarities reached; the most similar, then the earliest. Answers are never looked
-    up across scopes, so the join is on the scope's key.
+    with both similarities reached; the most similar, then the earliest. The questions are a stated set and go out in blocks,
+    so a tenant with a third of all entries costs no shuffle of them.
     """
-    a = asked.select(*[F.col(c).alias(f"q_{c}") for c in scope], "ask_id", F.col("seq").alias("ask_seq"), F.col("vector").alias("qv"), F.col("members").alias("qm"))
-    key = lambda prefix: F.to_json(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in scope]))
-    pairs = entries.withColumn("scope_key", key("")).join(a.withColumn("scope_key", key("q_")), "scope_key").where("seq < ask_seq")
+    key = F.to_json(F.struct(*scope))
+    a = asked.withColumn("scope_key", key).select("scope_key", "ask_id", F.col("seq").alias("ask_seq"), F.col("vector").alias("qv"), F.col("members").alias("qm"))
+    e = entries.withColumn("scope_key", key).select("scope_key", "entry_id", "seq", "vector", "members")
+    pairs = ranking.in_blocks(e, a, "ask_id", ["scope_key"], ["ask_seq", "qv", "qm"]).where("seq < ask_seq")
     scored = pairs.select("ask_id", "entry_id", "seq", F.round(V.cosine(F.col("vector"), F.col("qv")), 6).alias("similarity"), F.round(V.overlap(F.col("members"), F.col("qm")), 6).alias("overlap"))
     fit = scored.where((F.col("similarity") >= similarity) & (F.col("overlap") >= overlap))
     w = Window.partitionBy("ask_id").orderBy(F.desc("similarity"), "seq", "entry_id")

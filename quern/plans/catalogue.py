@@ -5,6 +5,7 @@ Every query runs over its whole tables. Floats are rounded in both languages.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators import chunking, evaluation, filters, graph, maintenance, ranking, replies, routing, state
+from quern.operators import chunking, evaluation, filters, graph, listing, maintenance, postings, ranking, replies, routing, state
 from quern.plans import pipelines
-from quern.session import spread, table
+from quern.session import shared_folder, spread, table
 from quern.sources import files, html, media
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,9 +148,9 @@ def metadata_hints(spark, sf):
     return m.select("chunk_id", *[F.col("m")[c].alias(c) for c in ("file_name", "file_dir", "language")])
 
 
-@query("SELECT r_regionkey, '| ' || trim(r_name) || ' | ' || CAST(r_regionkey AS VARCHAR) || ' |' AS line FROM region")
+@query("SELECT n_regionkey, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(trim(n_name), '|', '\\|') || ' | ' || CAST(n_nationkey AS VARCHAR) || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
 def md_table(spark, sf):
-    return table(spark, sf, "region").select("r_regionkey", T.pipe_row(F.col("r_name"), F.col("r_regionkey")).alias("line"))
+    return listing.markdown_tables(table(spark, sf, "nation"), ["n_regionkey"], ["n_nationkey"], {"name": F.col("n_name"), "key": F.col("n_nationkey")})
 
 
 @query(
@@ -165,9 +166,7 @@ def combined_readings(spark, sf):
     FROM (SELECT chunk_id, chunk_index, concat_ws(', ', nullif(file_name, ''), CASE WHEN page_number IS NOT NULL THEN 'page ' || CAST(page_number AS VARCHAR) WHEN coalesce(section, '') <> '' THEN 'section: ''' || section || '''' END) AS parts FROM chunks)"""
 )
 def source_labels(spark, sf):
-    place = F.when(F.col("page_number").isNotNull(), F.concat(F.lit("page "), F.col("page_number").cast("string"))).when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit("section: '"), "section", F.lit("'")))
-    parts = F.concat_ws(", ", F.nullif("file_name", F.lit("")), place)
-    return table(spark, sf, "chunks").select("chunk_id", F.concat(F.lit("[Source "), F.col("chunk_index").cast("string"), F.when(parts == "", "").otherwise(F.concat(F.lit(" — "), parts)), F.lit("]")).alias("label"))
+    return table(spark, sf, "chunks").select("chunk_id", T.source_label(F.col("chunk_index"), F.col("file_name"), F.col("page_number"), F.col("section")).alias("label"))
 
 
 # ---- filters and tenants
@@ -210,6 +209,19 @@ def _bm25_sql(docs: str, key: str, text: str, asked: str, query_key: str, k: int
     SELECT {s} {query_key}, k AS {key}, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY {s} {query_key} ORDER BY score DESC, k) AS rank FROM sc) WHERE rank <= {k}"""
 
 
+_INDEXED = {"documents": ("doc_id", "text", "arrived_at", ["lang"]), "chunks": ("chunk_id", "content", "ingested_at", ["owner", "kb"])}
+
+
+def _index(spark: SparkSession, sf: str, name: str, scope: list[str] | None = None, where: str = "true") -> postings.Index:
+    """The lexical index of a table: kept in the shared folder for as long as the table stays as it is, without one built for this query."""
+    key, text, written, columns = _INDEXED[name]
+    docs, folder = table(spark, sf, name), shared_folder(spark)
+    if folder is None:
+        return postings.build(docs.where(where), key, text, scope=scope)
+    place = hashlib.sha256(f"{sf}|{name}".encode()).hexdigest()[:16]
+    return postings.kept(docs, key, text, f"{folder}/quern-index/{place}", postings.version_of(docs, [key, written]), columns, scope=scope, where=where)
+
+
 _ONE = "slow compact registry of the snapshot"
 
 
@@ -219,23 +231,23 @@ def _one(spark: SparkSession) -> DataFrame:
 
 @query(_bm25_sql("documents", "doc_id", "text", f"(SELECT 1 AS query_id, '{_ONE}' AS asked)", "query_id", 10))
 def bm25_topk(spark, sf):
-    return ranking.bm25(table(spark, sf, "documents"), "doc_id", "text", _one(spark), "query_id", "asked", k=10)
+    return postings.search(_index(spark, sf, "documents"), _one(spark), "query_id", "asked", k=10)
 
 
 @query(_bm25_sql("(SELECT * FROM documents WHERE lang = 'en')", "doc_id", "text", f"(SELECT 1 AS query_id, '{_ONE}' AS asked)", "query_id", 10))
 def bm25_filtered(spark, sf):
-    return ranking.bm25(table(spark, sf, "documents").where("lang = 'en'"), "doc_id", "text", _one(spark), "query_id", "asked", k=10)
+    return postings.search(_index(spark, sf, "documents", where="lang = 'en'"), _one(spark), "query_id", "asked", k=10)
 
 
 @query(_bm25_sql("chunks", "chunk_id", "content", f"(SELECT 1 AS query_id, '{_ONE}' AS asked)", "query_id", 3, "owner, kb,"))
 def bm25_scoped(spark, sf):
-    return ranking.bm25(table(spark, sf, "chunks"), "chunk_id", "content", _one(spark), "query_id", "asked", scope=["owner", "kb"], k=3)
+    return postings.search(_index(spark, sf, "chunks", ["owner", "kb"]), _one(spark), "query_id", "asked", k=3)
 
 
 @query(_bm25_sql("chunks", "chunk_id", "content", "(SELECT item_id, question AS asked FROM eval_items)", "item_id", 10))
 def bm25_batch(spark, sf):
     asked = table(spark, sf, "eval_items").select("item_id", F.col("question").alias("asked"))
-    return ranking.bm25(table(spark, sf, "chunks"), "chunk_id", "content", asked, "item_id", "asked", k=10)
+    return postings.search(_index(spark, sf, "chunks"), asked, "item_id", "asked", k=10)
 
 
 @query(
@@ -287,10 +299,7 @@ _GROUPS = f"SELECT q.vec_id AS query_id, e.label, max({_COS.format('e.embedding'
 
 def _group_scores(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    gathered = q.agg(F.collect_list(F.struct("query_id", "qv")).alias("asked"))  # a twentieth of the label exemplars' table: the stated query set
-    pairs = e.crossJoin(gathered).select("vec_id", "label", "embedding", F.inline("asked")).where("vec_id <> query_id")
-    return pairs.groupBy("query_id", "label").agg(F.max(F.round(V.cosine(F.col("embedding"), F.col("qv")), 6)).alias("score"))
+    return ranking.group_similarity(e, "label", "embedding", e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "embedding", own="vec_id")
 
 
 @query(_GROUPS)
@@ -323,18 +332,20 @@ def _hybrid_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     asked = table(spark, sf, "cache_entries").where("entry_id % 20 = 0").select("owner", "entry_id", "question", "question_embedding")
     chunks = table(spark, sf, "chunks")
     dense = ranking.dense(chunks, "chunk_id", "embedding", asked, "entry_id", "question_embedding", scope=["owner"], k=40)
-    lexical = ranking.bm25(chunks, "chunk_id", "content", asked, "entry_id", "question", scope=["owner"], k=40)
+    lexical = postings.search(_index(spark, sf, "chunks", ["owner"]), asked, "entry_id", "question", k=40)
     return dense, lexical
 
 
 _DENSE40 = f"SELECT entry_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY owner, entry_id ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT c.owner, entry_id, chunk_id, {_COS.format('embedding', 'question_embedding')} AS similarity FROM chunks c JOIN cache_entries e ON c.owner = e.owner WHERE entry_id % 20 = 0 AND {_REAL.format('embedding')} AND {_REAL.format('question_embedding')})) WHERE rank <= 40"
 _BM40 = _bm25_sql("chunks", "chunk_id", "content", "(SELECT owner, entry_id, question AS asked FROM cache_entries WHERE entry_id % 20 = 0)", "entry_id", 40, "owner,").replace("SELECT entry_id, term, count(*) AS qtf FROM (SELECT entry_id, unnest", "SELECT owner, entry_id, term, count(*) AS qtf FROM (SELECT owner, entry_id, unnest").replace("JOIN q USING (term)", "JOIN q USING (owner, term)")
-_RRF = f"""WITH l AS (SELECT 0 AS list, entry_id, chunk_id, rank FROM ({_DENSE40}) UNION ALL SELECT 1, entry_id, chunk_id, rank FROM ({_BM40})),
+def _rrf_sql(lists: list[str]) -> str:
+    every = " UNION ALL ".join(f"SELECT {i} AS list, entry_id, chunk_id, rank FROM ({x})" for i, x in enumerate(lists))
+    return f"""WITH l AS ({every}),
     f AS (SELECT entry_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, min(list) AS first_list, arg_min(rank, list) AS first_rank FROM l GROUP BY ALL)
     SELECT entry_id, chunk_id, CAST(rrf AS DOUBLE) AS rrf, position FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rrf DESC, first_list, first_rank, chunk_id) AS position FROM f) WHERE position <= 20"""
 
 
-@query(_RRF)
+@query(_rrf_sql([_DENSE40, _BM40]))
 def hybrid_search(spark, sf):
     fused = ranking.fuse(list(_hybrid_lists(spark, sf)), ["entry_id"], ["chunk_id"])
     return fused.where("position <= 20").select("entry_id", "chunk_id", "rrf", "position")
@@ -435,7 +446,7 @@ def multi_base_retrieve(spark, sf):
 
 @query()
 def adaptive_retrieve(spark, sf):
-    return pipelines.adaptive(table(spark, sf, "chunks"), _asked(spark, sf))
+    return pipelines.adaptive(table(spark, sf, "chunks"), _asked(spark, sf), index=_index(spark, sf, "chunks", ["owner"]))
 
 
 @query(
@@ -450,7 +461,18 @@ def corrective_retrieve(spark, sf):
     return pipelines.corrected(hits, grades, lexical, least=4)
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT owner, entry_id, question FROM cache_entries WHERE entry_id % 20 = 0 AND question IS NOT NULL),
+    h AS (SELECT d.entry_id, d.rank, c.*, len({_WS.format('c.content')}) AS n FROM (SELECT entry_id, chunk_id, rank FROM ({_DENSE40}) WHERE rank <= 5) d JOIN chunks c USING (chunk_id)),
+    k AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY entry_id ORDER BY rank, chunk_id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY entry_id ORDER BY rank, chunk_id) AS place FROM h) WHERE place = 1 OR used <= 3000),
+    l AS (SELECT entry_id, rank, '[Source ' || CAST(rank AS VARCHAR) || CASE WHEN parts = '' THEN '' ELSE ' — ' || parts END || ']' || chr(10) || content AS b FROM (SELECT *, concat_ws(', ', nullif(file_name, ''), CASE WHEN page_number IS NOT NULL THEN 'page ' || CAST(page_number AS VARCHAR) WHEN coalesce(section, '') <> '' THEN 'section: ''' || section || '''' END) AS parts FROM k)),
+    x AS (SELECT entry_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM l GROUP BY entry_id),
+    p AS (SELECT q.entry_id, t.entry_id AS turn, 'Q: ' || coalesce(t.question, '') || chr(10) || 'A: ' || coalesce(t.answer, '') AS b FROM q JOIN (SELECT owner, entry_id, question, answer, row_number() OVER (PARTITION BY owner ORDER BY entry_id DESC) AS back FROM cache_entries) t ON t.owner = q.owner AND back <= 8),
+    pt AS (SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY turn) AS turn, b, len({_WS.format('b')}) AS n FROM p),
+    pk AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY entry_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY entry_id ORDER BY turn DESC) AS place FROM pt) WHERE place = 1 OR used <= 800),
+    tu AS (SELECT entry_id, string_agg(b, chr(10) || chr(10) ORDER BY turn) AS turns FROM pk GROUP BY entry_id)
+    SELECT q.entry_id AS query_id, concat_ws(chr(10) || chr(10), 'Conversation so far:' || chr(10) || turns, 'Context:' || chr(10) || coalesce(context, '(none)'), 'Question: ' || question) AS prompt FROM q LEFT JOIN x USING (entry_id) LEFT JOIN tu USING (entry_id)"""
+)
 def packed_prompts(spark, sf):
     chunks = table(spark, sf, "chunks")
     dense, _ = _hybrid_lists(spark, sf)
@@ -469,10 +491,8 @@ def ingest_documents(spark, sf):
 
 @query("SELECT chunk_id, coalesce(page_number = prev + 1 AND section = psec, false) AS continues FROM (SELECT chunk_id, page_number, section, lag(page_number) OVER w AS prev, lag(section) OVER w AS psec FROM chunks WHERE kb = 'pdf' AND page_number IS NOT NULL WINDOW w AS (PARTITION BY owner, document_id ORDER BY page_number, chunk_index, chunk_id))")
 def page_continuations(spark, sf):
-    w = Window.partitionBy("owner", "document_id").orderBy("page_number", "chunk_index", "chunk_id")
     c = table(spark, sf, "chunks").where("kb = 'pdf' and page_number is not null")
-    same = (F.col("page_number") == F.lag("page_number").over(w) + 1) & (F.col("section") == F.lag("section").over(w))
-    return c.select("chunk_id", F.coalesce(same, F.lit(False)).alias("continues"))
+    return c.select("chunk_id", chunking.continues(["owner", "document_id"], "page_number", ["chunk_index", "chunk_id"], "section").alias("continues"))
 
 
 @query("SELECT record_id FROM loaded_documents d WHERE source_type = 'web' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.owner = d.owner AND c.document_id = d.document_id)")
@@ -512,30 +532,27 @@ def keyword_intents(spark, sf):
 
 @query("SELECT kb, CAST(count(*) AS BIGINT) AS n FROM chunks GROUP BY ROLLUP (kb)")
 def rollup_counts(spark, sf):
-    return table(spark, sf, "chunks").rollup("kb").agg(F.count("*").alias("n"))
+    return listing.counts(table(spark, sf, "chunks"), "kb")
 
 
 @query("SELECT owner, kb, CASE WHEN kb = 'github' THEN repository ELSE document_id END AS document, count(*) AS n FROM chunks WHERE coalesce(CASE WHEN kb = 'github' THEN repository ELSE document_id END, '') <> '' GROUP BY ALL")
 def list_documents(spark, sf):
-    name = F.when(F.col("kb") == "github", F.col("repository")).otherwise(F.col("document_id"))
-    return table(spark, sf, "chunks").withColumn("document", name).where("document <> ''").groupBy("owner", "kb", "document").agg(F.count("*").alias("n"))
+    return listing.documents(table(spark, sf, "chunks"))
 
 
 @query("SELECT DISTINCT owner, repository FROM chunks WHERE repository <> ''")
 def list_repositories(spark, sf):
-    return table(spark, sf, "chunks").where("repository <> ''").select("owner", "repository").distinct()
+    return listing.repositories(table(spark, sf, "chunks"))
 
 
 @query("SELECT owner, string_agg(kb, ',' ORDER BY kb) AS bases FROM (SELECT DISTINCT owner, kb FROM chunks WHERE kb IS NOT NULL) GROUP BY owner")
 def populated_bases(spark, sf):
-    return table(spark, sf, "chunks").where("kb is not null").groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set("kb")), ",").alias("bases"))
+    return listing.populated(table(spark, sf, "chunks")).select("owner", F.array_join("bases", ",").alias("bases"))
 
 
 @query("SELECT d.owner, d.document_id, CASE WHEN c.n IS NULL THEN 'pending' ELSE 'indexed' END AS status, coalesce(c.n, 0) AS chunks FROM (SELECT DISTINCT owner, document_id FROM loaded_documents WHERE owner IS NOT NULL AND document_id IS NOT NULL) d LEFT JOIN (SELECT owner, document_id, count(*) AS n FROM chunks GROUP BY ALL) c ON d.owner = c.owner AND d.document_id = c.document_id")
 def source_summary(spark, sf):
-    n = table(spark, sf, "chunks").groupBy("owner", "document_id").agg(F.count("*").alias("n"))
-    d = table(spark, sf, "loaded_documents").where("owner is not null and document_id is not null").select("owner", "document_id").distinct()
-    return d.join(n, ["owner", "document_id"], "left").select("owner", "document_id", F.when(F.col("n").isNull(), "pending").otherwise("indexed").alias("status"), F.coalesce("n", F.lit(0)).alias("chunks"))
+    return listing.source_summary(table(spark, sf, "loaded_documents"), table(spark, sf, "chunks"))
 
 
 _METRICS = ["latency_context_prep_s", "latency_generation_s", "latency_total_s", "doc_hit_rate", "doc_mrr", "doc_ndcg", "faithfulness", "answer_relevance"]
@@ -558,8 +575,8 @@ def crag_verdicts(spark, sf):
 @query("SELECT result_id, round(least(doc_hit_rate, doc_mrr, doc_ndcg), 6) AS weakest, least(doc_hit_rate, doc_mrr, doc_ndcg) < 0.5 AS low FROM item_results WHERE doc_hit_rate IS NOT NULL AND doc_mrr IS NOT NULL AND doc_ndcg IS NOT NULL")
 def weakest_dimension(spark, sf):
     r = table(spark, sf, "item_results").where("doc_hit_rate is not null and doc_mrr is not null and doc_ndcg is not null")
-    w = F.least("doc_hit_rate", "doc_mrr", "doc_ndcg")
-    return r.select("result_id", F.round(w, 6).alias("weakest"), (w < 0.5).alias("low"))
+    w, low = evaluation.weakest("doc_hit_rate", "doc_mrr", "doc_ndcg")
+    return r.select("result_id", F.round(w, 6).alias("weakest"), low.alias("low"))
 
 
 @query(
@@ -603,9 +620,13 @@ def delete_survivors(spark, sf):
     return maintenance.without(table(spark, sf, "chunks"), gone, ["owner", "document_id"]).select("chunk_id")
 
 
-@query("SELECT owner, repository, count(*) AS removed FROM chunks WHERE repository IS NOT NULL GROUP BY ALL")
+@query("SELECT owner, repository, CAST(count(*) FILTER (kb = 'github') AS BIGINT) AS removed, CAST(count(*) FILTER (kb IS DISTINCT FROM 'github') AS BIGINT) AS left_over FROM chunks WHERE repository IS NOT NULL AND owner IS NOT NULL GROUP BY ALL")
 def delete_counts(spark, sf):
-    return table(spark, sf, "chunks").where("repository is not null").groupBy("owner", "repository").agg(F.count("*").alias("removed"))
+    c = table(spark, sf, "chunks")
+    gone = c.where("repository is not null and owner is not null").select("owner", "repository").distinct()
+    rest, removed = maintenance.delete_repositories(c, gone)
+    left = rest.where("repository is not null and owner is not null").groupBy("owner", "repository").agg(F.count("*").alias("left_over"))
+    return gone.join(removed, ["owner", "repository"], "left").join(left, ["owner", "repository"], "left").fillna(0, ["removed", "left_over"])
 
 
 @query("SELECT chunk_id, array_to_string(block_types, ', ') AS block_types, CAST(page_number AS VARCHAR) AS page_number, CAST((CASE WHEN block_types IS NULL THEN 0 ELSE 1 END + CASE WHEN page_number IS NULL THEN 0 ELSE 1 END + CASE WHEN section IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS kept FROM chunks")
@@ -629,8 +650,7 @@ def owner_migration(spark, sf):
 @query("SELECT d.owner, d.document_id, count(*) AS chunks FROM (SELECT DISTINCT owner, document_id FROM chunks WHERE function_name IS NOT NULL) d JOIN chunks c ON c.owner = d.owner AND c.document_id = d.document_id GROUP BY ALL")
 def nodes_to_chunks(spark, sf):
     c = table(spark, sf, "chunks").select("owner", "document_id", "function_name")
-    touched = c.where("function_name is not null").select("owner", "document_id").distinct()
-    return c.join(touched, ["owner", "document_id"]).groupBy("owner", "document_id").agg(F.count("*").alias("chunks"))
+    return graph.chunks_of(c.where("function_name is not null"), c, ["owner", "document_id"]).groupBy("owner", "document_id").agg(F.count("*").alias("chunks"))
 
 
 # ---- chunking
@@ -648,20 +668,26 @@ def word_windows(spark, sf):
     r"""SELECT record_id, CAST(i AS INT) AS block_no, trim(p[i + 1], e' \n\t\r') AS block FROM (SELECT record_id, p, unnest(range(len(p))) AS i FROM (SELECT record_id, list_filter(string_split_regex(content, '\n[ \t\r]*\n'), lambda x: trim(x, e' \n\t\r') <> '') AS p FROM loaded_documents WHERE content IS NOT NULL))"""
 )
 def paragraph_blocks(spark, sf):
-    strip = lambda x: F.btrim(x, F.lit(" \n\t\r"))
-    parts = F.filter(F.split("content", r"\n[ \t\r]*\n"), lambda x: strip(x) != "")
-    return table(spark, sf, "loaded_documents").where("content is not null").select("record_id", F.posexplode(F.transform(parts, strip)).alias("block_no", "block"))
+    return chunking.paragraphs(table(spark, sf, "loaded_documents"), "record_id", "content")
 
 
 @query(
     r"""SELECT record_id, CAST(len(list_filter(string_split(regexp_replace(trim(content), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS BIGINT) AS sentences FROM loaded_documents WHERE content IS NOT NULL"""
 )
 def sentence_counts(spark, sf):
-    marked = F.regexp_replace(F.trim("content"), r"([.!?])\s+", "$1\u0001")
-    return table(spark, sf, "loaded_documents").where("content is not null").select("record_id", F.size(F.filter(F.split(marked, "\u0001"), lambda s: F.trim(s) != "")).cast("bigint").alias("sentences"))
+    return table(spark, sf, "loaded_documents").where("content is not null").select("record_id", F.size(chunking.sentences(F.col("content"))).cast("bigint").alias("sentences"))
 
 
-@query()
+def _windows_sql(rows: str) -> str:
+    """CTEs up to ``w`` (key, win, window) over ``rows`` (key, t): sentences filled to 40 words, a short last window dropped."""
+    return rf"""t AS (SELECT key, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(t, ''), ' '), '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM ({rows})),
+    e AS (SELECT key, unnest(range(1, len(s) + 1)) AS i, s FROM t), n AS (SELECT key, i, s[i] AS x, len(string_split(trim(regexp_replace(s[i], '[ \t\n\x0b\f\r]+', ' ', 'g'), ' '), ' ')) AS n FROM e),
+    r AS (SELECT key, i, 0 AS win, n FROM n WHERE i = 1 UNION ALL SELECT n.key, n.i, CASE WHEN r.n > 0 AND r.n + n.n > 40 THEN r.win + 1 ELSE r.win END, CASE WHEN r.n > 0 AND r.n + n.n > 40 THEN n.n ELSE r.n + n.n END FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1),
+    g AS (SELECT r.key, win, string_agg(x, ' ' ORDER BY r.i) AS "window", sum(n.n) AS words, max(win) OVER (PARTITION BY r.key) AS final FROM r JOIN n ON n.key = r.key AND n.i = r.i GROUP BY r.key, win),
+    w AS (SELECT key, win, "window" FROM g WHERE words >= 5 OR win = 0 OR win < final)"""
+
+
+@query(f"WITH RECURSIVE {_windows_sql('SELECT doc_id AS key, text AS t FROM documents')} SELECT key AS doc_id, CAST(win AS INT) AS window_no, \"window\" FROM w")
 def sentence_windows(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunking.sentence_windows(F.col("text"))).alias("window_no", "window"))
 
@@ -679,9 +705,14 @@ def chunk_documents(spark, sf):
     return chunking.chunk_documents(d, "record_id", "content", "document_id", (F.col("source_type") == "code") & F.col("file_name").endswith(".py"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE c AS (SELECT * FROM chunks WHERE coalesce(chunk_role, 'parent') = 'parent' QUALIFY row_number() OVER (PARTITION BY owner, document_id, chunk_index ORDER BY ingested_at DESC NULLS LAST, chunk_id DESC) = 1),
+    {_windows_sql("SELECT chunk_id AS key, content AS t FROM c WHERE coalesce(content_type, '') NOT IN ('class', 'method', 'function', 'table', 'table_row')")}, p AS (SELECT owner, document_id, max(chunk_index) + 1 AS parents FROM c GROUP BY ALL)
+    SELECT owner, document_id, chunk_index, content, 'parent' AS chunk_role, CAST(NULL AS INT) AS parent_chunk_index FROM c UNION ALL
+    SELECT c.owner, c.document_id, CAST(parents + row_number() OVER (PARTITION BY c.owner, c.document_id ORDER BY c.chunk_index, win) - 1 AS INT), "window", 'child', c.chunk_index FROM w JOIN c ON c.chunk_id = w.key JOIN p ON p.owner = c.owner AND p.document_id = c.document_id"""
+)
 def parent_child(spark, sf):
-    c = ranking.keep_last(table(spark, sf, "chunks").where("source_type in ('code', 'web') and coalesce(chunk_role, 'parent') = 'parent'"), ["owner", "document_id", "chunk_index"], ["ingested_at", "chunk_id"])
+    c = ranking.keep_last(table(spark, sf, "chunks").where("coalesce(chunk_role, 'parent') = 'parent'"), ["owner", "document_id", "chunk_index"], ["ingested_at", "chunk_id"])
     return chunking.parent_child(c, ["owner", "document_id"])
 
 
@@ -705,17 +736,17 @@ def chunk_python(spark, sf):
     return chunking.chunk_documents(_sources(spark, sf), "record_id", "source", "path", F.lit(True))
 
 
-@query("SELECT start, node FROM (SELECT DISTINCT 'order:' || o_orderkey AS start, 'part:' || l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P') UNION SELECT 'order:' || o_orderkey, 'order:' || o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT start, node FROM (SELECT DISTINCT 'order:' || o_orderkey AS start, 'part:' || l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey) UNION SELECT 'order:' || o_orderkey, 'order:' || o_orderkey FROM orders")
 def graph_hop(spark, sf):
     edges = table(spark, sf, "lineitem").select(F.concat(F.lit("order:"), "l_orderkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"), F.lit("calls").alias("kind"))
-    starts = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("order:"), "o_orderkey").alias("start"))
+    starts = table(spark, sf, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("start"))
     return graph.hop(edges, starts, "start", "calls", "out")
 
 
-@query("SELECT start, node FROM (SELECT DISTINCT 'part:' || p_partkey AS start, 'order:' || l_orderkey AS node FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_size = 1) UNION SELECT 'part:' || p_partkey, 'part:' || p_partkey FROM part WHERE p_size = 1")
+@query("SELECT start, node FROM (SELECT DISTINCT 'part:' || p_partkey AS start, 'order:' || l_orderkey AS node FROM part JOIN lineitem ON p_partkey = l_partkey) UNION SELECT 'part:' || p_partkey, 'part:' || p_partkey FROM part")
 def graph_callers(spark, sf):
     edges = table(spark, sf, "lineitem").select(F.concat(F.lit("order:"), "l_orderkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"), F.lit("calls").alias("kind"))
-    starts = table(spark, sf, "part").where("p_size = 1").select(F.concat(F.lit("part:"), "p_partkey").alias("start"))
+    starts = table(spark, sf, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("start"))
     return graph.hop(edges, starts, "start", "calls", "in")
 
 
@@ -883,3 +914,171 @@ def contextualised(spark, sf):
 def insight_pill(spark, sf):
     r = table(spark, sf, "item_results")
     return r.select("result_id", replies.pill(F.lit(None).cast("string"), F.col("error").isNotNull(), F.col("faithfulness").isNotNull()).alias("pill"))
+
+
+# ---- listings, lookups, deletes and sources
+
+
+@query("SELECT owner, document_id, chunk_id, kb FROM (SELECT c.*, row_number() OVER (PARTITION BY c.owner, c.document_id ORDER BY c.kb, c.chunk_index, c.chunk_id) AS r FROM chunks c WHERE EXISTS (SELECT 1 FROM loaded_documents d WHERE d.owner = c.owner AND d.document_id = c.document_id)) WHERE r = 1")
+def point_lookup(spark, sf):
+    c = table(spark, sf, "chunks").select("owner", "document_id", "chunk_id", "kb", "chunk_index")
+    return listing.first_chunks(c, table(spark, sf, "loaded_documents"), ["kb", "chunk_index", "chunk_id"]).select("owner", "document_id", "chunk_id", "kb")
+
+
+@query("SELECT chunk_id FROM chunks WHERE content_type = 'table' AND owner = (SELECT min(owner) FROM chunks)")
+def chunks_of_type(spark, sf):
+    c = table(spark, sf, "chunks")
+    return listing.of_type(c, c.agg(F.min("owner")).first()[0] or "", "table").select("chunk_id")
+
+
+@query("SELECT record_id FROM loaded_documents WHERE contains(lower(url), 'docs') OR contains(lower(file_name), 'docs')")
+def inspect_pages(spark, sf):
+    return listing.inspect(table(spark, sf, "loaded_documents"), "Docs").select("record_id")
+
+
+@query("SELECT coalesce(owner, 'local') || '::' || url AS key, max(record_id) AS record_id FROM loaded_documents WHERE url IS NOT NULL GROUP BY ALL")
+def image_upsert(spark, sf):
+    new = table(spark, sf, "loaded_documents").where("url is not null").select("owner", F.col("url").alias("image_url"), "record_id")
+    half = F.col("record_id") % 2 == 0  # stored before, and written now
+    return maintenance.upsert_images(maintenance.upsert_images(None, new.where(half), ["record_id"]), new.where(~half), ["record_id"]).select("key", "record_id")
+
+
+@query("SELECT chunk_id, coalesce(owner, 'local') || '::' || document_id || '::clip_' || CAST(chunk_index * 10 AS VARCHAR) AS key FROM chunks WHERE document_id IS NOT NULL")
+def clip_keys(spark, sf):
+    return table(spark, sf, "chunks").where("document_id is not null").select("chunk_id", maintenance.clip_key(F.col("owner"), F.col("document_id"), F.col("chunk_index") * 10).alias("key"))
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT owner, document_id FROM loaded_documents WHERE source_type = 'audio' AND owner IS NOT NULL AND document_id IS NOT NULL), i AS (SELECT owner, url, document_id AS video FROM loaded_documents)
+    SELECT 'chunks' AS name, count(*) AS n FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.owner = c.owner AND g.document_id = c.document_id) UNION ALL
+    SELECT 'images', count(*) FROM i WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.owner = i.owner AND g.document_id = i.video) AND NOT EXISTS (SELECT 1 FROM g WHERE g.owner = i.owner AND g.document_id = i.url) UNION ALL
+    SELECT 'removed', count(*) FROM chunks c WHERE EXISTS (SELECT 1 FROM g WHERE g.owner = c.owner AND g.document_id = c.document_id)"""
+)
+def document_delete(spark, sf):
+    d = table(spark, sf, "loaded_documents")
+    images = d.select("owner", F.col("url").alias("page_url"), F.col("document_id").alias("video_document_id"))
+    left, removed = maintenance.delete_documents({"chunks": table(spark, sf, "chunks"), "images": images}, d.where("source_type = 'audio'"))
+    count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return count(left["chunks"], "chunks").unionByName(count(left["images"], "images")).unionByName(removed.agg(F.lit("removed").alias("name"), F.coalesce(F.sum("removed"), F.lit(0)).alias("n")))
+
+
+_FILES = f"""SELECT chunk_id, owner, repository, file_path, CASE {' '.join(f"WHEN n = '{k}' THEN '{v}'" for k, v in files.FILE_LANGUAGES.items())} ELSE CASE lower(regexp_extract(n, '[^.](\\.[^.]*)$', 1)) {' '.join(f"WHEN '{s}' THEN '{v}'" for s, v in files.LANGUAGES.items())} END END AS language
+    FROM (SELECT *, string_split(file_path, '/')[-1] AS n FROM chunks WHERE file_path IS NOT NULL AND repository IS NOT NULL AND strlen(content) <= 200000 AND len(list_intersect(string_split(file_path, '/'), [{_quoted(files.EXCLUDED_DIRS)}])) = 0) WHERE n NOT IN ({_quoted(files.EXCLUDED_FILES)})"""
+
+
+@query(f"SELECT chunk_id, language FROM ({_FILES}) WHERE language IS NOT NULL QUALIFY row_number() OVER (PARTITION BY owner, repository ORDER BY file_path, chunk_id) <= 300")
+def repository_scan(spark, sf):
+    c = table(spark, sf, "chunks").where("file_path is not null and repository is not null").select("chunk_id", "owner", "repository", "file_path", F.octet_length("content").alias("size"))
+    return files.repository_scan(c, "file_path", "size", ["owner", "repository"], tie="chunk_id").select("chunk_id", "language")
+
+
+@query(
+    r"""SELECT query_id, CAST(rank AS INT) AS rank, sha, 'Commit ' || substring(sha, 1, 7) || ' by ' || author || ' on ' || day || chr(10) || chr(10) || coalesce(answer, '') AS content FROM (SELECT q.entry_id AS query_id, e.*, row_number() OVER (PARTITION BY q.entry_id ORDER BY day DESC NULLS LAST, sha) AS rank FROM
+    (SELECT min(entry_id) AS entry_id, repository FROM cache_entries WHERE repository IS NOT NULL GROUP BY repository) q JOIN (SELECT repository, md5(CAST(entry_id AS VARCHAR)) AS sha, coalesce(owner, 'unknown') AS author, coalesce(CAST(CAST(cached_at AS DATE) AS VARCHAR), 'unknown date') AS day, answer FROM cache_entries) e ON e.repository = q.repository) WHERE rank <= 5"""
+)
+def commit_history(spark, sf):
+    e = table(spark, sf, "cache_entries")
+    commits = e.select("repository", F.md5(F.col("entry_id").cast("string")).alias("sha"), F.col("owner").alias("author"), F.coalesce(F.to_date("cached_at").cast("string"), F.lit("unknown date")).alias("at"), F.col("answer").alias("message"), F.array().cast("array<string>").alias("paths"))
+    asked = e.where("repository is not null").groupBy("repository").agg(F.min("entry_id").alias("query_id"), F.lit("what changed last").alias("text"))
+    return files.history(commits, asked)
+
+
+@query("SELECT 'world' AS tree, CAST(row_number() OVER (ORDER BY r_name, n_name NULLS FIRST) - 1 AS INT) AS place, CASE WHEN n_name IS NULL THEN 'r' || r_regionkey ELSE 'n' || n_nationkey END AS topic, coalesce(n_name, r_name) AS label FROM (SELECT r_regionkey, r_name, NULL AS n_name, NULL AS n_nationkey FROM region UNION ALL SELECT r_regionkey, r_name, n_name, n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey)")
+def topic_tree(spark, sf):
+    place = lambda name: F.dense_rank().over(Window.orderBy(name))  # noqa: E731 -- a contents tree of thirty nodes
+    node = lambda df, kind, key, parent, name: df.select(F.lit("world").alias("tree"), F.concat(F.lit(kind), key).alias("node"), parent.alias("parent"), place(name).alias("position"), F.concat(F.lit(kind), key).alias("topic"), F.col(name).alias("label"))
+    top = node(table(spark, sf, "region"), "r", "r_regionkey", F.lit(None).cast("string"), "r_name")
+    return files.topics(top.unionByName(node(table(spark, sf, "nation"), "n", "n_nationkey", F.concat(F.lit("r"), "n_regionkey"), "n_name")))
+
+
+@query(
+    """WITH r AS (SELECT item_id, answer, error FROM item_results QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY result_id) = 1), x AS (SELECT item_id, list_distinct(expected_document_ids) AS e, item_id % 2 = 0 AS got FROM eval_items),
+    j AS (SELECT x.item_id, CASE WHEN answer IS NULL AND error IS NULL THEN 'no answer' ELSE error END AS error, CASE WHEN e IS NULL OR len(e) = 0 THEN NULL WHEN got THEN 1.0 ELSE 0.0 END AS s FROM x LEFT JOIN r USING (item_id))
+    SELECT item_id, error, CAST(CASE WHEN error IS NULL THEN s END AS DOUBLE) AS hit_rate, CAST(CASE WHEN error IS NULL THEN s END AS DOUBLE) AS mrr, CAST(CASE WHEN error IS NULL THEN s END AS DOUBLE) AS recall FROM j"""
+)
+def evaluation_run(spark, sf):
+    items = table(spark, sf, "eval_items").select("item_id", "expected_document_ids")
+    got = items.where("item_id % 2 = 0").select("item_id", F.posexplode("expected_document_ids").alias("p", "document_id")).select("item_id", "document_id", (F.col("p") + 1).alias("rank"))
+    first = ranking.first_wins(table(spark, sf, "item_results"), ["item_id"], ["result_id"]).select("item_id", "answer", "error")
+    return evaluation.evaluation_run(items, got, first, k=1000).select("item_id", "error", "hit_rate", "mrr", "recall")
+
+
+@query("SELECT regexp_replace(regexp_replace(lower(run_id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, '| ' || run_id || ' | ' || n || ' | ' || coalesce(printf('%.3f', f), '—') || ' |' AS line FROM (SELECT run_id, count(*) AS n, round(avg(faithfulness), 6) AS f FROM item_results GROUP BY run_id)")
+def report_lines(spark, sf):
+    r = table(spark, sf, "item_results").groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.avg("faithfulness"), 6).alias("f"))
+    return evaluation.report_rows(r, F.col("run_id"))
+
+
+@query(
+    f"""SELECT owner, entry_id, chunk_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY owner, entry_id ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT c.owner, entry_id, chunk_id, {_COS.format('embedding', 'question_embedding')} AS similarity
+    FROM chunks c JOIN cache_entries e ON c.owner = e.owner WHERE c.kb = 'audio' AND entry_id % 20 = 0 AND {_REAL.format('embedding')} AND {_REAL.format('question_embedding')})) WHERE rank <= 3"""
+)
+def clip_topk(spark, sf):
+    asked = table(spark, sf, "cache_entries").where("entry_id % 20 = 0").select("owner", "entry_id", "question_embedding")
+    clips = filters.where(table(spark, sf, "chunks"), {"kb": "audio"})
+    return ranking.dense(clips, "chunk_id", "embedding", asked, "entry_id", "question_embedding", scope=["owner"], k=3)
+
+
+# ---- decisions and the search over three lists
+
+_ROUTE_NAMES, _BASE_NAMES = [*routing.ROUTES], [*routing.BASES]
+
+
+def _dealt(names: list[str], column: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} % {len(names)} = {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+def _rules(keywords: dict[str, list[str]]) -> str:
+    """The labels whose keywords occur in ``t``."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join('contains(t, ' + _quoted([w]) + ')' for w in ws)} THEN '{k}' END" for k, ws in keywords.items()) + "], lambda x: x IS NOT NULL)"
+
+
+_SCORES = f"SELECT e.entry_id, l.label, max({_COS.format('l.embedding', 'e.question_embedding')}) AS score FROM embeddings l, cache_entries e WHERE e.entry_id % 20 = 0 AND {_REAL.format('l.embedding')} AND {_REAL.format('e.question_embedding')} GROUP BY ALL"
+
+
+@query(
+    f"""WITH s AS ({_SCORES}), rs AS (SELECT entry_id, {_dealt(_ROUTE_NAMES, 'label')} AS label, max(score) AS score FROM s GROUP BY ALL), bs AS (SELECT entry_id, {_dealt(_BASE_NAMES, 'label')} AS label, max(score) AS score FROM s GROUP BY ALL),
+    q AS (SELECT entry_id, {_rules(routing.ROUTES)} AS rr, {_rules(routing.BASES)} AS rb FROM (SELECT entry_id, ' ' || lower(coalesce(question, '')) || ' ' AS t FROM cache_entries WHERE entry_id % 20 = 0)),
+    nr AS (SELECT entry_id, list(label) AS n FROM rs WHERE score >= 0.4 GROUP BY entry_id), nb AS (SELECT entry_id, list(label) AS n FROM (SELECT *, max(score) OVER (PARTITION BY entry_id) AS best FROM bs) WHERE score >= 0.2 AND score >= 0.7 * best GROUP BY entry_id)
+    SELECT q.entry_id, array_to_string(list_sort(list_distinct(list_concat(rr, coalesce(nr.n, []), ['general']))), ',') AS routes, array_to_string(list_sort(list_distinct(list_concat(rb, coalesce(nb.n, [])))), ',') AS bases,
+      CASE WHEN len(rr) + len(rb) > 0 AND (nr.n IS NOT NULL OR nb.n IS NOT NULL) THEN 'both' WHEN len(rr) + len(rb) > 0 THEN 'rule' WHEN nr.n IS NOT NULL OR nb.n IS NOT NULL THEN 'semantic' ELSE 'neither' END AS method
+    FROM q LEFT JOIN nr USING (entry_id) LEFT JOIN nb USING (entry_id)"""
+)
+def route_decision(spark, sf):
+    """Routes and bases of questions; the exemplars of the routes and bases are the labelled embeddings, dealt out to them."""
+    asked = table(spark, sf, "cache_entries").where("entry_id % 20 = 0")
+    scores = ranking.group_similarity(table(spark, sf, "embeddings"), "label", "embedding", asked, "entry_id", "question_embedding")
+    named = lambda names: scores.withColumn("label", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("label") % len(names) + 1)).groupBy("entry_id", "label").agg(F.max("score").alias("score"))
+    d = routing.decide(asked, "entry_id", "question", named(_ROUTE_NAMES), named(_BASE_NAMES))
+    return d.select("entry_id", F.array_join("routes", ",").alias("routes"), F.array_join("bases", ",").alias("bases"), "method")
+
+
+_PLACES = "CASE label " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(routing.PRIORITY)) + " END"
+_MADE = "round(CAST(CAST('0x' || substring(md5(CAST(entry_id AS VARCHAR) || label), 1, 4) AS INT) AS DOUBLE) / 65535.0, 3)"
+
+
+@query(
+    f"""WITH q AS (SELECT entry_id, {_rules(routing.INTENTS)} AS rules FROM (SELECT entry_id, ' ' || lower(coalesce(question, '')) || ' ' AS t FROM cache_entries)), c AS (SELECT entry_id, rules, unnest([{_quoted(routing.PRIORITY)}]) AS label FROM q),
+    s AS (SELECT entry_id, label, list_contains(rules, label) AS ruled, len(rules) > 0 AS any_rule, {_MADE} AS score FROM c), k AS (SELECT *, score + CASE WHEN ruled THEN 0.15 ELSE 0 END AS rated FROM s WHERE CASE WHEN any_rule THEN ruled ELSE score >= 0.4 END),
+    n AS (SELECT * FROM (SELECT *, max(rated) OVER (PARTITION BY entry_id) AS best FROM k) WHERE rated >= best - 0.03)
+    SELECT entry_id AS query_id, label AS intent FROM n QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY CAST(ruled AS INT) DESC, {_PLACES}, label) = 1"""
+)
+def intent_decision(spark, sf):
+    """One intent a question; similarities are made up of a digest, as there are no exemplars."""
+    q = table(spark, sf, "cache_entries").select(F.col("entry_id").alias("query_id"), F.col("question").alias("text"))
+    each = q.select("query_id", F.explode(F.array(*[F.lit(p) for p in routing.PRIORITY])).alias("label"))
+    made = F.round(F.conv(F.substring(F.md5(F.concat(F.col("query_id").cast("string"), "label")), 1, 4), 16, 10).cast("int") / 65535.0, 3)
+    return pipelines.intents(q, each.withColumn("score", made))
+
+
+_KIDS60 = f"""SELECT entry_id, owner, document_id, parent_chunk_index, rank FROM (SELECT *, row_number() OVER (PARTITION BY owner, entry_id ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT c.owner, c.document_id, c.parent_chunk_index, entry_id, chunk_id, {_COS.format('embedding', 'question_embedding')} AS similarity
+    FROM chunks c JOIN cache_entries e ON c.owner = e.owner WHERE c.chunk_role = 'child' AND c.kb IN ('github', 'web') AND entry_id % 20 = 0 AND question IS NOT NULL AND {_REAL.format('embedding')} AND {_REAL.format('question_embedding')})) WHERE rank <= 60"""
+_PARENTS = f"""SELECT entry_id, p.chunk_id, row_number() OVER (PARTITION BY entry_id ORDER BY child_rank) AS rank FROM (SELECT entry_id, owner, document_id, parent_chunk_index, min(rank) AS child_rank FROM ({_KIDS60}) GROUP BY ALL) k JOIN
+    (SELECT owner, document_id, chunk_index, max(chunk_id) AS chunk_id FROM chunks WHERE chunk_role = 'parent' AND kb IN ('github', 'web') GROUP BY ALL) p ON p.owner = k.owner AND p.document_id = k.document_id AND p.chunk_index = k.parent_chunk_index"""
+
+
+@query(f"SELECT entry_id AS query_id, chunk_id, rrf, position FROM ({_rrf_sql([_DENSE40, _BM40, _PARENTS])}) WHERE entry_id IN (SELECT entry_id FROM cache_entries WHERE question IS NOT NULL)")
+def hybrid_parents(spark, sf):
+    """Similarity, terms and the parents of similar children, fused."""
+    got = pipelines.hybrid(table(spark, sf, "chunks"), _asked(spark, sf), ["owner"], parents=True, index=_index(spark, sf, "chunks", ["owner"]))
+    return got.select("query_id", "chunk_id", "rrf", "position")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import chunking, graph, maintenance, ranking, routing
+from quern.operators import chunking, graph, maintenance, postings, ranking, routing
 from quern.operators.models import Models
 
 #: Candidates of each arm, of the fused list that is scored jointly, and of an answer.
@@ -26,11 +26,46 @@ def ladder(attempts: list[DataFrame], queries: DataFrame, key: str = "query_id")
     return rows.withColumn("_first", F.min("attempt").over(Window.partitionBy(key))).where("attempt = _first").drop("_first")
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, scope: list[str], *, k: int = SCORED) -> DataFrame:
-    """Dense and lexical candidates of each query in its scope, fused: (scope, query_id, chunk_id, rrf, similarity, position)."""
-    dense = ranking.dense(chunks, "chunk_id", "embedding", queries, "query_id", "vector", scope=scope, k=POOL)
-    lexical = ranking.bm25(chunks, "chunk_id", "content", queries, "query_id", "text", scope=scope, k=POOL)
-    fused = ranking.fuse([dense, lexical], [*scope, "query_id"], ["chunk_id"]).where(F.col("position") <= k)
+#: Children that are searched for their parents, and the bases whose chunks have children.
+CHILD_POOL, CHILD_BASES = 60, ["github", "web"]
+#: Least characters of a drafted answer that is searched with.
+DRAFT_LEAST = 10
+
+
+def parent_hits(chunks: DataFrame, queries: DataFrame, scope: list[str], *, k: int = CHILD_POOL) -> DataFrame:
+    """(scope, query_id, chunk_id, rank): the parents of the ``k`` most similar children of each query, best child first. Only some bases have children."""
+    own = chunks.where(F.col("kb").isin(CHILD_BASES))
+    kids = own.where("chunk_role = 'child'")
+    cols = [c for c in dict.fromkeys([*scope, "owner", "document_id"])]
+    hits = ranking.dense(kids, "chunk_id", "embedding", queries, "query_id", "vector", scope=scope, k=k)
+    placed = hits.select("query_id", "chunk_id", "rank").join(kids.select("chunk_id", *cols, "parent_chunk_index"), "chunk_id")
+    parents = own.where("chunk_role = 'parent'").groupBy(*cols, "chunk_index").agg(F.max("chunk_id").alias("chunk_id"))
+    keys = [c for c in cols if c != "document_id"]
+    return ranking.parents_of(placed.drop("chunk_id"), parents, [*keys, "query_id"], ["document_id"], k).select(*scope, "query_id", "chunk_id", "rank")
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, scope: list[str], *, k: int = SCORED, variants: list[DataFrame] | None = None, drafts: DataFrame | None = None, keywords: DataFrame | None = None, parents: bool = False, index: postings.Index | None = None) -> DataFrame:
+    """Candidates of each query in its scope, fused: (scope, query_id, chunk_id, rrf, similarity, position).
+
+    The lists, in this order: similarity and terms of the question, and of each of its ``variants`` whose text differs (whatever the case);
+    similarity of drafted answers, ``drafts``, of some length; terms of ``keywords``; with ``parents`` the parents of similar
+    children. All of these are tables like ``queries``, (scope, query_id, text, vector). ``index`` is a kept lexical index of the chunks in this scope.
+    """
+    near = lambda q: ranking.dense(chunks, "chunk_id", "embedding", q, "query_id", "vector", scope=scope, k=POOL)
+    told = lambda q: postings.search(index, q, "query_id", "text", k=POOL) if index else ranking.bm25(chunks, "chunk_id", "content", q, "query_id", "text", scope=scope, k=POOL)
+    dense = near(queries)
+    lists = [dense, told(queries)]
+    original = queries.select("query_id", F.lower("text").alias("_text"))
+    for v in variants or []:
+        other = v.join(original, "query_id").where(F.lower("text") != F.col("_text")).drop("_text")
+        lists += [near(other), told(other)]
+    if drafts is not None:
+        lists.append(near(drafts.where(F.length("text") > DRAFT_LEAST)))
+    if keywords is not None:
+        lists.append(told(keywords))
+    if parents:
+        lists.append(parent_hits(chunks, queries, scope))
+    fused = ranking.fuse(lists, [*scope, "query_id"], ["chunk_id"]).where(F.col("position") <= k)
     return fused.join(dense.select(*scope, "query_id", "chunk_id", "similarity"), [*scope, "query_id", "chunk_id"], "left").select(*scope, "query_id", "chunk_id", "rrf", "similarity", "position")
 
 
@@ -53,7 +88,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, *, models: Models | None = N
     models = models or Models()
     where = targets(queries, chunks)
     asked = queries.join(where, ["owner", "query_id"])
-    found = hybrid(chunks, asked, ["owner", "kb"])
+    found = hybrid(chunks, asked, ["owner", "kb"], parents="chunk_role" in chunks.columns)
     full = found.join(chunks.select("chunk_id", "document_id", "chunk_index", "section", "file_path", "content_type", "table_id", "class_id", F.col("content").alias("text")), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     joint = models.score(full)
     best = ranking.top(joint, ["kb", "query_id"], "score", ["position", "chunk_id"], k, "base_rank")
@@ -104,24 +139,33 @@ def related(chunks: DataFrame, queries: DataFrame, edges: DataFrame) -> DataFram
 ATTEMPTS = [0, 1, 4, 2, 6, 5, 3]
 
 
-def adaptive(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = None, *, k: int = TOP) -> DataFrame:
-    """Chunks by the intent of each question: its own strategy first, then what that falls back on.
+def intents(queries: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """(query_id, intent): the one intent of each query, by rule and, with ``scores`` (query_id, label, score), by similarity; queries without one have no row."""
+    ruled = queries.select("query_id", F.explode(routing.labels(F.col("text"), routing.INTENTS)).alias("label"), F.lit(True).alias("ruled"))
+    if scores is None:
+        rated = ruled.withColumn("score", F.lit(0.0))
+    else:
+        rated = ruled.join(scores, ["query_id", "label"], "full").select("query_id", "label", F.coalesce("ruled", F.lit(False)).alias("ruled"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return routing.intent(rated, ["query_id"], "label", "score", "ruled").select("query_id", "intent")
+
+
+def adaptive(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = None, *, scores: DataFrame | None = None, index: postings.Index | None = None, k: int = TOP) -> DataFrame:
+    """Chunks by the one intent of each question: its own strategy first, then what that falls back on.
 
     Activity is searched among issues and requests; explanations and places among what
     the hints name; structure along the graph and then lexically with the symbol; exact code lexically with
     the hints, all hints holding at once and the best taken among the chunks that fit them. Exact code and explanations then
-    do without the hints, if no intent before them in priority has another fallback; the rest fall back
+    do without the hints; the rest, and questions without an intent, fall back
     on the hybrid search. The graph needs ``edges`` and a column ``repository`` of the questions. (query_id, chunk_id, rank, attempt), attempts as in ``ATTEMPTS``.
     """
-    intents = queries.withColumn("intents", routing.labels(F.col("text"), routing.INTENTS)).withColumn("hints", T.metadata_hints(F.col("text")))
-    has = lambda *names: F.arrays_overlap("intents", F.array(*[F.lit(n) for n in names]))
-    is_ = lambda *names: intents.where(has(*names))
-    leads = lambda name: is_(name).where(~has(*routing.PRIORITY[: routing.PRIORITY.index(name)]))
+    known = queries.join(intents(queries, scores), "query_id").withColumn("hints", T.metadata_hints(F.col("text")))
+    is_ = lambda *names: known.where(F.col("intent").isin(*names))
     scope = ["owner"]
     dense = lambda c, q, only=None: ranking.dense(c, "chunk_id", "embedding", q, "query_id", "vector", scope=scope, only=only, k=POOL)
-    lexical = lambda q, only=None: ranking.bm25(chunks, "chunk_id", "content", q, "query_id", "text", scope=scope, only=only, k=POOL)
+    told = index or postings.build(chunks, "chunk_id", "content", scope=scope)
+    lexical = lambda q, only=None: postings.search(told, q, "query_id", "text", only=only, k=POOL)
     placed, structural = is_("explanation", "navigational"), is_("structural")
-    named = hinted(chunks, structural, ["symbol_name"]).unionByName(hinted(chunks, is_("exact_code").where(~has("structural")), ["language", "symbol_name"]))
+    named = hinted(chunks, structural, ["symbol_name"]).unionByName(hinted(chunks, is_("exact_code"), ["language", "symbol_name"]))
     around = structural.select("query_id").where("false").withColumn("chunk_id", F.lit(None)).withColumn("rank", F.lit(0))
     if edges is not None and "repository" in queries.columns:
         near = related(chunks, structural, edges)
@@ -133,11 +177,11 @@ def adaptive(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = No
         dense(chunks, placed, hinted(chunks, placed, ["file_name", "file_dir", "language"])),
         around,
         lexical(is_("exact_code", "structural"), named),
-        lexical(leads("exact_code")),
-        dense(chunks, leads("explanation")),
+        lexical(is_("exact_code")),
+        dense(chunks, is_("explanation")),
     ]
     lists = [x.select("query_id", "chunk_id", "rank") for x in first]
-    lists.append(hybrid(chunks, queries, scope).select("query_id", "chunk_id", F.col("position").alias("rank")))
+    lists.append(hybrid(chunks, queries, scope, index=told).select("query_id", "chunk_id", F.col("position").alias("rank")))
     found = ladder(lists, queries).withColumn("attempt", F.get(F.array(*[F.lit(n) for n in ATTEMPTS]), "attempt"))
     w = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "attempt")
@@ -163,8 +207,7 @@ def prompts(hits: DataFrame, chunks: DataFrame, queries: DataFrame, history: Dat
     """
     full = hits.join(chunks.select("chunk_id", "content", "file_name", "section", "page_number"), "chunk_id").withColumn("n", T.word_count(F.col("content")))
     kept = ranking.pack_budget(full, ["query_id"], ["rank", "chunk_id"], "n", budget)
-    place = F.when(F.col("page_number").isNotNull(), F.concat(F.lit("page "), F.col("page_number").cast("string"))).when(F.col("section") != "", F.concat(F.lit("section: '"), "section", F.lit("'")))
-    label = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(" — "), F.concat_ws(", ", F.nullif("file_name", F.lit("")), place), F.lit("]\n"), "content")
+    label = F.concat(T.source_label(F.col("rank"), F.col("file_name"), F.col("page_number"), F.col("section")), F.lit("\n"), "content")
     joined = lambda df, order, body: df.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, body.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
     out = queries.select("query_id", F.col("text").alias("question")).join(joined(kept, "rank", label).withColumnRenamed("text", "context"), "query_id", "left")
     if history is not None:

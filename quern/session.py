@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share, ``spark.checkpoint.dir`` of the session; None where it is unset."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return given.rstrip("/") if given else None
+
+
 def spread(df: DataFrame, least_bytes: int = 1 << 18) -> DataFrame:
     """``df`` in as many partitions as there are cores, where its scan has fewer.
 

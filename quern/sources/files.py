@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # What of a repository is read.
@@ -51,6 +51,53 @@ def wanted(path: Column, size: Column) -> Column:
     return ~inside & ~file_name(path).isin(EXCLUDED_FILES) & (size <= MOST_BYTES) & language_of(path).isNotNull()
 
 
+def repository_scan(files: DataFrame, path: str, size: str, by: list[str], *, tie: str | None = None, most: int = MOST_FILES) -> DataFrame:
+    """The files of each repository that are read: the wanted ones, the first ``most`` in the order of their paths (then ``tie``), with ``language``."""
+    kept = files.where(wanted(F.col(path), F.col(size))).withColumn("language", language_of(F.col(path)))
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*[c for c in (path, tie) if c]))).where(F.col("_n") <= most).drop("_n")
+
+
+def commit_path(question: Column) -> Column:
+    """The first word of a question that looks like a file's path or name, or null: what its history is asked of."""
+    return F.nullif(F.regexp_extract(question, r"([\w./-]*\w\.[A-Za-z]{1,8})\b", 1), F.lit(""))
+
+
+def commit_text(sha: Column, author: Column, at: Column, message: Column) -> Column:
+    """A commit as text: its short digest, who made it and when, and its message."""
+    return F.concat(F.lit("Commit "), F.substring(sha, 1, 7), F.lit(" by "), F.coalesce(author, F.lit("unknown")), F.lit(" on "), F.coalesce(at.cast("string"), F.lit("unknown date")), F.lit("\n\n"), F.coalesce(message, F.lit("")))
+
+
+def history(commits: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
+    """The latest commits (query_id, rank, sha, content) of each question's repository, of the file it names if it names one.
+
+    ``commits`` (repository, sha, author, at, message, paths), ``queries`` (query_id, repository, text). Hits have no similarity.
+    """
+    asked = queries.select("query_id", "repository", commit_path(F.col("text")).alias("path"))
+    met = commits.join(asked, "repository").where(F.col("path").isNull() | F.exists("paths", lambda p: p.endswith(F.col("path"))))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("at"), "sha")
+    hits = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.select("query_id", "rank", "sha", commit_text(F.col("sha"), F.col("author"), F.col("at"), F.col("message")).alias("content"))
+
+
+def topics(nodes: DataFrame, *, most_levels: int = 64) -> DataFrame:
+    """A contents tree (tree, node, parent, position, topic, label) flattened depth first: (tree, place from 0, topic, label) of the nodes with a topic.
+
+    One join a level; the order is that of the path of positions. Raises where ``most_levels`` do not reach the leaves, as with a cycle.
+    """
+    level = nodes.where("parent is null").withColumn("path", F.array("position"))
+    done = level
+    for _ in range(most_levels):
+        above = level.select("tree", F.col("node").alias("parent"), F.col("path").alias("above"))
+        level = nodes.join(above, ["tree", "parent"]).withColumn("path", F.concat("above", F.array("position"))).select(done.columns)
+        if level.isEmpty():
+            break
+        done = done.unionByName(level)
+    else:
+        raise ValueError(f"a tree is deeper than {most_levels} levels")
+    w = Window.partitionBy("tree").orderBy("path", "node")
+    return done.where("topic is not null").select("tree", (F.row_number().over(w) - 1).alias("place"), "topic", "label")
+
+
 def url_modes(lines: DataFrame, line: str) -> DataFrame:
     """Addresses of a list with how they are fetched: (url, crawl, browser). Blank lines and comments are skipped."""
     t = F.trim(F.col(line))
