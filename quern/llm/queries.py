@@ -42,6 +42,12 @@ def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return neardup.classes(_contents(spark, sf_dir), "record_kind", "record_id", "content", size=3, threshold=0.6, min_words=20, blocks=40, width=3)
 
 
+def p1_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of each kind were judged, and how many of these have a question."""
+    scored = p1_scored(spark, sf_dir).groupBy("record_kind").agg(F.count("*").alias("pairs"), F.count_distinct("record_id").alias("records"), F.count("score").alias("scores"))
+    return scored
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that share most of their three-word runs."""
     return neardup.pairs(*_near(spark, sf_dir)).select(F.col("kind").alias("record_kind"), "id_a", "id_b")
@@ -68,6 +74,13 @@ def p3_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.articles(_web(spark, sf_dir), "record_id", "url", "content").withColumnRenamed("id", "record_id")
 
 
+def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every web record: its judged lines, the last of them, and whether article and furniture together are all of them, each once."""
+    lines = boilerplate.page_lines(_web(spark, sf_dir), "record_id", "url", "content")
+    per = lines.groupBy(F.col("id").alias("record_id")).agg(F.count("*").alias("lines"), F.max("line_no").cast("bigint").alias("last"), F.count_distinct("line_no").alias("distinct"), F.count("furniture").alias("judged"))
+    return per.select("record_id", "lines", "last", ((F.col("distinct") == F.col("lines")) & (F.col("judged") == F.col("lines"))).alias("once"))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every content of more than 1,200 characters."""
     return splitting.split_oversized(_contents(spark, sf_dir), "record_kind", "record_id", "content").withColumnsRenamed({"kind": "record_kind", "id": "record_id"})
@@ -87,7 +100,7 @@ def p4_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest others of every chunk vector."""
-    return knn.neighbours(table(spark, sf_dir, "chunks"), "chunk_id", "embedding")
+    return knn.neighbours(table(spark, sf_dir, "chunks"), "chunk_id", "embedding").withColumn("sim", F.round("sim", 6))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +128,16 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpacking.pack(tokens, "id", "tokens").withColumnRenamed("id", "doc_id")
 
 
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every non-empty document whether its parts hold all of its tokens, whether it is whole unless it exceeds a container, and whether its containers hold what they say and no more than they may."""
+    tokens = binpacking.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", _vocabulary(spark))
+    packed = binpacking.pack(tokens, "id", "tokens")
+    filled = packed.groupBy("container").agg((F.sum("tokens") == F.max("fill")).alias("true"), (F.max("fill") <= 2048).alias("fits"))
+    parts = packed.join(filled, "container").groupBy("id").agg(F.sum("tokens").alias("held"), F.count("*").alias("parts"), F.bool_and(F.col("true") & F.col("fits")).alias("within"))
+    joined = tokens.join(parts, "id", "left")
+    return joined.select(F.col("id").alias("doc_id"), (F.col("held") == F.col("tokens")).alias("held"), ((F.col("parts") == 1) | (F.col("tokens") > 2048)).alias("whole"), "within")
+
+
 def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each test field each document holds."""
     return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["question", "expected_answer"])
@@ -135,22 +158,51 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_list")).withColumnRenamed("id", "doc_id")
 
 
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document whether its text with the found places replaced is the redacted text, so that nothing else was touched."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    found = p8_found(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "pii_type"))).alias("spans"))
+    both = docs.join(p8_redacted(spark, sf_dir).withColumnRenamed("text", "redacted"), "doc_id").join(found, "doc_id", "left")
+    step = lambda acc, s: F.struct(F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), (s["start_char"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["pii_type"]), F.lit("]")).alias("out"), s["end_char"].alias("at"))
+    none = F.array().cast("array<struct<start_char:bigint,end_char:bigint,pii_type:string>>")
+    done = F.aggregate(F.coalesce("spans", none), F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step)
+    rest = both.withColumn("done", done)
+    return rest.select("doc_id", (F.concat(F.col("done.out"), F.expr("substring(text, cast(done.at + 1 as int))")) == F.col("redacted")).alias("untouched"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_scored, p2_found, p2_groups, p3_found, p3_articles, p4_found, p4_pieces, p4_checked, p5_found, p5_neighbours, p6_containers, p7_found, p7_coverage, p8_found, p8_redacted]
+    own = [p1_found, p1_scored, p1_judged, p2_found, p2_groups, p3_found, p3_articles, p3_lines, p4_found, p4_pieces, p4_checked, p5_found, p5_neighbours, p6_containers, p6_checked, p7_found, p7_coverage, p8_found, p8_redacted, p8_checked]
     return {f.__name__: f for f in own}
 
 
 _CONTENTS = "(SELECT 'document' AS record_kind, record_id, content FROM loaded_documents UNION ALL SELECT 'chunk', chunk_id, content FROM chunks)"
 
 
+def _vectors(name: str, key: str, vec: str) -> str:
+    return f"(SELECT {key} AS id, CAST({vec} AS DOUBLE[]) AS v FROM {name} WHERE {vec} IS NOT NULL AND list_dot_product(CAST({vec} AS DOUBLE[]), CAST({vec} AS DOUBLE[])) > 0)"
+
+
 def _nearest(kind: str, name: str, key: str, vec: str) -> str:
-    v = f"(SELECT {key} AS id, CAST({vec} AS DOUBLE[]) AS v FROM {name} WHERE {vec} IS NOT NULL AND list_dot_product(CAST({vec} AS DOUBLE[]), CAST({vec} AS DOUBLE[])) > 0)"
+    v = _vectors(name, key, vec)
     return f"""SELECT '{kind}' AS record_kind, least(id, other) AS id_a, greatest(id, other) AS id_b FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.id) AS r
       FROM {v} a JOIN {v} b ON a.id <> b.id) WHERE r <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_judged": """SELECT record_kind, count(*) AS pairs, count(DISTINCT record_id) AS records, count(*) AS scores FROM (SELECT 'cache_entry' AS record_kind, entry_id AS record_id FROM cache_entries
+          UNION ALL SELECT 'item_result', result_id FROM item_results UNION ALL SELECT 'eval_item', item_id FROM eval_items) GROUP BY record_kind""",
+        "p2_groups": rf"""WITH RECURSIVE w AS (SELECT record_kind, record_id AS id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM {_CONTENTS} WHERE content IS NOT NULL), c AS (SELECT record_kind, id, w, md5(array_to_string(w, ' ')) AS h FROM w WHERE len(w) >= 20),
+          s AS (SELECT record_kind, id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM c), e AS (SELECT record_kind, id, len(s) AS n, unnest(s) AS g FROM s),
+          p AS (SELECT a.record_kind, a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, count(*) AS x FROM e a JOIN e b ON a.record_kind = b.record_kind AND a.g = b.g AND a.id <> b.id GROUP BY ALL),
+          l AS MATERIALIZED (SELECT record_kind, a, b FROM p WHERE x / (n_a + n_b - x) >= 0.8), r AS (SELECT record_kind, id, id AS other FROM c UNION SELECT r.record_kind, r.id, l.b FROM r JOIN l ON l.record_kind = r.record_kind AND l.a = r.other),
+          g AS (SELECT record_kind, id, min(other) AS group_id FROM r GROUP BY ALL), k AS (SELECT record_kind, h, min(id) AS class_id FROM c GROUP BY ALL), d AS (SELECT record_kind, a AS id, count(*) AS links FROM l GROUP BY ALL)
+          SELECT c.record_kind, c.id AS record_id, class_id, group_id, coalesce(links, 0) AS links FROM c JOIN k USING (record_kind, h) JOIN g USING (record_kind, id) LEFT JOIN d USING (record_kind, id)""",
+        "p3_lines": r"""SELECT record_id, count(*) AS lines, max(i) AS last, true AS once FROM (SELECT record_id, l[i] AS x, i FROM (SELECT record_id, string_split(content, chr(10)) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM loaded_documents WHERE source_type = 'web' AND content IS NOT NULL))
+          WHERE regexp_matches(x, '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]') GROUP BY record_id""",
+        "p5_neighbours": f"""SELECT id, other, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 12) AS sim FROM {_vectors('chunks', 'chunk_id', 'embedding')} a JOIN {_vectors('chunks', 'chunk_id', 'embedding')} b ON a.id <> b.id)) WHERE rank <= 5""",
+        "p6_checked": "SELECT doc_id, true AS held, true AS whole, true AS within FROM documents WHERE text <> ''",
+        "p8_checked": "SELECT doc_id, true AS untouched FROM documents WHERE text IS NOT NULL",
         "p2_found": rf"""WITH w AS (SELECT record_kind, record_id AS id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM {_CONTENTS} WHERE content IS NOT NULL),
           s AS (SELECT record_kind, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
           e AS (SELECT record_kind, id, len(s) AS n, unnest(s) AS g FROM s),
