@@ -761,10 +761,21 @@ def graph_directions(spark, sf):
     return table(spark, sf, "cache_entries").select("entry_id", F.array_join(graph.directions(F.coalesce("question", F.lit(""))), ",").alias("directions"))
 
 
-@query()
+@query(
+    """WITH n AS (SELECT repository, 'function:' || file_path || '::' || function_name AS id, 'function' AS kind, function_name AS name FROM chunks WHERE file_path IS NOT NULL AND function_name IS NOT NULL UNION SELECT repository, 'external:' || class_name || '.' || function_name, 'external', class_name || '.' || function_name FROM chunks WHERE class_name IS NOT NULL AND function_name IS NOT NULL),
+    s AS (SELECT DISTINCT unnest(regexp_extract_all(content, '`([a-z_]+[a-z0-9_]*)`', 1)) AS symbol FROM chunks UNION SELECT DISTINCT function_name FROM chunks WHERE function_name IS NOT NULL),
+    h AS (SELECT n.*, symbol FROM n JOIN s ON lower(string_split(name, '.')[-1]) = lower(string_split(symbol, '.')[-1]) WHERE lower(name) = lower(symbol) OR ends_with(lower(name), '.' || lower(symbol)))
+    SELECT repository, symbol, id, CAST(row_number() OVER (PARTITION BY repository, symbol ORDER BY kind = 'external', id) AS INT) AS rank FROM h"""
+)
 def symbol_seeds(spark, sf):
-    named = table(spark, sf, "chunks").select(F.explode(F.regexp_extract_all("content", F.lit("`([a-z_]+[a-z0-9_]*)`"), F.lit(1))).alias("symbol")).distinct()
-    return graph.seeds(graph.nodes(code_graph(spark, sf)), named, "symbol")
+    """Nodes of the functions that chunks stand for, and external ones of the methods they name, by the symbols that contents quote."""
+    c = table(spark, sf, "chunks").where("function_name is not null")
+    own = c.where("file_path is not null").select("repository", F.concat(F.lit("function:"), "file_path", F.lit("::"), "function_name").alias("id"), F.lit("function").alias("kind"), F.col("function_name").alias("name"))
+    method = F.concat("class_name", F.lit("."), "function_name")
+    outer = c.where("class_name is not null").select("repository", F.concat(F.lit("external:"), method).alias("id"), F.lit("external").alias("kind"), method.alias("name"))
+    quoted = table(spark, sf, "chunks").select(F.explode(F.regexp_extract_all("content", F.lit("`([a-z_]+[a-z0-9_]*)`"), F.lit(1))).alias("symbol"))
+    named = quoted.unionByName(c.select(F.col("function_name").alias("symbol"))).distinct()
+    return graph.seeds(own.unionByName(outer).distinct(), named, "symbol").select("repository", "symbol", "id", "rank")
 
 
 # ---- state
