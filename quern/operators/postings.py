@@ -98,13 +98,16 @@ def search(index: Index, queries: DataFrame, query_key: str, query_text: str, *,
     scope, own = index.scope, [c for c in index.scope if c in queries.columns]
     asked = queries.select(query_key, *own, F.explode(T.lexical_tokens(F.col(query_text))).alias("term"))
     asked = asked.groupBy(*asked.columns).agg(F.count("*").alias("qtf")).withColumn("bucket", _bucket(buckets))
-    if asked.limit(ranking.TERMS + 1).count() <= ranking.TERMS:
-        asked = F.broadcast(asked)
+    seen = asked.agg(F.count("*").alias("n"), F.collect_set("bucket").alias("buckets")).first()  # at most ``buckets`` numbers
     weight = index.weights.join(asked, ["bucket", "term", *own])
+    if seen["n"] <= ranking.TERMS:
+        weight = index.weights.join(F.broadcast(asked), ["bucket", "term", *own])
+        # a bounded number of weights goes to the postings, never the other way round; a term asked in every scope has one in each
+        if len(own) == len(scope) or weight.limit(ranking.TERMS + 1).count() <= ranking.TERMS:
+            weight = F.broadcast(weight)
     length = ranking.K1 * (1 - ranking.B + ranking.B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (ranking.K1 + 1) / (F.col("tf") + length)
-    terms = asked.select("bucket", "term").distinct()
-    postings = index.postings.join(F.broadcast(terms) if terms.limit(ranking.TERMS + 1).count() <= ranking.TERMS else terms, ["bucket", "term"], "left_semi")
+    postings = index.postings.where(F.col("bucket").isin(seen["buckets"])) if len(seen["buckets"]) < buckets else index.postings
     scored = postings.join(weight, [*scope, "bucket", "term"]).groupBy(*scope, query_key, index.key).agg(F.round(F.sum(part), 6).alias("score"))
     if only is not None:
         scored = scored.join(only.select(query_key, index.key), [query_key, index.key], "left_semi")
