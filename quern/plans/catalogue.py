@@ -439,11 +439,6 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("owner", F.col("entry_id").alias("query_id"), F.col("question").alias("text"), F.col("question_embedding").alias("vector"))
 
 
-@query()
-def multi_base_retrieve(spark, sf):
-    return pipelines.retrieve(table(spark, sf, "chunks"), _asked(spark, sf))
-
-
 @query()
 def adaptive_retrieve(spark, sf):
     return pipelines.adaptive(table(spark, sf, "chunks"), _asked(spark, sf), index=_index(spark, sf, "chunks", ["owner"]))
@@ -1093,3 +1088,39 @@ def hybrid_parents(spark, sf):
     """Similarity, terms and the parents of similar children, fused."""
     got = pipelines.hybrid(table(spark, sf, "chunks"), _asked(spark, sf), ["owner"], parents=True, index=_index(spark, sf, "chunks", ["owner"]))
     return got.select("query_id", "chunk_id", "rrf", "position")
+
+
+_SCOPED40 = _bm25_sql("chunks", "chunk_id", "content", "(SELECT owner, kb, entry_id, question AS asked FROM ask)", "entry_id", 40, "owner, kb,").replace("SELECT entry_id, term, count(*) AS qtf FROM (SELECT entry_id, unnest", "SELECT owner, kb, entry_id, term, count(*) AS qtf FROM (SELECT owner, kb, entry_id, unnest").replace("JOIN q USING (term)", "JOIN q USING (owner, kb, term)")
+
+
+def _nearest_sql(extra: str, k: int) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner, kb, entry_id ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT c.owner, c.kb, entry_id, chunk_id, document_id, parent_chunk_index, {_COS.format('embedding', 'question_embedding')} AS similarity
+      FROM chunks c JOIN ask ON c.owner = ask.owner AND c.kb = ask.kb WHERE {extra} AND {_REAL.format('embedding')} AND {_REAL.format('question_embedding')})) WHERE rank <= {k}"""
+
+
+def _whole_sql(hits: str, part: str, whole: str, link: str) -> str:
+    return f"""(SELECT entry_id, id, rank, similarity FROM (SELECT h.entry_id, h.rank, CASE WHEN put THEN whole ELSE h.id END AS id, CASE WHEN put THEN NULL ELSE h.similarity END AS similarity, put FROM
+      (SELECT h.*, w.whole, coalesce(c.content_type = '{part}' AND w.whole IS NOT NULL, false) AS put FROM {hits} h JOIN chunks c ON c.chunk_id = h.id LEFT JOIN (SELECT owner || '::' || {link} AS link, min(chunk_id) AS whole FROM chunks WHERE content_type = '{whole}' AND owner IS NOT NULL AND {link} IS NOT NULL GROUP BY ALL) w ON w.link = c.owner || '::' || c.{link}) h)
+      QUALIFY row_number() OVER (PARTITION BY entry_id, id ORDER BY put, rank) = 1)"""
+
+
+@query(
+    f"""WITH qs AS (SELECT owner, entry_id, question, question_embedding, {_rules(routing.BASES)} AS named FROM (SELECT *, ' ' || lower(question) || ' ' AS t FROM cache_entries WHERE entry_id % 20 = 0 AND question IS NOT NULL)),
+    tg AS (SELECT owner, entry_id, unnest(named) AS kb FROM qs UNION ALL SELECT qs.owner, entry_id, p.kb FROM qs JOIN (SELECT DISTINCT owner, kb FROM chunks) p ON p.owner = qs.owner WHERE len(named) = 0),
+    ask AS (SELECT tg.owner, tg.kb, tg.entry_id, question, question_embedding FROM tg JOIN qs ON qs.entry_id = tg.entry_id AND qs.owner = tg.owner), near AS ({_nearest_sql('true', 40)}), told AS ({_SCOPED40}), kids AS ({_nearest_sql("c.chunk_role = 'child' AND c.kb IN ('github', 'web')", 60)}),
+    pk AS (SELECT k.owner, k.kb, entry_id, p.chunk_id, row_number() OVER (PARTITION BY k.owner, k.kb, entry_id ORDER BY child_rank) AS rank FROM (SELECT owner, kb, entry_id, document_id, parent_chunk_index, min(rank) AS child_rank FROM kids GROUP BY ALL) k JOIN
+      (SELECT owner, kb, document_id, chunk_index, max(chunk_id) AS chunk_id FROM chunks WHERE chunk_role = 'parent' AND kb IN ('github', 'web') GROUP BY ALL) p ON p.owner = k.owner AND p.kb = k.kb AND p.document_id = k.document_id AND p.chunk_index = k.parent_chunk_index),
+    li AS (SELECT 0 AS list, owner, kb, entry_id, chunk_id, rank FROM near UNION ALL SELECT 1, owner, kb, entry_id, chunk_id, rank FROM told UNION ALL SELECT 2, owner, kb, entry_id, chunk_id, rank FROM pk),
+    fu AS (SELECT owner, kb, entry_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, min(list) AS first_list, arg_min(rank, list) AS first_rank FROM li GROUP BY ALL),
+    po AS (SELECT *, row_number() OVER (PARTITION BY owner, kb, entry_id ORDER BY rrf DESC, first_list, first_rank, chunk_id) AS position FROM fu QUALIFY position <= 20),
+    full_ AS (SELECT po.*, near.similarity, c.document_id, c.chunk_index, coalesce(c.section, '') AS section, coalesce(c.file_path, '') AS file_path, {_SEARCH.format('question')} AS qt, {_SEARCH.format("coalesce(c.content, '')")} AS ct FROM po LEFT JOIN near USING (owner, kb, entry_id, chunk_id) JOIN chunks c ON c.chunk_id = po.chunk_id JOIN qs ON qs.entry_id = po.entry_id),
+    best AS (SELECT *, row_number() OVER (PARTITION BY kb, entry_id ORDER BY CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, ct)) / len(qt) ELSE 0.0 END DESC, position, chunk_id) AS base_rank FROM full_ QUALIFY base_rank <= 5),
+    once AS (SELECT * FROM best QUALIFY document_id IS NULL OR chunk_index IS NULL OR row_number() OVER (PARTITION BY entry_id, document_id, chunk_index ORDER BY kb, base_rank) = 1),
+    title AS (SELECT *, round(coalesce(similarity, 0) + CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, {_SEARCH.format('section')})) / len(qt) + CASE WHEN readme THEN 1 ELSE 0 END + CASE WHEN readme AND NOT contains(section, ' > ') THEN 1 ELSE 0 END ELSE 0 END, 6) AS final FROM
+      (SELECT *, len(list_intersect(qt, [{_quoted(ranking.OVERVIEW)}])) > 0 AND lower(string_split(file_path, '/')[-1]) IN ({_quoted(ranking.READMES)}) AS readme FROM once)),
+    hits AS (SELECT entry_id, chunk_id AS id, final AS similarity, row_number() OVER (PARTITION BY entry_id ORDER BY final DESC, kb, base_rank, chunk_id) AS rank FROM title QUALIFY rank <= 5),
+    whole AS (SELECT * FROM {_whole_sql('hits', 'table_row', 'table', 'table_id')})
+    SELECT entry_id AS query_id, id AS chunk_id, similarity AS score, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY rank, id) AS INT) AS rank FROM {_whole_sql('whole', 'method', 'class', 'class_id')}"""
+)
+def multi_base_retrieve(spark, sf):
+    return pipelines.retrieve(table(spark, sf, "chunks"), _asked(spark, sf))
