@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Elements whose content is no text of the page, and those that have no end.
@@ -129,22 +129,30 @@ def in_scope(link: Column, seed: Column) -> Column:
     return (part(link, "PROTOCOL") == part(seed, "PROTOCOL")) & (part(link, "HOST") == part(seed, "HOST")) & ((path == prefix) | path.startswith(F.concat(prefix, F.lit("/"))))
 
 
-def crawl(links: DataFrame, seeds: DataFrame, *, depth: int = 3) -> DataFrame:
-    """Pages (seed, url, depth) reached from each seed over links in its scope, breadth first, to ``depth``.
+def crawl(links: DataFrame, seeds: DataFrame, *, most: int | None = None, depth: int | None = None) -> DataFrame:
+    """Pages (seed, url, depth) reached from each seed over links in its scope, breadth first.
 
-    A loop of joins over the link table (src, dst); each step meets only pages that
-    were not seen, and its plan is cut by a checkpoint where one is configured.
+    All of them, unless ``most`` pages a seed (the nearest, then by address) or a ``depth`` are asked for. A loop of joins over the link table
+    (src, dst); each step meets only pages that were not seen, and ends when there are none. Its plan is cut by a checkpoint where a folder for
+    one is configured. Null seeds and links are none.
     """
-    frontier = seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")).distinct()
-    seen = frontier
-    for step in range(1, depth + 1):
+    frontier = seeds.where("seed is not null").select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")).distinct()
+    seen, step = frontier, 0
+    cut = bool(seeds.sparkSession.conf.get("spark.checkpoint.dir", None))
+    while depth is None or step < depth:
+        step += 1
         found = frontier.join(links.select(F.col("src").alias("url"), "dst"), "url").where(in_scope(F.col("dst"), F.col("seed"))).select("seed", F.col("dst").alias("url")).distinct()
         frontier = found.join(seen, ["seed", "url"], "left_anti").withColumn("depth", F.lit(step))
         seen = seen.unionByName(frontier)
-        if seeds.sparkSession.conf.get("spark.checkpoint.dir", None):
+        if cut:
             seen = seen.checkpoint()
             frontier = seen.where(F.col("depth") == step)
-    return seen
+        if frontier.isEmpty():
+            break
+    if most is None:
+        return seen
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "url"))
+    return seen.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
 
 def host(url: str) -> str:

@@ -30,6 +30,16 @@ def test_crawl_stays_in_scope(spark):
     assert sorted((r["url"], r["depth"]) for r in got.collect()) == [("https://h/a", 0), ("https://h/a/b", 1), ("https://h/a/c", 2)]
 
 
+def test_crawl_goes_to_the_end_unless_it_is_bounded(spark):
+    chain = [(f"https://h/a/{i}" if i else "https://h/a", f"https://h/a/{i + 1}") for i in range(5)] + [("https://h/a/5", "https://h/a"), (None, None)]
+    links, seeds = spark.createDataFrame(chain, "src string, dst string"), spark.createDataFrame([("https://h/a",), (None,)], "seed string")
+    deep = sorted((r["depth"], r["url"]) for r in html.crawl(links, seeds).collect())
+    assert deep == [(0, "https://h/a")] + [(i, f"https://h/a/{i}") for i in range(1, 6)]
+    assert sorted(r["depth"] for r in html.crawl(links, seeds, most=3).collect()) == [0, 1, 2]
+    assert html.crawl(links, seeds.limit(0)).count() == 0
+
+
+
 def test_markdown_and_lists(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"# x\r\ny")
     got = files.read_markdown(spark, str(tmp_path)).first()
