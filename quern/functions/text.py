@@ -9,18 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that the search tokeniser leaves out.
-STOPWORDS = (
-    "a an the is are was were to of on in for and or its it this that when if then with as by from at be been being has "
-    "have had do does did not no so up out into than who what how"
-).split()
+STOPWORDS = ["a", "an", "the", "is", "are", "was", "were", "to", "of", "on", "in", "for", "and", "or", "its", "it", "this", "that", "when", "if", "then", "with", "as", "by", "from", "at", "be", "been", "being", "has", "have", "had", "do", "does", "did", "not", "no", "so", "up", "out", "into", "than", "who", "what", "how"]
 
 # What makes a question depend on the turn before it.
-REFERENCE_WORDS = "it its that this they them their those these he she him her".split()
+REFERENCE_WORDS = ["it", "its", "that", "this", "they", "them", "their", "those", "these", "he", "she", "him", "her"]
 CONTINUATIONS = ["what about", "and ", "also", "what else", "how about", "same for", "same with", "what if", "why not", "or "]
 STANDALONE_WORDS = 7
 
 # What makes a question complex.
-COMPLEX_WORDS = "and also then vs versus compare both difference why how explain list".split()
+COMPLEX_WORDS = ["and", "also", "then", "vs", "versus", "compare", "both", "difference", "why", "how", "explain", "list"]
 SIMPLE_WORDS, SIMPLE_CHARS = 5, 40
 
 # Forms that code is told by, and how many of them make code.
